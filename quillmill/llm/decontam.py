@@ -29,7 +29,7 @@ WINDOW = 10
 #: Words of benchmark text per pass; bounds what is broadcast.
 BLOCK_WORDS = 2_000_000
 #: A shard is indexed when it holds this many words of the vocabulary, or documents.
-SHARD_WORDS, SHARD_DOCS = 1 << 20, 20_000
+SHARD_WORDS, SHARD_DOCS = 1 << 20, 10_000
 SAMPLE = 32
 
 #: A-Z to lower case; ASCII other than digits and letters to a space.
@@ -231,6 +231,41 @@ def _scan(phrases):
     return run
 
 
+def _clean(phrases):
+    """A function that passes on the rows in which no phrase occurs; column 0 is the text, which is dropped."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        shard, held = Shard(phrases.value), []
+
+        def flush():
+            clean = [not r["spans"] for r in shard.results()]
+            for batch in held:
+                yield batch.filter(pa.array(clean[: batch.num_rows])).select(range(1, batch.num_columns))
+                del clean[: batch.num_rows]
+
+        for batch in batches:
+            for text in batch.column(0).cast(pa.large_binary()):
+                shard.add(None, text.as_py())
+            held.append(batch)
+            if shard.full():
+                yield from flush()
+                shard, held = Shard(phrases.value), []
+        yield from flush()
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any phrase of the benchmark, with all columns. Blocks of the benchmark filter one after the other; nothing is shuffled."""
+    out = docs
+    for block in _blocks(benchmark, block_words):
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+        out = out.select(out["text"].cast("string").alias("__qm_text"), *[out[c] for c in out.columns]).mapInArrow(_clean(phrases), docs.schema)
+    return out
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
     """The benchmark in blocks of about ``block_words`` words, streamed partition by partition."""
     block, size = [], 0

@@ -60,10 +60,18 @@ def repeat_words(ws: Column, n: Column) -> Column:
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(starts, lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(let(F.sort_array(s), _gaps))))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every whole text. A null text counts as empty; all its statistics are 0."""
+#: Labelled documents that `kept_documents` learns from, at most.
+MAX_LABELLED = 20_000
+
+
+def statistics(docs: DataFrame, *carry: Column) -> DataFrame:
+    """doc_id and the statistics of every whole text. A null text counts as empty; all its statistics are 0.
+
+    ``carry``: aliased columns that come along.
+    """
     t = F.col("__qm_text")
-    df = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("__qm_text"))
+    df = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("__qm_text"), *carry)
+    carried = [c for c in df.columns if c not in ("doc_id", "__qm_text")]
     df = df.withColumn("__qm_words", words(t))
     df = df.withColumn("n_words", F.when(F.btrim(t, F.lit(SPACES)) == "", F.lit(0)).otherwise(F.size("__qm_words")).cast("long"))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -79,6 +87,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         _count_chars(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         _count_chars(t, "!").alias("n_bang"),
         _count_chars(t, "0123456789").alias("n_digits"),
+        *carried,
     )
 
 
@@ -244,9 +253,28 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     rejects it.
     """
     stats = staged(statistics(docs), "quality-stats")
-    rules = learn_from(stats, labels, **options)
+    return _decided(stats, learn_from(stats, labels, **options))
+
+
+def _decided(stats: DataFrame, rules: DecisionList) -> DataFrame:
+    """``stats`` with base_failed and kept."""
     failed = base_failed()
-    by_name = features()
-    wide = stats.select("*", *[c.alias(f"__qm_{f}") for f, c in by_name.items()])
+    wide = stats.select("*", *[c.alias(f"__qm_{f}") for f, c in features().items()])
     renamed = DecisionList([[Condition(f"__qm_{c.feature}", c.above, c.threshold) for c in r] for r in rules.rules])
     return wide.select(*stats.columns, failed.alias("base_failed"), (~failed & ~renamed.rejects()).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all columns, decided where they are read: no join, no shuffle of texts.
+
+    The rules are learned from MAX_LABELLED labelled documents at most (the
+    smallest hashes of ids; their ids are broadcast), so that the texts of all
+    documents are analysed once.
+    """
+    usable = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__qm_id")).agg(F.min("quality").alias("quality"))
+    sample = staged(usable.orderBy(F.xxhash64("__qm_id"), "__qm_id").limit(MAX_LABELLED), "quality-sample")
+    marked = docs.select("doc_id", "text").join(F.broadcast(sample.select("__qm_id")), docs["doc_id"].cast("long") == F.col("__qm_id"), "left_semi")
+    rules = learn_from(staged(statistics(marked), "quality-stats"), sample.withColumnRenamed("__qm_id", "doc_id"), **options)
+    decided = _decided(statistics(docs, F.struct(*[docs[c] for c in docs.columns]).alias("__qm_row")), rules)
+    # a generator keeps Catalyst from pushing the filter down, where it would compute the statistics once per mention
+    return decided.select("__qm_row", F.inline(F.array(F.struct(F.col("kept").alias("__qm_kept"))))).filter("__qm_kept").select("__qm_row.*")
