@@ -11,7 +11,9 @@ every document. All of it is exact up to 64-bit hashes of shingles and sets.
    tokens. The class only steers the order of tokens and never decides a link.
 2. Tokens are ordered from rare to frequent. Two linked sets share a token in
    their prefixes of length n - ceil(t n) + 1. If the first shared token is
-   rare, the index of single rare prefix tokens finds the pair. If it is
+   rare, the index of single rare prefix tokens finds the pair; if both prefixes
+   (longer by COMMON - 1 tokens) hold rare tokens only, the pair must even meet
+   COMMON times, which rids it of chance meetings. If it is
    frequent, all shared tokens are. Then prefixes are extended until they hold
    at least D + 2 shared tokens, where D bounds the tokens that only one of the
    two has. As each of those can separate one neighbouring pair of shared
@@ -48,8 +50,10 @@ PAIR_GROUP = 64
 FREQUENT, CLASS_SIZE = 16, 1 << 20
 #: Tokens that a task counts at a time when it looks for frequent ones.
 COUNT_TOKENS = 4_000_000
+#: Tokens that two sets with prefixes of rare tokens must share there.
+COMMON = 3
 #: Documents in a block of a family.
-BLOCK = 192
+BLOCK = 384
 #: Parts of a large group of combinations.
 SALT = 16
 #: Sets of at most this size are indexed by all their tokens.
@@ -73,6 +77,11 @@ class Spec:
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
 
+    @property
+    def common(self) -> int:
+        """Tokens to share in the prefixes: COMMON, or as many as any two different linked sets share."""
+        return COMMON if self.num == self.den else min(COMMON, max(1, -(-self.num // (self.den - self.num))))
+
     def extended(self, n: int) -> int:
         """Length of the prefix that holds D + 2 shared tokens for every D possible."""
         return self.prefix(n) + 1 + (self.den - self.num) * n // self.num
@@ -151,10 +160,12 @@ def _profile(spec: Spec):
     return run
 
 
-def signatures(tokens: np.ndarray, spec: Spec, often: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, spec: Spec, often: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Single rare tokens and combinations of neighbouring frequent ones to index a set by.
 
-    ``often`` are the frequent tokens, sorted, ``times`` their estimated counts.
+    The last value tells whether the singles are a whole prefix, so that the
+    set shares ``spec.common`` of them with a linked set for which the same
+    holds. ``often`` are the frequent tokens, sorted, ``times`` their estimated counts.
     """
     n = len(tokens)
     rank = np.zeros(n, dtype=np.int64)
@@ -162,16 +173,16 @@ def signatures(tokens: np.ndarray, spec: Spec, often: np.ndarray, times: np.ndar
         at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
         rank = np.where(often[at] == tokens, times[at], 0)
     rare = int((rank == 0).sum())
-    p, e = spec.prefix(n), spec.extended(n)
+    p, e = spec.prefix(n) + spec.common - 1, spec.extended(n)
     if n > TINY and rare >= p:
-        return tokens[rank == 0][:p], tokens[:0]
+        return tokens[rank == 0][:p], tokens[:0], True
     frequent = tokens[rank > 0]
     frequent = frequent[np.lexsort((frequent, rank[rank > 0]))][: n if n <= TINY else max(0, e - rare)]
-    return tokens if n <= TINY else tokens[rank == 0], _mix(_mix(frequent[:-1]) * np.uint64(0x9E3779B97F4A7C15) + frequent[1:])
+    return tokens if n <= TINY else tokens[rank == 0], _mix(_mix(frequent[:-1]) * np.uint64(0x9E3779B97F4A7C15) + frequent[1:]), n <= TINY
 
 
 def _index(spec: Spec, classes):
-    """(combined, sig, salt, node, n) of the sets of a task; equal sets once per part."""
+    """(combined, sig, salt, node, n, whole) of the sets of a task; equal sets once per part."""
 
     def run(batches):
         import pyarrow as pa
@@ -187,20 +198,20 @@ def _index(spec: Spec, classes):
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(node)
-                single, pairs = signatures(s, spec, often, times)
-                parts += [(0, single, node, len(s))] * bool(len(single)) + [(1, pairs, node, len(s))] * bool(len(pairs))
+                single, pairs, whole = signatures(s, spec, often, times)
+                parts += [(0, single, node, len(s), whole)] * bool(len(single)) + [(1, pairs, node, len(s), whole)] * bool(len(pairs))
             if parts:
                 sizes = [len(p[1]) for p in parts]
                 column = lambda k, kind: pa.array(np.repeat(np.array([p[k] for p in parts], dtype=kind), sizes))
                 nodes = np.repeat(np.array([p[2] for p in parts], dtype=np.int64), sizes)
                 combined = np.repeat(np.array([p[0] for p in parts], dtype=np.int32), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(combined), pa.array(np.concatenate([p[1] for p in parts]).view(np.int64)), pa.array((np.where(combined == 1, nodes % SALT, 0)).astype(np.int32)), pa.array(nodes), column(3, np.int32)], names=["combined", "sig", "salt", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(combined), pa.array(np.concatenate([p[1] for p in parts]).view(np.int64)), pa.array((np.where(combined == 1, nodes % SALT, 0)).astype(np.int32)), pa.array(nodes), column(3, np.int32), column(4, np.int32)], names=["combined", "sig", "salt", "node", "n", "whole"])
 
     return run
 
 
 def _groups(spec: Spec):
-    """Sorted index entries to (kind, a, na, b, nb): 0 a candidate pair, 1 an edge of a family, 2 (signature, one member of its part)."""
+    """Sorted index entries to (kind, a, na, b, nb): 0 a candidate pair, 1 an edge of a family, 2 (signature, one member of its part), 3 a pair of sets with whole prefixes."""
 
     def run(batches):
         import pyarrow as pa
@@ -208,9 +219,9 @@ def _groups(spec: Spec):
         names = ["kind", "a", "na", "b", "nb"]
 
         def out(kind, a, na, b, nb):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(na), pa.array(b), pa.array(nb)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, dtype=np.int32), len(a))), pa.array(a), pa.array(na), pa.array(b), pa.array(nb)], names=names)
 
-        def pairs(sig, node, n, start, size):
+        def pairs(node, n, whole, start, size):
             for m in np.unique(size[(size > 1) & (size <= PAIR_GROUP)]):
                 rows = start[size == m][:, None] + np.arange(m)
                 i, j = np.triu_indices(m, 1)
@@ -220,18 +231,23 @@ def _groups(spec: Spec):
                     x, y = x[fits], y[fits]
                     swap = node[x] > node[y]
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
-                    yield out(0, node[x], n[x], node[y], n[y])
+                    yield out(np.where(whole[x] & whole[y] == 1, 3, 0), node[x], n[x], node[y], n[y])
 
         carry = None  # the rows of a group that may go on; of one that is known to be large, its first row
         large = False
         for batch in _ended(batches):
-            cols = [np.zeros(0, dtype=t) for t in (np.int32, np.int64, np.int32, np.int64, np.int32)] if batch is None else [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            cols = [np.zeros(0, dtype=t) for t in (np.int32, np.int64, np.int32, np.int64, np.int32, np.int32)] if batch is None else [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             fresh = 0 if carry is None else len(carry[0])
             if carry is not None:
                 cols = [np.concatenate((c, x)) for c, x in zip(carry, cols)]
-            combined, sig, salt, node, n = cols
-            if not len(sig):
+            if not len(cols[0]):
                 continue
+            # copies in several tasks give equal entries
+            again = np.zeros(len(cols[0]), dtype=bool)
+            again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:4]])
+            fresh -= int(again[:fresh].sum())
+            cols = [c[~again] for c in cols]
+            combined, sig, salt, node, n, entire = cols
             new = np.ones(len(sig), dtype=bool)
             new[1:] = (sig[1:] != sig[:-1]) | (combined[1:] != combined[:-1]) | (salt[1:] != salt[:-1])
             start = np.flatnonzero(new)
@@ -253,7 +269,7 @@ def _groups(spec: Spec):
             yield out(1, node[first[mask]], n[first[mask]], node[mask], n[mask])
             whole = np.arange(len(start)) < held
             plain = whole & (combined[start] == 0) & ~big
-            yield from pairs(sig, node, n, start[plain], size[plain])
+            yield from pairs(node, n, entire, start[plain], size[plain])
             tell = whole & (combined[start] == 1)
             yield out(2, sig[start[tell]], n[start[tell]], node[start[tell]], n[start[tell]])
             if open_last:
@@ -373,14 +389,15 @@ def frequent_class(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(slim: DataFrame, classes, spec: Spec) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) and edges (a, b) of families with set sizes, from the index."""
-    entries = slim.mapInArrow(_index(spec, classes), "combined int, sig long, salt int, node long, n int")
+    entries = slim.mapInArrow(_index(spec, classes), "combined int, sig long, salt int, node long, n int, whole int")
     grouped = entries.repartition("combined", "sig", "salt").sortWithinPartitions("combined", "sig", "salt", "node").mapInArrow(_groups(spec), "kind int, a long, na int, b long, nb int")
-    found = staged(grouped.distinct(), "join-found")
+    met = grouped.groupBy("kind", "a", "na", "b", "nb").agg(F.count("*").alias("times"))
+    found = staged(met.filter((F.col("kind") < 3) | (F.col("times") >= spec.common)), "join-found")
     parts = found.filter("kind = 2").select(F.col("a").alias("sig"), "b", "nb")
     head = parts.groupBy("sig").agg(F.min(F.struct("b", "nb")).alias("h"))
     across = parts.join(head, "sig").filter("b <> h.b").select(F.col("h.b").alias("a"), F.col("h.nb").alias("na"), "b", "nb")
-    stars = found.filter("kind = 1").drop("kind").union(across).distinct()
-    return found.filter("kind = 0").select("a", "b"), stars
+    stars = found.filter("kind = 1").select("a", "na", "b", "nb").union(across).distinct()
+    return found.filter("kind IN (0, 3)").select("a", "b"), stars
 
 
 def _tiles(stars: DataFrame, spec: Spec) -> DataFrame:
