@@ -23,7 +23,7 @@ every document. All of it is exact up to 64-bit hashes of shingles and sets.
    pairs of compatible sizes. Larger groups, and all groups of combinations,
    would give pairs by the square of their size: they only say which nodes
    belong to a family (connected components over one edge per member). A family
-   is sorted by set size and cut into blocks; every pair of blocks of compatible
+   is cut into blocks by set size and hash; every pair of blocks of compatible
    sizes is a tile, and the pairs of a tile are compared by a matrix product.
    What leaves a tile is one edge per linked document, not one per pair.
 4. Candidates are verified on whole texts, and the links' components named.
@@ -35,10 +35,11 @@ far as its sets are equal; otherwise its rows are separate texts with one name.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -401,11 +402,17 @@ def candidates(slim: DataFrame, classes, spec: Spec) -> tuple[DataFrame, DataFra
 
 
 def _tiles(stars: DataFrame, spec: Spec) -> DataFrame:
-    """(unit, i, j, role, node) of all tiles of all families."""
+    """(unit, i, j, role, node) of all tiles of all families.
+
+    A family is dealt by size class, and a class into as many blocks as its
+    count asks for, by hash: no task has to see a whole family.
+    """
     sizes = stars.select(F.col("a").alias("node"), F.col("na").alias("n")).union(stars.select("b", "nb")).groupBy("node").agg(F.min("n").alias("n"))
-    members = connected_components(stars.select("a", "b")).join(sizes, "node")
-    w = Window.partitionBy("component").orderBy("n", "node")
-    members = staged(members.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")), "join-family")
+    width = math.log(spec.den / spec.num)
+    size_class = F.floor(F.log("n") / width) if width else F.col("n")
+    members = staged(connected_components(stars.select("a", "b")).join(sizes, "node").withColumn("class", size_class.cast("long")), "join-family")
+    counts = members.groupBy("component", "class").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    members = members.join(counts, ["component", "class"]).withColumn("block", F.col("class") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("parts")))
     blocks = members.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = blocks.select("component", F.col("block").alias("i"), F.col("hi").alias("hi_i")), blocks.select(F.col("component").alias("c"), F.col("block").alias("j"), F.col("lo").alias("lo_j"))
     tiles = left.join(right, (F.col("component") == F.col("c")) & (F.col("i") <= F.col("j")) & (F.col("lo_j") * spec.num <= F.col("hi_i") * spec.den)).select("component", "i", "j")
@@ -422,7 +429,7 @@ def link(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     names = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("name"))
     classes = spark.sparkContext.broadcast(frequent_class(profile))
     pairs, stars = candidates(slim.filter("doc_id IS NOT NULL"), classes, spec)
-    lone = F.lit(-1)
+    lone = F.lit(-1).cast("long")
     units = pairs.select(F.col("a").alias("unit"), lone.alias("i"), lone.alias("j"), F.lit(1).alias("role"), F.col("b").alias("node")).union(pairs.select(F.col("a").alias("unit"), lone, lone, F.lit(0), F.col("a")).distinct())
     units = units.union(_tiles(stars, spec))
     wanted = units.join(names, "node").select("unit", "i", "j", "role", "node", F.col("name").alias("doc_id"))
