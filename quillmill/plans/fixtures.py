@@ -262,3 +262,51 @@ def edit_refs(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(i).alias("ref_id"), F.lit(o).cast("long").alias("off")) for i, o in (("f1", 10), ("f2", 45))])
     return lines(spark, d).select("doc_id", F.col("pos").alias("change_no"), F.inline(rows))
 
+
+
+NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def _package(doc_id: int, text: str, lang: str, source: str) -> bytes:
+    """A document as an office package: lines as paragraphs, or as table rows where they hold pipes."""
+    from xml.sax.saxutils import escape
+
+    from ..sources.parts import pack
+
+    legal = "".join(c for c in text if c in "\t\n" or " " <= c <= "\ud7ff" or "\ue000" <= c <= "\ufffd" or c > "\uffff")
+    run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
+    rows = legal.split("\n")
+    body = "".join(f"<w:p>{run(x)}</w:p>" for x in rows if " | " not in x)
+    cells = "".join("<w:tr>" + "".join(f"<w:tc><w:p>{run(c)}</w:p></w:tc>" for c in x.split(" | ")) + "</w:tr>" for x in rows if " | " in x)
+    table = f"<w:tbl>{cells}</w:tbl>" if cells else ""
+    drawing = f"<w:p><w:r><w:drawing><w:txbxContent><w:p>{run(lang)}</w:p></w:txbxContent></w:drawing></w:r><w:r><w:commentReference w:id=\"{doc_id % 3}\"/></w:r></w:p>"
+    section = '<w:sectPr><w:headerReference w:type="default" r:id="rId1"/></w:sectPr>'
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Override PartName="/word/document.xml" ContentType="main"/></Types>',
+        "word/document.xml": f"<w:document {NS}><w:body>{body}{table}{drawing}{section}</w:body></w:document>",
+        "word/_rels/document.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="header" Target="header1.xml"/></Relationships>',
+        "word/header1.xml": f"<w:hdr {NS}><w:p>{run(source or '')}</w:p></w:hdr>",
+        "word/styles.xml": f'<w:styles {NS}><w:style w:type="paragraph" w:styleId="Standard"><w:name w:val="Normal"/></w:style></w:styles>',
+        "word/settings.xml": f"<w:settings {NS}>" + ("<w:trackRevisions/>" if doc_id % 2 else "") + "</w:settings>",
+        "word/comments.xml": f'<w:comments {NS}><w:comment w:id="0" w:author="a"><w:p>{run("c")}</w:p></w:comment></w:comments>',
+        "word/footnotes.xml": f'<w:footnotes {NS}><w:footnote w:id="-1"/><w:footnote w:id="0"/><w:footnote w:id="7"><w:p>{run("note of " + lang)}</w:p></w:footnote></w:footnotes>',
+    }
+    if doc_id % 50 == 49:
+        parts["word/broken.xml"] = "<open>"
+    return pack([(k, v.encode()) for k, v in parts.items()])
+
+
+def packages(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): every document as a package; each hundredth file is cut short."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for i, text, lang, source in zip(frame["doc_id"], frame["text"], frame["lang"], frame["source"]):
+                data = _package(i, text or "", lang or "", source or "")
+                rows.append((f"/in/doc{i}.docx", data[: len(data) // 2] if i % 100 == 99 else data))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return docs(spark, d).mapInPandas(run, "path string, content binary")

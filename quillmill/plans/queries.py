@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import batching, diff, jobs, match, package, pdf, suggest, tracked
+from ..session import fresh_path
 from ..sources import elements as el
-from ..sources import policy
+from ..sources import jsonio, parts, policy
 from . import fixtures as fx
 from . import oracle as o
+from . import review
 from .oracle import q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -677,3 +679,86 @@ def _second_editor(text: str) -> str:
 @query()
 def fallback_outcome(spark, d):
     return jobs.with_fallback(fx.lines(spark, d), "raw", _first_editor, _second_editor).select("doc_id", "pos", "used", "error")
+
+
+# ---- files and the whole pipeline -----------------------------------------------------------------------------
+
+
+@query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, count(*) FILTER (WHERE type = 'table_cell') AS n_cells FROM elements WHERE doc_id % 100 <> 99 GROUP BY doc_id", "elements"))
+def scan_package_cells(spark, d):
+    found = parts.scan_elements(fx.packages(spark, d)).filter("error IS NULL")
+    return found.groupBy("path").agg(F.count_if(F.col("type") == "table_cell").alias("n_cells"))
+
+
+@query()
+def scan_package_elements(spark, d):
+    return parts.scan_elements(fx.packages(spark, d))
+
+
+@query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, CASE WHEN doc_id % 100 = 99 THEN 0 WHEN doc_id % 50 = 49 THEN 9 ELSE 8 END AS n_parts FROM documents"))
+def scan_parts(spark, d):
+    return parts.scan_parts(fx.packages(spark, d)).groupBy("path").agg(F.count("part_name").alias("n_parts"))
+
+
+@query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, 'word/broken.xml' AS part_name FROM documents WHERE doc_id % 50 = 49 AND doc_id % 100 <> 99"))
+def check_wellformed(spark, d):
+    return parts.scan_nodes(parts.scan_parts(fx.packages(spark, d)).filter("error IS NULL")).filter("kind = 'malformed'").select("path", "part_name")
+
+
+@query()
+def scan_package_nodes(spark, d):
+    return parts.scan_nodes(parts.scan_parts(fx.packages(spark, d)).filter("error IS NULL"))
+
+
+@query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, 'word/settings.xml' AS missing FROM documents WHERE doc_id % 2 = 0 AND doc_id % 100 <> 99"))
+def check_package_settings(spark, d):
+    """Packages without the track flag, from their parts."""
+    nodes = parts.scan_nodes(parts.scan_parts(fx.packages(spark, d)).filter("error IS NULL AND part_name IN ('word/settings.xml', 'word/document.xml')"))
+    flag = nodes.filter(F.col("name") == package.TRACK_FLAG).select("path")
+    return nodes.filter("part_name = 'word/document.xml'").select("path").distinct().join(flag, "path", "left_anti").withColumn("missing", F.lit("word/settings.xml"))
+
+
+@query(q("SELECT 'doc' || doc_id || '.docx' AS name, doc_id % 100 = 99 AS broken FROM documents"))
+def scan_directory(spark, d):
+    """Packages written as files, and the folder read again."""
+    folder = fresh_path(spark, "packages")
+    parts.save_packages(fx.packages(spark, d), folder)
+    found = parts.scan_parts(parts.scan_packages(spark, folder))
+    return found.groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("name")).agg(F.max(F.col("error").isNotNull()).alias("broken"))
+
+
+@query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, true AS same FROM documents WHERE doc_id % 100 <> 99"))
+def package_round_trip(spark, d):
+    """Parts put together again give the same bytes."""
+    packed = fx.packages(spark, d)
+    again = parts.write_packages(parts.scan_parts(packed)).withColumnRenamed("content", "again")
+    return packed.join(again, "path").select("path", (F.sha2("content", 256) == F.sha2("again", 256)).alias("same"))
+
+
+@query(q("SELECT doc_id, pos, type, element_id, text FROM elements", "elements"))
+def read_structure_json(spark, d):
+    """Structures written as JSON and read again."""
+    path = fresh_path(spark, "structures")
+    jsonio.write_structure(fx.elements(spark, d), path)
+    return jsonio.elements_of(jsonio.read_structure(spark, path, multi_line=False)).select("doc_id", "pos", "type", "element_id", "text")
+
+
+@query(q("SELECT doc_id, change_no, element_id, old, new, motivation FROM changes", "changes"))
+def read_changes_json(spark, d):
+    path = fresh_path(spark, "changes")
+    jsonio.write_changes(fx.changes(spark, d), path)
+    return jsonio.read_changes(spark, path)[0].select("doc_id", "change_no", "element_id", "old", "new", "motivation")
+
+
+@query(q("SELECT doc_id, chunk_id, CASE WHEN n = 0 THEN 'system' ELSE 'user' END AS role FROM (SELECT DISTINCT doc_id, chunk_id FROM (" + ORACLES["chunk_greedy"].replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + ")), (VALUES (0), (1)) AS v(n)"))
+def batch_messages(spark, d):
+    """What a model is asked: a system and a user message per batch."""
+    rows = el.paragraphs(fx.lines(spark, d)).withColumn("pos", F.col("seq"))
+    chunks = batching.chunk_greedy(rows, F.length("text"), PROMPT_CHARS, BUDGET)
+    return batching.messages(rows, chunks, "policy", "Part of a document:").select("doc_id", "chunk_id", F.inline("messages")).select("doc_id", "chunk_id", "role")
+
+
+@query()
+def review_documents(spark, d):
+    """The whole review with the rule-based suggester: counts per document."""
+    return review.review(fx.elements(spark, d).filter("type = 'paragraph'"), review.RuleSuggester(fx.LEXICON), "policy").summary

@@ -1,7 +1,12 @@
-"""Session builder with the settings that every plan here assumes."""
+"""Session builder with the settings that every plan here assumes, and the folder that a cluster shares."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,27 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, app:
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see.
+
+    It is the one named by ``spark.checkpoint.dir``. Where that is unset, a
+    local session gets a temporary folder; a cluster gets a folder in the
+    warehouse, which is shared by definition.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if sc.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="quillmill-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillmill"
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -233,3 +233,21 @@ def write_packages(parts: DataFrame) -> DataFrame:
         return pd.DataFrame({"path": [key[0]], "content": [pack([(n, bytes(c)) for n, c in zip(group["part_name"], group["content"])])]})
 
     return parts.filter("error IS NULL").select("path", "part_name", "content").groupBy("path").applyInPandas(run, "path string, content binary")
+
+
+def save_packages(packages: DataFrame, folder: str) -> None:
+    """Write packages (path, content) as files of their base name under ``folder``, through Arrow's file systems.
+
+    A file is written whole under its final name, so a repeated task writes the same bytes again.
+    """
+
+    def put(rows):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        for row in rows:
+            with store.open_output_stream(f"{base}/{row['path'].rsplit('/', 1)[-1]}") as out:
+                out.write(bytes(row["content"]))
+
+    packages.select("path", "content").foreachPartition(put)
