@@ -95,3 +95,14 @@ def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def replaced(text: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([replace_once(t or "", o or "", n or "") for t, o, n in zip(text, old, new)])
+
+
+@F.pandas_udf(StringType())
+def replaced_all(text: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
+    """The replacements of a text, one after the other."""
+    out = []
+    for t, a, b in zip(text, olds, news):
+        for old, new in zip(a, b):
+            t = replace_once(t or "", old, new)
+        out.append(t)
+    return pd.Series(out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, norm_box
-from ..functions.udfs import replaced, similarity
+from ..functions.udfs import replaced, replaced_all, similarity
 
 #: Acceptance of fuzzy matches, shortest fuzzy candidate.
 THRESHOLD, SHORTEST = 90, 4
@@ -147,22 +147,13 @@ def comment_eligible(motivation: Column, element_id: Column, wanted: bool = True
 def apply_sequential(matched: DataFrame) -> DataFrame:
     """(doc_id, element_id, text, result, n_changes, conflict): all matched changes of an element, one after the other, on clean text.
 
-    ``matched``: doc_id, element_id, change_no, text, old, new. The group is one element's changes.
+    ``matched``: doc_id, element_id, change_no, text, old, new. An element's
+    changes are gathered in the JVM; the UDF sees a batch of elements at a time.
     """
-
-    def run(key, group):
-        import pandas as pd
-
-        from ..functions.udfs import replace_once
-
-        group = group.sort_values("change_no")
-        text = result = group["text"].iloc[0]
-        for old, new in zip(group["old"], group["new"]):
-            result = replace_once(result, old or "", new or "")
-        return pd.DataFrame({"doc_id": [key[0]], "element_id": [key[1]], "text": [text], "result": [result], "n_changes": [len(group)], "conflict": [len(group) > 1]})
-
-    columns = ["doc_id", "element_id", "change_no", "text", "old", "new"]
-    return matched.select(*columns).groupBy("doc_id", "element_id").applyInPandas(run, "doc_id bigint, element_id string, text string, result string, n_changes bigint, conflict boolean")
+    listed = F.array_sort(F.collect_list(F.struct("change_no", "old", "new")))
+    groups = matched.groupBy("doc_id", "element_id").agg(F.first("text").alias("text"), listed.alias("changes"))
+    folded = groups.withColumn("result", replaced_all("text", F.transform("changes", lambda c: F.coalesce(c["old"], F.lit(""))), F.transform("changes", lambda c: F.coalesce(c["new"], F.lit("")))))
+    return folded.select("doc_id", "element_id", "text", "result", F.size("changes").cast("long").alias("n_changes"), (F.size("changes") > 1).alias("conflict"))
 
 
 def unapplied(verdict: DataFrame) -> DataFrame:

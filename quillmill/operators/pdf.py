@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_pdf, contains_either, norm
+from ..functions.text import clean_pdf, norm, strip
 from .match import top1
 
 #: Lines to either side that are tried, distance below which notes are the same.
@@ -64,21 +64,19 @@ def dedupe_notes(annotations: DataFrame, distance: float = DISTANCE) -> DataFram
     """The notes of each page that stay: in order, one is dropped if a kept one has its text, or all four coordinates closer than ``distance``.
 
     The outcome depends on the order and is not transitive, so it is a fold
-    over a page's notes. Notes that repeat a text go first, by a window: a
-    later one is always dropped when an earlier one was kept, or was dropped
-    for a kept one nearby with another text, so equal texts only thin out
-    when the first of them stays; the fold sees them all.
+    over a page's notes, in the JVM. Its state is the notes kept so far.
     """
-
-    def run(group):
-        kept, keep = [], []
-        for r in group.sort_values("ord").itertuples():
-            text = (r.content or "").strip()
-            box = (r.x0, r.y0, r.x1, r.y1)
-            same = any(text == t or all(abs(a - b) < distance for a, b in zip(box, o)) for o, t in kept)
-            keep.append(r.Index) if not same else None
-            if not same:
-                kept.append((box, text))
-        return group.loc[keep]
-
-    return annotations.groupBy("doc_id", "page").applyInPandas(run, annotations.schema)
+    columns = annotations.columns
+    text = lambda x: strip(F.coalesce(x["content"], F.lit("")))
+
+    def same(k, x):
+        close = F.lit(True)
+        for c in ("x0", "y0", "x1", "y1"):
+            close = close & (F.abs(k[c] - x[c]) < distance)
+        return (text(k) == text(x)) | close
+
+    items = F.array_sort(F.collect_list(F.struct("ord", *[c for c in columns if c not in ("doc_id", "page", "ord")])))
+    pages = annotations.groupBy("doc_id", "page").agg(items.alias("items"))
+    none = F.slice("items", 1, 0)
+    kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda k: same(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return pages.select("doc_id", "page", F.inline(kept)).select(*columns)
