@@ -20,7 +20,7 @@ def spaced(text: Column) -> Column:
     ends = F.lit(False)
     for e in ENDINGS:
         ends = ends | text.endswith(e)
-    return F.when(ends, text).otherwise(F.concat(text, F.lit(" ")))
+    return F.when(ends | (text == ""), text).otherwise(F.concat(text, F.lit(" ")))
 
 
 def tracked_ids(runs: DataFrame) -> DataFrame:

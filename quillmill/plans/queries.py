@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import batching, diff, jobs, match, package, pdf, suggest, tracked
+from ..operators import batching, diff, jobs, match, package, package_xml, pdf, suggest, tracked
 from ..session import fresh_path
 from ..sources import elements as el
 from ..sources import jsonio, parts, policy
@@ -762,3 +762,26 @@ def batch_messages(spark, d):
 def review_documents(spark, d):
     """The whole review with the rule-based suggester: counts per document."""
     return review.review(fx.elements(spark, d).filter("type = 'paragraph'"), review.RuleSuggester(fx.LEXICON), "policy").summary
+
+
+@query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, 7 AS n_styles, true AS tracks, 5 AS n_rels, 5 AS n_overrides, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_refs, 10 AS n_rsids FROM documents WHERE doc_id % 100 <> 99"))
+def repair_packages(spark, d):
+    """What repaired packages hold."""
+    fixed = package_xml.repair_packages(fx.packages(spark, d)).filter("error IS NULL")
+    nodes = parts.scan_nodes(parts.scan_parts(fixed))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return nodes.groupBy("path").agg(n("style").alias("n_styles"), F.max(F.coalesce(F.col("name") == package.TRACK_FLAG, F.lit(False))).alias("tracks"), n("relationship").alias("n_rels"), n("override").alias("n_overrides"), n("comment_reference").alias("n_refs"), n("rsid").alias("n_rsids"))
+
+
+def _package_review(spark, d):
+    found = parts.scan_elements(fx.packages(spark, d)).filter("error IS NULL AND type = 'paragraph'")
+    elements = found.select(F.regexp_extract("path", r"doc(\d+)", 1).cast("long").alias("doc_id"), F.col("seq").alias("pos"), "type", "element_id", "footnote_id", "text", "empty")
+    return review.review(elements, review.RuleSuggester(fx.LEXICON), "policy")
+
+
+@query(q(f"SELECT '/in/doc' || doc_id || '.docx' AS path, count({o.FIRST_WORD}) AS n_applied, 0 AS n_failed FROM (SELECT doc_id, {o.strip('raw')} AS text FROM lines WHERE NOT contains(raw, ' | ') AND doc_id % 100 <> 99 UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id % 100 <> 99) GROUP BY doc_id", "lines"))
+def edit_packages(spark, d):
+    """Packages reviewed and written back with tracked changes."""
+    edits = review.package_edits(_package_review(spark, d), F.concat(F.lit("/in/doc"), F.col("doc_id").cast("string"), F.lit(".docx")))
+    edited = package_xml.edit_packages(fx.packages(spark, d), edits, "tracked").filter("error IS NULL")
+    return edited.select("path", F.size("applied").cast("long").alias("n_applied"), F.size("failed").cast("long").alias("n_failed"))

@@ -58,3 +58,15 @@ def review(elements: DataFrame, suggester, prompt: str, max_tokens: int = batchi
     segments = diff.explode_segments(diff.diff_paragraph(applied), "doc_id", "change_no")
     comments = changes.filter(match.comment_eligible(F.col("motivation"), F.col("element_id"), motivations)).select("doc_id", "change_no", "element_id", "motivation")
     return Review(segments, verdicts, rejects, match.summary(verdicts), comments)
+
+
+def package_edits(done: Review, path) -> DataFrame:
+    """Edits of packages (path, change_no, element_id, segments, motivation): one per element, the first that applied.
+
+    ``path`` is a column expression over doc_id.
+    """
+    first = match.top1(done.verdicts.filter(F.col("verdict").isin("exact", "fuzzy")).select("doc_id", "change_no", "element_id"), ["doc_id", "element_id"], ["change_no"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind", "val"))), lambda x: F.struct(x["kind"].alias("kind"), x["val"].alias("val")))
+    segments = done.segments.groupBy("doc_id", "change_no").agg(parts.alias("segments"))
+    why = done.comments.select("doc_id", "change_no", "motivation")
+    return first.join(segments, ["doc_id", "change_no"]).join(why, ["doc_id", "change_no"], "left").select(path.alias("path"), "change_no", "element_id", "segments", "motivation")

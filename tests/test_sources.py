@@ -75,3 +75,68 @@ def test_fixture_packages_cover_documents(spark):
     d = "/root/testdata/sf0.001"
     assert fx.packages(spark, d).count() == fx.docs(spark, d).count()
     assert fx.elements(spark, d).groupBy("doc_id", "element_id").count().filter(F.col("count") > 1).count() == 0
+
+
+def document_of(data):
+    from xml.etree import ElementTree
+
+    found = {p[1]: p[2] for p in parts.unpack("x", data)}
+    return found, ElementTree.fromstring(found["word/document.xml"])
+
+
+def edits(spark, rows):
+    return spark.createDataFrame(rows, "path string, change_no bigint, element_id string, segments array<struct<kind:string,val:string>>, motivation string")
+
+
+def test_edits_in_a_package(spark):
+    from quillmill.operators import package_xml as px
+
+    W = parts.W
+    data = fx._package(7, "Keep the old words\ncell a | cell b\nother", "en", "s")
+    files = spark.createDataFrame([("/a.docx", bytearray(data)), ("/bad.docx", bytearray(b"zz"))], FILES)
+    changes = edits(spark, [
+        ("/a.docx", 1, "paragraph_1", [("text", "Keep "), ("strike", "old "), ("insert", "new"), ("text", "words ")], "shorter"),
+        ("/a.docx", 2, "table_1_cell_1_2", [("strike", "cell b "), ("insert", "cell c ")], None),
+        ("/a.docx", 3, "footnote_1", [("strike", "note of en"), ("insert", "a note")], "no comment here"),
+        ("/a.docx", 4, "textbox_1", [("insert", "box")], None),
+        ("/a.docx", 5, "paragraph_99", [("insert", "x")], None),
+    ])
+    for mode in ("simple", "tracked"):
+        got = {r["path"]: r for r in px.edit_packages(files, changes, mode).collect()}
+        assert got["/bad.docx"]["error"] and bytes(got["/bad.docx"]["content"]) == b"zz"
+        assert got["/a.docx"]["applied"] == [1, 2, 3, 4] and got["/a.docx"]["failed"] == [5]
+        found, root = document_of(bytes(got["/a.docx"]["content"]))
+        assert b"shorter" in found["word/comments.xml"] and b"no comment here" not in found["word/comments.xml"]
+        assert b"a note" in found["word/footnotes.xml"] and b"mainDocument" not in found["word/document.xml"]
+        if mode == "tracked":
+            marks = [(x.tag.removeprefix(W), x.get(f"{W}id"), "".join(t.text for t in x.iter() if t.tag in (f"{W}t", f"{W}delText"))) for x in root.iter() if x.tag in (f"{W}ins", f"{W}del")]
+            assert marks[:2] == [("del", "1", "old "), ("ins", "2", "new ")]
+        else:
+            colors = [c.get(f"{W}val") for c in root.iter(f"{W}color")]
+            assert colors[:2] == ["FF0000", "008000"] and root.find(f".//{W}ins") is None
+        assert not any(parts.xml_error(c) for n, c in found.items() if n.endswith((".xml", ".rels")))
+
+
+def test_repair_is_idempotent_and_complete():
+    from quillmill.operators import package, package_xml as px
+
+    found, _ = document_of(fx._package(4, "text", "en", "s"))
+    found["word/comments.xml"] = b"<broken"
+    once, done = px.repair(found)
+    twice, again = px.repair(once)
+    assert done and not again and once == twice
+    nodes = [(n, *x) for n, c in once.items() if n.endswith((".xml", ".rels")) for x in parts.nodes_of(n, c)]
+    assert set(package.REQUIRED_STYLES) <= {x[3] for x in nodes if x[1] == "style"}
+    assert not [x for x in nodes if x[1] == "comment_reference"]
+    assert {"/word/comments.xml", *(p for p, _ in package.COMMENT_OVERRIDES)} <= {x[4] for x in nodes if x[1] == "override"}
+    del found["word/styles.xml"]
+    assert "added style Normal" in px.repair(found)[1]
+
+
+def test_prefixes_survive():
+    from quillmill.operators import package_xml as px
+
+    text = b'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="urn:w14" mc:Ignorable="w14"><w:body/></w:document>'
+    again = px.dump(*px.load(text))
+    assert b'xmlns:w14="urn:w14"' in again and b'mc:Ignorable="w14"' in again and b"<w:body" in again
+    assert parts.xml_error(again) is None
