@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import decontam, mixing, ngram_join, quality_rules, sharding
-from quillmill.llm.common import fresh_path
+from quillmill.session import fresh_path
 
 SHARDS = 24
 

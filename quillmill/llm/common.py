@@ -1,42 +1,33 @@
-"""What the operators share: the shared folder, staged tables, words."""
+"""What the operators share: staged tables, batches of texts, words."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 #: Fixed value: the ASCII whitespace of the word definition, as Spark string.
 SPACES = " \t\n\x0b\x0c\r"
 #: Fixed value: the same as a Java regular expression.
 SPACES_RE = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that carries texts, and the setting's name.
+BATCH_BYTES, BATCH_SETTING = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own bound, as its setting shows it.
+DEFAULT_BYTES = str(64 << 20)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands texts to Python in batches of BATCH_BYTES at most.
 
-    It is the one named by ``spark.checkpoint.dir``. Where that is unset, a
-    local session gets a temporary folder; a cluster gets a folder in the
-    warehouse, which is shared by definition.
+    A batch exists several times at once (JVM, pipe, Python, result), and one
+    task's batches must not depend on how long texts are. A session that sets
+    a bound of its own keeps it; Spark versions without the setting go by rows.
     """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if sc.master.startswith("local"):
-            base = tempfile.mkdtemp(prefix="quillmill-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillmill"
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, DEFAULT_BYTES) in (DEFAULT_BYTES, DEFAULT_BYTES + "b"):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -25,11 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 10
 #: Words of benchmark text per pass; bounds what is broadcast.
 BLOCK_WORDS = 2_000_000
-#: A shard is indexed when it holds this many words of the vocabulary, or documents.
-SHARD_WORDS, SHARD_DOCS = 1 << 20, 10_000
+#: A shard is indexed when it holds this many words of the vocabulary, documents, or bytes of text.
+SHARD_WORDS, SHARD_DOCS, SHARD_BYTES = 1 << 20, 20_000, 32 << 20
 SAMPLE = 32
 
 #: A-Z to lower case; ASCII other than digits and letters to a space.
@@ -153,10 +155,11 @@ class Shard:
     """Documents of a task until they are indexed and searched."""
 
     def __init__(self, phrases: Phrases):
-        self.phrases, self.docs, self.runs, self.size = phrases, [], [], 0
+        self.phrases, self.docs, self.runs, self.size, self.bytes = phrases, [], [], 0, 0
 
     def add(self, doc_id, text: bytes | None) -> None:
         ws = tokens(text) if text else []
+        self.bytes += len(text or b"")
         n, least = len(ws), self.phrases.shortest
         kept = False
         if least and n >= least:
@@ -171,7 +174,7 @@ class Shard:
         self.docs.append((doc_id, n, text if kept else None))
 
     def full(self) -> bool:
-        return self.size >= SHARD_WORDS or len(self.docs) >= SHARD_DOCS
+        return self.size >= SHARD_WORDS or len(self.docs) >= SHARD_DOCS or self.bytes >= SHARD_BYTES
 
     def results(self) -> Iterator[dict]:
         hits: dict[int, tuple[list, set]] = {}
@@ -231,8 +234,8 @@ def _scan(phrases):
     return run
 
 
-def _clean(phrases):
-    """A function that passes on the rows in which no phrase occurs; column 0 is the text, which is dropped."""
+def _clean(phrases, column: int):
+    """A function that passes on the rows in whose text (the column of that number) no phrase occurs."""
 
     def run(batches):
         import pyarrow as pa
@@ -242,11 +245,11 @@ def _clean(phrases):
         def flush():
             clean = [not r["spans"] for r in shard.results()]
             for batch in held:
-                yield batch.filter(pa.array(clean[: batch.num_rows])).select(range(1, batch.num_columns))
+                yield batch.filter(pa.array(clean[: batch.num_rows]))
                 del clean[: batch.num_rows]
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.large_binary()):
+            for text in batch.column(column).cast(pa.large_binary()):
                 shard.add(None, text.as_py())
             held.append(batch)
             if shard.full():
@@ -259,10 +262,10 @@ def _clean(phrases):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` without any phrase of the benchmark, with all columns. Blocks of the benchmark filter one after the other; nothing is shuffled."""
-    out = docs
+    out = small_batches(docs)
     for block in _blocks(benchmark, block_words):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-        out = out.select(out["text"].cast("string").alias("__qm_text"), *[out[c] for c in out.columns]).mapInArrow(_clean(phrases), docs.schema)
+        out = out.mapInArrow(_clean(phrases, docs.columns.index("text")), docs.schema)
     return out
 
 
@@ -289,7 +292,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     several blocks they are taken as one document.
     """
     spark = docs.sparkSession
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    slim = small_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     passes = []
     for block in _blocks(benchmark, block_words):
         passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, window))), RESULT))

@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .components import connected_components
 
 #: Nodes that may share a rare token before the group is treated as a family.
@@ -423,7 +423,7 @@ def _tiles(stars: DataFrame, spec: Spec) -> DataFrame:
 def link(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    slim = small_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     profile = staged(slim.mapInArrow(_profile(spec), "kind int, id long, n long, node long"), "join-profile")
     rows = profile.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     names = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("name"))

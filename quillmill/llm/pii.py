@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Kinds in the order of results; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "national_id", "iban", "name")
@@ -250,7 +250,7 @@ def joined(spans: Column) -> Column:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, ``base`` spans and all ``spans`` (kind index, start, end; code points, end exclusive)."""
-    scanned = staged(scan(docs), "pii")
+    scanned = staged(scan(small_batches(docs)), "pii")
     accepted = fit(scanned).accepted
     code = lambda x: x["kind"] * 1_000_000 + x["code"]
     codes = F.array(*[F.lit(k * 1_000_000 + c) for k, c in sorted(accepted)]).cast("array<int>")

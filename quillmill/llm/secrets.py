@@ -19,7 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from ..session import fresh_path
+from .common import small_batches
 
 #: Kinds in the order of results; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "slack", "google", "jwt", "private_key")
@@ -84,7 +85,7 @@ def update_ledger(versions: DataFrame, text: str, ledger: str, rule_version: str
     An append that is repeated after a lost driver can list a blob twice, with
     equal findings; readers take one.
     """
-    spark = versions.sparkSession
+    spark = small_batches(versions).sparkSession
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blobs = versions.select(blob_of(F.col(text).cast("string")).alias("blob"), content.alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
     known = known_blobs(spark, ledger, rule_version)

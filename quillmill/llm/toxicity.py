@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> Classifier:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``; null texts score as empty ones."""
-    model = char_model(docs)
+    model = char_model(small_batches(docs))
     classifier = fit(docs, labels, model)
     shared = docs.sparkSession.sparkContext.broadcast((classifier, model))
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -8,7 +8,8 @@ says. Payloads that were seen before become revisits.
 
 Archives are written by Spark's text writer, which goes through the cluster's
 file system: a record is a row, its last line feed the row separator, so the
-files are WARC files to the byte (gzip-compressed as a whole). They are read
+files are WARC files to the byte (gzip-compressed as a whole, named by Spark:
+part-*.txt.gz). They are read
 back with Spark's binary file reader and parsed as streams; the number of records per
 file is bounded.
 
@@ -28,12 +29,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from ..session import fresh_path
+from .common import small_batches
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
 #: Archives hold at most this many records.
-RECORDS_PER_FILE = 20_000
+RECORDS_PER_FILE = 5_000
 #: Capture time of pages that come without one.
 DATE = "20240101000000"
 
@@ -243,6 +245,7 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
     smallest id are responses, too.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    pages = small_batches(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
     large = rows.select("page_id", "digest").filter(F.octet_length("html") >= revisit_bytes)
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
