@@ -46,6 +46,12 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
+    note = lambda x: F.when(x["pos"] % 10 == 0, (F.floor(x["pos"] / 10) - 2).cast("string"))
+    return el.from_documents(docs(spark, d), "text", "source", "lang", lambda x: x["pos"] % 9 == 0, note)
+
+
+def elements_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the scans of each kind, as sources with a table per kind give them."""
     rows = lines(spark, d)
     return el.union([el.paragraphs(rows), el.table_cells(rows), el.header_footer(sections(spark, d)), el.numbered(boxes(spark, d), "textbox"), el.footnotes(notes(spark, d))])
 

@@ -112,6 +112,11 @@ def elements_union(spark, d):
     return fx.elements(spark, d).select("doc_id", "pos", "type", "element_id", "footnote_id", "text", "empty")
 
 
+@query(ORACLES["elements_union"])
+def elements_by_kind(spark, d):
+    return fx.elements_by_kind(spark, d).select("doc_id", "pos", "type", "element_id", "footnote_id", "text", "empty")
+
+
 @query(q("SELECT doc_id, type, count(*) AS n, count(*) FILTER (WHERE empty) AS n_empty FROM elements GROUP BY doc_id, type", "elements"))
 def flag_empty(spark, d):
     return fx.elements(spark, d).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.count_if("empty").alias("n_empty"))

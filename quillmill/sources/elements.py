@@ -87,3 +87,30 @@ def pdf_lines(blocks: DataFrame, descending: bool = True) -> DataFrame:
 def flatten_pages(structure: DataFrame) -> DataFrame:
     """Nested pages and lines as (doc_id, page, line, text)."""
     return structure.select("doc_id", F.inline("pages")).select("doc_id", "page", F.inline("lines")).select("doc_id", "page", "line", "text")
+
+
+def from_documents(docs: DataFrame, text: str = "text", header: str | None = None, footer: str | None = None, box=None, note=None, delimiter: str = " | ") -> DataFrame:
+    """All elements of texts, with ``pos``, in one pass without a shuffle.
+
+    Numbering happens inside a document's row, on the array of its lines, so
+    nothing has to be sorted or moved: the table goes on as it was read.
+    ``header`` and ``footer`` name columns; ``box`` and ``note`` are functions
+    of a line (struct of pos and raw): whether it is a text box's, and the id
+    of the note that it is, or null.
+    """
+    kind = lambda k, seq, eid, raw, nid=None: F.struct(F.lit(k).alias("type"), seq.cast("long").alias("seq"), eid.alias("element_id"), (F.lit(None).cast("string") if nid is None else nid).alias("footnote_id"), strip(raw).alias("text"))
+    lines_ = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("pos"), x.alias("raw")))
+    rows = docs.withColumn("__lines", lines_)
+    ls = F.col("__lines")
+    parts = [F.transform(ls, lambda x: kind("paragraph", x["pos"], F.concat(F.lit("paragraph_"), x["pos"].cast("string")), x["raw"]))]
+    tabs = F.filter(ls, lambda x: x["raw"].contains(delimiter))
+    cell = lambda r: lambda c, k: kind("table_cell", (r + 1) * 10_000 + k, F.concat_ws("_", F.lit("table_1_cell"), (r + 1).cast("string"), (k + 1).cast("string")), c)
+    parts.append(F.flatten(F.transform(tabs, lambda x, r: F.transform(F.split(x["raw"], delimiter.replace("|", r"\|")), cell(r)))))
+    parts += [F.array(kind(k, F.lit(1), F.lit(f"{k}_1"), F.col(c))) for k, c in (("header", header), ("footer", footer)) if c]
+    if box is not None:
+        parts.append(F.transform(F.filter(ls, box), lambda x, i: kind("textbox", i + 1, F.concat(F.lit("textbox_"), (i + 1).cast("string")), x["raw"])))
+    if note is not None:
+        kept = F.filter(ls, lambda x: note(x).isNotNull() & ~note(x).isin(*SEPARATORS) & ~is_blank(x["raw"]))
+        parts.append(F.transform(kept, lambda x, i: kind("footnote", i + 1, F.concat(F.lit("footnote_"), (i + 1).cast("string")), x["raw"], note(x))))
+    found = rows.select("doc_id", F.posexplode(F.concat(*parts)).alias("__at", "e"))
+    return found.select("doc_id", "e.seq", "e.type", "e.element_id", "e.footnote_id", "e.text", (F.col("e.text") == "").alias("empty"), (F.col("__at") + 1).cast("long").alias("pos"))
