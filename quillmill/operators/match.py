@@ -80,15 +80,14 @@ def verdicts(changes: DataFrame, elements: DataFrame) -> DataFrame:
         .when(exact(F.col("text"), F.col("old")), "exact")
         .when((F.col("route") == "table_cell") & short_or_numeric(F.col("old")), "too_short")
     )
-    # no column is the marker of an open case: only those rows reach the Python worker
-    decided = joined.withColumn("verdict", kind)
-    columns = ["doc_id", "change_no", "element_id", "route", "verdict", F.lit(None).cast("int").alias("score"), "text", "old", "new"]
-    closed = decided.filter("verdict IS NOT NULL").select(*columns)
-    open_ = decided.filter("verdict IS NULL")
+    # One join for all: rows that are decided, or too far apart in length, reach the Python worker as nulls.
     a, b = norm(F.col("old")), norm(F.col("text"))
-    far = open_.filter(~could_be_similar(a, b)).select(*columns[:4], F.lit("no_match").alias("verdict"), *columns[5:])
-    near = open_.filter(could_be_similar(a, b)).withColumn("score", similarity(a, b)).select(*columns[:4], F.when(F.col("score") >= THRESHOLD, "fuzzy").otherwise("no_match").alias("verdict"), "score", *columns[6:])
-    return closed.union(far).union(near)
+    open_ = F.col("verdict").isNull() & could_be_similar(a, b)
+    decided = joined.withColumn("verdict", kind)
+    scored = decided.withColumn("score", similarity(F.when(open_, a), F.when(open_, b)))
+    verdict = F.coalesce("verdict", F.when(F.col("score") >= THRESHOLD, "fuzzy").otherwise("no_match"))
+    score = F.when(open_, F.col("score"))
+    return scored.select("doc_id", "change_no", "element_id", "route", verdict.alias("verdict"), score.alias("score"), "text", "old", "new")
 
 
 def cell_matches(changes: DataFrame, cell_paragraphs: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_pdf, norm, strip
-from .match import top1
 
 #: Lines to either side that are tried, distance below which notes are the same.
 NEAR, DISTANCE = 2, 5.0
@@ -29,15 +28,22 @@ def exact_line(changes: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.filter(holds(F.col("text"), F.col("old")))
 
 
-def near_line(changes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Changes that the named line does not hold, with the first line within NEAR that does.
+def line_matches(changes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, change_no, page, target, line, how) of changes that name a line.
 
-    The band is five keys per change, so the join is an equi-join.
+    The named line if it holds the change (``exact``), else the first line
+    within NEAR that does (``near``). The band is five keys per change, so one
+    equi-join finds both, and an aggregation with partial results picks.
     """
-    missed = changes.filter("line IS NOT NULL AND line <> 0").join(exact_line(changes, lines).select("doc_id", "change_no"), ["doc_id", "change_no"], "left_anti")
-    band = missed.withColumn("target", F.col("line")).withColumn("line", F.explode(F.sequence(F.col("line") - NEAR, F.col("line") + NEAR)))
+    band = changes.filter("line IS NOT NULL AND line <> 0").withColumn("target", F.col("line")).withColumn("line", F.explode(F.sequence(F.col("line") - NEAR, F.col("line") + NEAR)))
     hits = band.join(lines, ["doc_id", "page", "line"]).filter(holds(F.col("text"), F.col("old")))
-    return top1(hits, ["doc_id", "change_no"], ["line"])
+    best = F.min(F.struct((F.col("line") != F.col("target")).alias("off"), "line", "target", "page"))
+    return hits.groupBy("doc_id", "change_no").agg(best.alias("b")).select("doc_id", "change_no", "b.page", "b.target", "b.line", F.when(F.col("b.off"), "near").otherwise("exact").alias("how"))
+
+
+def near_line(changes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Changes that the named line does not hold, with the first line within NEAR that does."""
+    return line_matches(changes, lines).filter("how = 'near'")
 
 
 def on_page(changes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -48,8 +54,8 @@ def on_page(changes: DataFrame, lines: DataFrame) -> DataFrame:
 
 def matches(changes: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, change_no, page, line, how) of every match."""
-    pick = lambda df, how: df.select("doc_id", "change_no", "page", "line", F.lit(how).alias("how"))
-    return pick(exact_line(changes, lines), "exact").union(pick(near_line(changes, lines), "near")).union(pick(on_page(changes, lines), "page"))
+    pages = on_page(changes, lines).select("doc_id", "change_no", "page", "line", F.lit("page").alias("how"))
+    return line_matches(changes, lines).drop("target").unionByName(pages)
 
 
 def note(new: Column, motivation: Column, motivations: bool = True) -> Column:
