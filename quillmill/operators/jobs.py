@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import suffix
+
 #: Kept for (seconds).
 RETENTION = {"uploads": 3600, "logs": 30 * 24 * 3600, "results": 3600}
 
@@ -52,3 +54,14 @@ def with_fallback(rows: DataFrame, column: str, primary: Callable[[str], str], f
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{schema}, result string, used string, error string")
+
+
+def result_path(job_id: Column, original: Column, folder: str = "results") -> Column:
+    """Where a job's result goes: with the suffix of what was uploaded."""
+    return F.concat(F.lit(f"{folder}/"), job_id.cast("string"), F.lit(".result"), suffix(original))
+
+
+def audit(jobs: DataFrame, verdicts: DataFrame, at: Column) -> DataFrame:
+    """(job_id, doc_id, at, verdict, n): what a session did, to be written with its results."""
+    counts = verdicts.groupBy("doc_id", "verdict").agg(F.count("*").alias("n"))
+    return jobs.select("job_id", "doc_id").join(counts, "doc_id").select("job_id", "doc_id", at.alias("at"), "verdict", "n")

@@ -28,6 +28,7 @@ COMMENT_OVERRIDES = (
     ("/word/people.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.people+xml"),
 )
 TRACK_FLAG = "trackRevisions"
+THEME = ("theme/theme1.xml", "http://schemas.openxmlformats.org/officeDocument/2006/relationships/theme", "rIdTheme")
 #: Children of a node table that clean-up removes.
 REMOVED_TAGS = ("proofErr", "noProof")
 SPARSE_RSIDS = 10
@@ -147,6 +148,12 @@ def required_relationships(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(rows))
 
 
+def theme_relationship(parts: DataFrame) -> DataFrame:
+    """The relationship that a document with a theme part needs; for ``add_if_absent``."""
+    target, kind, rid = THEME
+    return parts.filter(F.col("part_name") == f"word/{target}").select("doc_id", F.lit(target).alias("target"), F.lit(kind).alias("type"), F.lit(rid).alias("rid"))
+
+
 def merge_missing_parts(target: DataFrame, source: DataFrame) -> DataFrame:
     """Parts (doc_id, part_name, content): the target's, and of the required ones and customXml/ those that only the source has."""
     wanted = source.filter(F.col("part_name").isin(*MERGED_PARTS) | F.col("part_name").startswith("customXml/"))

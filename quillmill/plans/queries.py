@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import register
 from ..functions import text as tx
 from ..operators import batching, diff, jobs, match, package, package_xml, pdf, suggest, tracked
 from ..session import fresh_path
 from ..sources import elements as el
-from ..sources import jsonio, parts, policy
+from ..sources import datasource, jsonio, parts, policy
 from . import fixtures as fx
 from . import oracle as o
 from . import review
@@ -371,6 +372,22 @@ def diff_cell(spark, d):
     return diff.explode_segments(diff.diff_words(fx.cell_changes(spark, d).join(hits, ["doc_id", "change_no"])), "doc_id", "change_no", "par_no")
 
 
+@query()
+def diff_cell_paragraph(spark, d):
+    """The matched paragraph of a cell against its replaced text: what stands around the change stays."""
+    hits = match.cell_matches(fx.cell_changes(spark, d), fx.cell_paragraphs(spark, d)).select("doc_id", "change_no", "par_no")
+    rows = fx.cell_changes(spark, d).join(hits, ["doc_id", "change_no"]).join(fx.cell_paragraphs(spark, d), ["doc_id", "element_id", "par_no"])
+    return diff.explode_segments(diff.diff_paragraph(rows), "doc_id", "change_no", "par_no")
+
+
+@query()
+def diff_textbox_full(spark, d):
+    """A box's whole text against its replaced text."""
+    rows = fx.changes(spark, d).filter(F.col("element_id").startswith("textbox_"))
+    found = match.join_textboxes(rows, el.numbered(fx.boxes(spark, d), "textbox"))
+    return diff.explode_segments(diff.diff_paragraph(found.withColumnRenamed("box_text", "text")), "doc_id", "change_no", "box_id")
+
+
 @query()
 def diff_textbox(spark, d):
     rows = fx.changes(spark, d).filter(F.col("element_id").startswith("textbox_"))
@@ -790,3 +807,48 @@ def edit_packages(spark, d):
     edits = review.package_edits(_package_review(spark, d), F.concat(F.lit("/in/doc"), F.col("doc_id").cast("string"), F.lit(".docx")))
     edited = package_xml.edit_packages(fx.packages(spark, d), edits, "tracked").filter("error IS NULL")
     return edited.select("path", F.size("applied").cast("long").alias("n_applied"), F.size("failed").cast("long").alias("n_failed"))
+
+
+@query(q("SELECT doc_id, CASE WHEN e > 0 THEN " + _UNMARK("text[1 : s - 1]") + " || chr(10) || chr(10) || " + o.strip("text[s + 23 : e - 1]") + " || chr(10) || chr(10) || " + _UNMARK("text[e + 21 :]") + " END AS prompt FROM (SELECT *, instr(text, '<!-- START_EDITABLE -->') AS s, instr(text, '<!-- END_EDITABLE -->') AS e FROM policies)", "policies"))
+def prompt_assembly(spark, d):
+    """The whole prompt of each valid policy."""
+    p = policy.sections(fx.policies(spark, d))
+    return p.select("doc_id", F.when(F.col("valid"), policy.assemble(F.col("locked_before"), F.col("editable"), F.col("locked_after"))).alias("prompt"))
+
+
+@query(q("SELECT path, 'results/' || event_id || '.result' || ['.docx', '.pdf', '.txt', '', '.docx'][event_id % 5 + 1] AS result FROM files", "files"))
+def result_paths(spark, d):
+    number = F.regexp_extract("path", "file([0-9]+)", 1)
+    return fx.files(spark, d).select("path", jobs.result_path(number, F.col("path")).alias("result"))
+
+
+@query(q("SELECT doc_id, target, rid, false AS added FROM rels UNION ALL SELECT doc_id, 'theme/theme1.xml', 'rIdTheme', true FROM source_parts WHERE part_name = 'word/theme/theme1.xml'", "rels", "source_parts"))
+def theme_relationship(spark, d):
+    required = package.theme_relationship(fx.source_parts(spark, d)).select("doc_id", "target", "rid")
+    return package.add_if_absent(fx.rels(spark, d), required, ["doc_id", "target"])
+
+
+@query(q("SELECT 'job' AS kind, v.doc_id, CASE WHEN old IS NULL THEN 'missing_old' WHEN text IS NULL THEN 'unknown_element' WHEN route = 'unsupported' THEN 'unsupported' WHEN route IN ('footnote', 'textbox') THEN 'deferred' ELSE 'exact' END AS verdict, count(*) AS n FROM verdict_rows v WHERE old IS NULL OR text IS NULL OR route IN ('unsupported', 'footnote', 'textbox') OR is_exact GROUP BY ALL", "verdict_rows"))
+def session_audit(spark, d):
+    """Counts of the verdicts that need no similarity, per job and document."""
+    v = match.verdicts(fx.changes(spark, d), fx.elements(spark, d))
+    owners = fx.doc_ids(spark, d).withColumn("job_id", F.lit("job"))
+    return jobs.audit(owners, v, F.lit(NOW)).filter(F.col("verdict").isin("missing_old", "unknown_element", "unsupported", "deferred", "exact")).select(F.col("job_id").alias("kind"), "doc_id", "verdict", "n")
+
+
+@query()
+def sql_functions(spark, d):
+    """Similarity and word diff from SQL text."""
+    register.register(spark)
+    rows = fx.changes(spark, d).filter("old IS NOT NULL")
+    return spark.sql("SELECT c.doc_id, c.change_no, similarity(c.old, c.new) AS score, s.ord, s.kind, s.val FROM {c} c, LATERAL diff_words(c.old, c.new) s", c=rows)
+
+
+@query(q("SELECT 'doc' || doc_id || '.docx' AS name, CASE WHEN doc_id % 100 = 99 THEN 0 WHEN doc_id % 50 = 49 THEN 9 ELSE 8 END AS n_parts FROM documents"))
+def office_parts(spark, d):
+    """Packages through the data source."""
+    folder = fresh_path(spark, "packages")
+    parts.save_packages(fx.packages(spark, d), folder)
+    datasource.register(spark)
+    rows = spark.read.format("office_parts").load(folder)
+    return rows.groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("name")).agg(F.count("part_name").alias("n_parts"))

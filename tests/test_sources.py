@@ -140,3 +140,23 @@ def test_prefixes_survive():
     again = px.dump(*px.load(text))
     assert b'xmlns:w14="urn:w14"' in again and b'mc:Ignorable="w14"' in again and b"<w:body" in again
     assert parts.xml_error(again) is None
+
+
+def test_elements_in_rows_equal_those_by_kind(spark):
+    d = "/root/testdata/sf0.001"
+    columns = ["doc_id", "pos", "seq", "type", "element_id", "footnote_id", "text", "empty"]
+    key = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    assert key(fx.elements(spark, d)) == key(fx.elements_by_kind(spark, d))
+
+
+def test_sql_functions_and_data_source(spark, tmp_path):
+    from quillmill.functions import register
+    from quillmill.sources import datasource
+
+    register.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM diff_words('a b', 'a c')").collect()] == [(0, "text", "a "), (1, "strike", "b "), (2, "insert", "c ")]
+    assert spark.sql("SELECT similarity('abc', 'abd')").first()[0] == 67
+    datasource.register(spark)
+    (tmp_path / "x.docx").write_bytes(fx._package(1, "a", "en", "s"))
+    (tmp_path / "y.txt").write_bytes(b"no")
+    assert spark.read.format("office_parts").load(str(tmp_path)).count() == 8
