@@ -140,6 +140,16 @@ class Phrases:
             row[len(row) - len(p) :] = p
         self.shortest = int(self.lengths.min()) if found else 0
 
+    def plain(self) -> dict:
+        """The content without the class: what is broadcast must not need this module where it arrives."""
+        return vars(self)
+
+    @classmethod
+    def of(cls, plain: dict) -> Phrases:
+        out = cls.__new__(cls)
+        vars(out).update(plain)
+        return out
+
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     out: list[list[int]] = []
@@ -213,21 +223,22 @@ RESULT = f"doc_id long, n_words long, spans {SPAN}, items array<long>, removal {
 
 
 def _scan(phrases):
-    """A function over Arrow batches; ``phrases`` is a broadcast of Phrases."""
+    """A function over Arrow batches; ``phrases`` is a broadcast of Phrases.plain()."""
 
     def run(batches):
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.int64())), ("removal", span)])
-        shard = Shard(phrases.value)
+        wanted = Phrases.of(phrases.value)
+        shard = Shard(wanted)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()) if not pa.types.is_large_binary(batch.column(1).type) else batch.column(1)
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                 shard.add(doc_id, text.as_py())
                 if shard.full():
                     yield pa.RecordBatch.from_pylist(list(shard.results()), schema=schema)
-                    shard = Shard(phrases.value)
+                    shard = Shard(wanted)
         if shard.docs:
             yield pa.RecordBatch.from_pylist(list(shard.results()), schema=schema)
 
@@ -240,7 +251,8 @@ def _clean(phrases, column: int):
     def run(batches):
         import pyarrow as pa
 
-        shard, held = Shard(phrases.value), []
+        wanted = Phrases.of(phrases.value)
+        shard, held = Shard(wanted), []
 
         def flush():
             clean = [not r["spans"] for r in shard.results()]
@@ -254,7 +266,7 @@ def _clean(phrases, column: int):
             held.append(batch)
             if shard.full():
                 yield from flush()
-                shard, held = Shard(phrases.value), []
+                shard, held = Shard(wanted), []
         yield from flush()
 
     return run
@@ -264,7 +276,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """The rows of ``docs`` without any phrase of the benchmark, with all columns. Blocks of the benchmark filter one after the other; nothing is shuffled."""
     out = small_batches(docs)
     for block in _blocks(benchmark, block_words):
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window).plain())
         out = out.mapInArrow(_clean(phrases, docs.columns.index("text")), docs.schema)
     return out
 
@@ -295,9 +307,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     slim = small_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     passes = []
     for block in _blocks(benchmark, block_words):
-        passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, window))), RESULT))
+        passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, window).plain())), RESULT))
     if not passes:
-        passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases([], window))), RESULT))
+        passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases([], window).plain())), RESULT))
     if len(passes) == 1:
         return passes[0]
     every = reduce(DataFrame.unionByName, passes).groupBy("doc_id")
