@@ -7,16 +7,17 @@ cheapest under the channel's costs and a character trigram model, which is
 counted over the words of the whole corpus. A token whose lattice has a single
 path is left as it is, without a search: that is the same result.
 
-Restored words and the character n-grams in them are weighed by their log odds
+Restored words, their beginnings and the character n-grams in them are weighed by their log odds
 in toxic and other labelled documents, with a lower confidence bound, so that
-only well supported ones count. A document's sum of weights over distinct words is turned
-into a probability by logistic calibration on labelled documents that the
-weights have not seen. Learning uses MAX_LABELLED labelled documents at most,
+only well supported ones count; copies of a text count as one. A document's sum of weights over distinct
+words, and its strongest weight, are turned into a probability by logistic
+calibration on labelled documents that the weights have not seen. Learning uses MAX_LABELLED labelled documents at most,
 the ones with the smallest hash of their id, and none with remainder 0.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -31,9 +32,11 @@ from .common import small_batches, staged
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
-#: Hash space of words and n-grams.
+#: Buckets in which words and n-grams are counted first.
 BITS = 18
 GRAM = 5
+#: Letters of the beginnings that are features.
+BEGINNINGS = (5, 6, 7, 8)
 #: Words that a task remembers.
 MEMORY = 400_000
 
@@ -125,35 +128,38 @@ def tokens_of(text: str | None) -> set[str]:
 
 
 def restored(token: str, model: CharModel) -> str:
+    if token.isalpha() and not THRICE.search(token):
+        return token
     core = EDGE.sub("", token)
     return model.restore(core) if core and hidden(core) else core
 
 
-def features(word: str) -> set[int]:
-    """Hashed word and character n-grams of a restored word."""
-    mask, padded = (1 << BITS) - 1, f"^{word}$"
-    out = {zlib.crc32(padded.encode("utf-8", "surrogatepass")) & mask}
-    for k in range(len(padded) - GRAM + 1):
-        out.add(zlib.crc32(padded[k : k + GRAM].encode("utf-8", "surrogatepass"), 1) & mask)
-    return out
+def features(word: str) -> set[str]:
+    """A restored word, its beginnings and its character n-grams. Marks keep them apart where their letters are equal."""
+    padded = f"^{word}$"
+    return {f"={word}", *(f"<{word[:k]}" for k in BEGINNINGS if k < len(word)), *(padded[k : k + GRAM] for k in range(len(padded) - GRAM + 1))}
+
+
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
 @dataclass
 class Classifier:
-    weights: dict[int, float] = field(default_factory=dict)
-    coefficients: tuple[float, float, float] = (-3.0, 0.0, 0.0)
+    weights: dict[str, float] = field(default_factory=dict)
+    coefficients: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
 
     def word_weight(self, word: str) -> float:
         get = self.weights.get
         return max((get(f, 0.0) for f in features(word)), default=0.0) if word else 0.0
 
-    def score(self, total: float, distinct: int) -> float:
-        a, b, c = self.coefficients
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total) + c * total / math.sqrt(distinct + 10)))))
+    def score(self, total: float, strongest: float, distinct: int) -> float:
+        a, b, c, d = self.coefficients
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total) + c * total / math.sqrt(distinct + 10) + d * strongest))))
 
 
-def learn_weights(counts: list[tuple[int, int, int]], toxic: int, other: int, z: float = 3.0, least: int = 4) -> dict[int, float]:
-    """Lower confidence bounds of log odds, where positive. counts: (feature, in toxic documents, in others)."""
+def learn_weights(counts: list[tuple], toxic: int, other: int, z: float = 3.0, least: int = 4) -> dict:
+    """Lower confidence bounds of log odds, where positive. counts: (feature, in toxic documents, in others), fractions allowed."""
     out = {}
     for f, a, b in counts:
         if a >= least:
@@ -163,40 +169,47 @@ def learn_weights(counts: list[tuple[int, int, int]], toxic: int, other: int, z:
     return out
 
 
-def calibrate(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
-    """Logistic regression (Newton, small ridge) of labels on the totals. rows: (total, distinct words, label)."""
-    if not rows or len({r[2] for r in rows}) < 2:
+def calibrate(rows: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
+    """Logistic regression (Newton, small ridge) of labels on the weights. rows: (total, strongest, distinct words, label)."""
+    if not rows or len({r[3] for r in rows}) < 2:
         return Classifier().coefficients
-    total, distinct, y = (np.array(c, dtype=float) for c in zip(*rows))
-    x = np.column_stack([np.ones(len(y)), np.log1p(total), total / np.sqrt(distinct + 10)])
-    use = np.array([True, True, True])
+    total, strongest, distinct, y = (np.array(c, dtype=float) for c in zip(*rows))
+    x = np.column_stack([np.ones(len(y)), np.log1p(total), total / np.sqrt(distinct + 10), strongest])
+    use = np.ones(4, dtype=bool)
     while True:
-        w, ridge = np.zeros(3), np.array([0, 0.05, 0.05])
+        w, ridge = np.zeros(4), np.array([0, 0.05, 0.05, 0.05])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             z = x[:, use]
             w[use] += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge[use] + 1e-6), z.T @ (y - p) - (ridge * w)[use])
         if (w[1:] >= 0).all():
             return tuple(float(v) for v in w)
-        # more weight must never lower a score: leave the worst of the two terms out
+        # more weight must never lower a score: leave the worst term out
         use[1 + int(np.argmin(w[1:]))] = False
 
 
 def _count_trigrams(batches):
     import pyarrow as pa
 
-    for batch in batches:
-        words: Counter = Counter()
-        for text in batch.column(0):
-            words.update((text.as_py() or "").lower().split())
-        grams: Counter = Counter()
+    words: Counter = Counter()
+    grams: Counter = Counter()
+
+    def fold_in():
         for w, n in words.items():
-            w = EDGE.sub("", w)
+            w = w if w.isalpha() else EDGE.sub("", w)
             if w and LETTERS.issuperset(w):
                 padded = f"^^{w}$"
                 for k in range(len(padded) - 2):
                     grams[padded[k : k + 3]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+        words.clear()
+
+    for batch in batches:
+        for text in batch.column(0):
+            words.update((text.as_py() or "").lower().split())
+            if len(words) > MEMORY:
+                fold_in()
+    fold_in()
+    yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
 
 
 def char_model(docs: DataFrame) -> CharModel:
@@ -209,19 +222,23 @@ def _featurize(model):
     def run(batches):
         import pyarrow as pa
 
-        lm, memory = model.value, {}
+        lm, memory = CharModel(model.value), {}
         for batch in batches:
-            out = []
+            out, families = [], []
             for text in batch.column(2):
                 found: set[int] = set()
-                for t in tokens_of(text.as_py()):
+                tokens = tokens_of(text.as_py())
+                # copies have the same smallest hashes of words, near copies mostly
+                least = heapq.nsmallest(4, (zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens))
+                families.append(zlib.crc32(repr(least).encode()))
+                for t in tokens:
                     if t not in memory:
                         if len(memory) > MEMORY:
                             memory.clear()
-                        memory[t] = features(w) if (w := restored(t, lm)) else set()
+                        memory[t] = {bucket(f) for f in features(w)} if (w := restored(t, lm)) else set()
                     found |= memory[t]
                 out.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.string()), pa.array(out, pa.list_(pa.int32()))], names=["part", "label", "text", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.string()), pa.array(out, pa.list_(pa.int32())), pa.array(families, pa.int64())], names=["part", "label", "text", "features", "family"])
 
     return run
 
@@ -229,16 +246,40 @@ def _featurize(model):
 def _count_features(batches):
     import pyarrow as pa
 
-    counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+    counts = np.zeros((2, 1 << BITS))
     for batch in batches:
-        for label, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts[label, found.values.to_numpy()] += 1
+        for label, weight, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            counts[label, found.values.to_numpy()] += weight
     some = np.flatnonzero(counts.sum(0))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[1, some]), pa.array(counts[0, some])], names=["feature", "toxic", "other"])
 
 
-def _total(classifier: Classifier, model: CharModel, memory: dict, text: str | None) -> tuple[float, int]:
-    """Sum of the weights of a text's distinct restored words, and the number of its distinct tokens."""
+def _count_exactly(shared):
+    """(feature, in toxic documents, in others) of the features in chosen buckets, from (label, weight, text)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        chosen, lm, memory = set(shared.value[0]), CharModel(shared.value[1]), {}
+        for batch in batches:
+            counts: dict[str, list[float]] = {}
+            for label, weight, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found: set[str] = set()
+                for t in tokens_of(text.as_py()):
+                    if t not in memory:
+                        if len(memory) > MEMORY:
+                            memory.clear()
+                        memory[t] = {f for f in features(w) if bucket(f) in chosen} if (w := restored(t, lm)) else set()
+                    found |= memory[t]
+                for f in found:
+                    counts.setdefault(f, [0.0, 0.0])[label] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.float64()), pa.array([c[0] for c in counts.values()], pa.float64())], names=["feature", "toxic", "other"])
+
+    return run
+
+
+def _total(classifier: Classifier, model: CharModel, memory: dict, text: str | None) -> tuple[float, float, int]:
+    """Sum and maximum of the weights of a text's distinct restored words, and the number of its distinct tokens."""
     tokens = tokens_of(text)
     found: dict[str, float] = {}
     get = memory.get
@@ -252,18 +293,20 @@ def _total(classifier: Classifier, model: CharModel, memory: dict, text: str | N
             hit = memory[t] = (word, weight) if weight > 0 else ()
         if hit:
             found[hit[0]] = hit[1]
-    return sum(found[w] for w in sorted(found)), len(tokens)
+    return sum(found[w] for w in sorted(found)), max(found.values(), default=0.0), len(tokens)
 
 
 def _totals(shared):
     def run(batches):
         import pyarrow as pa
 
-        classifier, model = shared.value
+        # plain data is broadcast; the classes are put around it here
+        weights, coefficients, counts = shared.value
+        classifier, model = Classifier(weights, coefficients), CharModel(counts)
         memory: dict = {}
         for batch in batches:
             got = [_total(classifier, model, memory, x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], names=["label", "total", "distinct"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64())], names=["label", "total", "strongest", "distinct"])
 
     return run
 
@@ -272,7 +315,9 @@ def _score(shared):
     def run(batches):
         import pyarrow as pa
 
-        classifier, model = shared.value
+        # plain data is broadcast; the classes are put around it here
+        weights, coefficients, counts = shared.value
+        classifier, model = Classifier(weights, coefficients), CharModel(counts)
         memory: dict = {}
         for batch in batches:
             scores = [classifier.score(*_total(classifier, model, memory, x.as_py())) for x in batch.column(1)]
@@ -296,23 +341,34 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> Classifier:
     marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy(F.col("doc_id").cast("long").alias("__qm_id")).agg(F.max("toxic").cast("int").alias("label"))
     sample = marks.orderBy(F.xxhash64("__qm_id"), "__qm_id").limit(MAX_LABELLED).withColumn("part", (fold(F.col("__qm_id")) == 4).cast("int"))
     sample = staged(sample, "tox-sample")
-    lm = spark.sparkContext.broadcast(model)
+    lm = spark.sparkContext.broadcast(model.tri)
     slim = docs.select(docs["doc_id"].cast("long").alias("__qm_doc"), docs["text"].cast("string").alias("text"))
     rows = slim.join(F.broadcast(sample), F.col("__qm_doc") == F.col("__qm_id")).select("part", "label", "text")
-    seen = staged(rows.mapInArrow(_featurize(lm), "part int, label int, text string, features array<int>"), "tox-features")
-    sizes = {r["label"]: r["count"] for r in seen.filter("part = 0").groupBy("label").count().collect()}
-    counts = seen.filter("part = 0").select("label", "features").mapInArrow(_count_features, "feature int, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")).filter("a > 0").collect()
-    weights = learn_weights([(r["feature"], r["a"], r["b"]) for r in counts], sizes.get(1, 0), sizes.get(0, 0))
-    bare = spark.sparkContext.broadcast((Classifier(weights), model))
-    held = seen.filter("part = 1").select("label", "text").mapInArrow(_totals(bare), "label int, total double, distinct long").collect()
-    return Classifier(weights, calibrate(sorted((r["total"], r["distinct"], r["label"]) for r in held)))
+    seen = staged(rows.mapInArrow(_featurize(lm), "part int, label int, text string, features array<int>, family long"), "tox-features")
+    part = seen.filter("part = 0")
+    # texts of a family share one vote, so a text's words are not toxic for having been copied
+    shares = part.groupBy("label", "family").agg((1.0 / F.count("*")).alias("weight"))
+    taught = part.join(shares, ["label", "family"]).select("label", "weight", "text", "features")
+    sizes = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.round(F.sum("weight"), 6).alias("n")).collect()}
+    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
+    sums = [F.round(F.sum("toxic"), 6).alias("a"), F.round(F.sum("other"), 6).alias("b")]
+    rough = taught.select("label", "weight", "features").mapInArrow(_count_features, "feature int, toxic double, other double").groupBy("feature").agg(*sums).filter("a > 0").collect()
+    # a bucket may hold several features, so only its members' own counts give weights; a bucket that
+    # is not toxic by a mild bound has no member that is by the strict one, but for rare chance
+    chosen = sorted(learn_weights([(r["feature"], r["a"], r["b"]) for r in rough], toxic, other, z=0.5))
+    picked = spark.sparkContext.broadcast((chosen, model.tri))
+    counts = taught.select("label", "weight", "text").mapInArrow(_count_exactly(picked), "feature string, toxic double, other double").groupBy("feature").agg(*sums).filter("a > 0").collect()
+    weights = learn_weights(sorted((r["feature"], r["a"], r["b"]) for r in counts), toxic, other)
+    bare = spark.sparkContext.broadcast((weights, Classifier().coefficients, model.tri))
+    held = seen.filter("part = 1").select("label", "text").mapInArrow(_totals(bare), "label int, total double, strongest double, distinct long").collect()
+    return Classifier(weights, calibrate(sorted((r["total"], r["strongest"], r["distinct"], r["label"]) for r in held)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``; null texts score as empty ones."""
     model = char_model(small_batches(docs))
     classifier = fit(docs, labels, model)
-    shared = docs.sparkSession.sparkContext.broadcast((classifier, model))
+    shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.coefficients, model.tri))
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     scored = slim.mapInArrow(_score(shared), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
