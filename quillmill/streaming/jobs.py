@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.jobs import latest_status
+from ..operators.jobs import expired, latest_status
 from ..schemas import JOB_EVENTS
 
 
@@ -39,8 +39,6 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 
 def expired_stream(files: DataFrame, now, seconds: int, stamp: str = "ts") -> DataFrame:
     """Old files as they appear: stateless, so it is the batch filter."""
-    from ..operators.jobs import expired
-
     return expired(files, now, seconds, stamp)
 
 
