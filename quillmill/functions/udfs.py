@@ -7,6 +7,7 @@ of their own, so a ``CASE`` around one does not save its cost.
 from __future__ import annotations
 
 import difflib
+import os.path
 import re
 
 import pandas as pd
@@ -23,11 +24,19 @@ MARKS = {"  ": "text", "- ": "strike", "+ ": "insert"}
 
 
 def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, bit-parallel over one integer."""
+    """Longest common subsequence, bit-parallel over one integer.
+
+    A common beginning and end belong to it whole; what is left between them
+    is short for the nearly equal texts that pass the length bound.
+    """
     if len(a) > len(b):
         a, b = b, a
+    head = len(os.path.commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a:
-        return 0
+        return head + tail
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
@@ -36,7 +45,7 @@ def lcs_length(a: str, b: str) -> int:
     for c in b:
         u = v & where.get(c, 0)
         v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return head + tail + len(a) - v.bit_count()
 
 
 def ratio(a: str | None, b: str | None) -> int:
