@@ -71,17 +71,17 @@ def verdicts(changes: DataFrame, elements: DataFrame) -> DataFrame:
     """
     key = ["doc_id", "element_id"]
     base = changes.withColumn("route", route(F.coalesce("element_id", F.lit(""))))
-    joined = base.join(elements.select(*key, "text"), key, "left")
+    joined = base.join(elements.select(*key, "text"), key, "left").withColumn("__a", norm(F.col("old"))).withColumn("__b", norm(F.col("text")))
+    a, b = F.col("__a"), F.col("__b")
     kind = (
         F.when(F.col("old").isNull(), "missing_old")
         .when(F.col("text").isNull(), "unknown_element")
         .when(F.col("route") == "unsupported", "unsupported")
         .when(F.col("route").isin("footnote", "textbox"), "deferred")
-        .when(exact(F.col("text"), F.col("old")), "exact")
+        .when(b.contains(a), "exact")
         .when((F.col("route") == "table_cell") & short_or_numeric(F.col("old")), "too_short")
     )
     # One join for all: rows that are decided, or too far apart in length, reach the Python worker as nulls.
-    a, b = norm(F.col("old")), norm(F.col("text"))
     open_ = F.col("verdict").isNull() & could_be_similar(a, b)
     decided = joined.withColumn("verdict", kind)
     scored = decided.withColumn("score", similarity(F.when(open_, a), F.when(open_, b)))
