@@ -12,7 +12,8 @@ spans merged per document.
 
 The benchmark is read in blocks of a bounded number of words; each block is one
 pass over the documents. Nothing about the documents leaves their task but the
-result, so there is no shuffle for one block.
+result, so there is no shuffle for one block; for several, rows are numbered
+in a staged table and the findings of all passes merged by that number.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, staged
 
 WINDOW = 10
 #: Words of benchmark text per pass; bounds what is broadcast.
@@ -298,29 +300,36 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, merged ``spans`` of words, ``items`` met, and ``removal`` spans of code points.
 
-    Every document is in the result, with empty arrays if nothing was found;
-    a null text has no words. Items without an id count as hits but are not
-    listed. Repeated doc_ids keep a row each for one benchmark block; for
-    several blocks they are taken as one document.
+    Every row is in the result, with empty arrays if nothing was found; a null
+    text has no words. Items without an id count as hits but are not listed.
+    Repeated and null doc_ids keep a row each: for several benchmark blocks
+    the rows are numbered in a staged table, and the passes merged by number.
     """
     spark = docs.sparkSession
     slim = small_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
-    passes = []
-    for block in _blocks(benchmark, block_words):
-        passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, window).plain())), RESULT))
-    if not passes:
-        passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases([], window).plain())), RESULT))
-    if len(passes) == 1:
-        return passes[0]
-    every = reduce(DataFrame.unionByName, passes).groupBy("doc_id")
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    return every.agg(F.max("n_words").alias("n_words"), *[merge_spans(flat(c)).alias(c) for c in ("spans", "removal")], F.array_sort(flat("items")).alias("items")).select("doc_id", "n_words", "spans", "items", "removal")
-
-
-def merge_spans(spans):
-    """Union of the spans of an array, sorted."""
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), step)
+    blocks = _blocks(benchmark, block_words)
+    scan = lambda rows, block: rows.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, window).plain())), RESULT)
+    block, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        return scan(slim, block)
+    rows = staged(slim.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), "text")
+    passes = [scan(numbered, block)] + [scan(numbered, b).filter("size(spans) > 0") for b in chain([more], blocks)]
+    found = [p.withColumnRenamed("doc_id", "row").withColumn("doc_id", F.lit(None).cast("long")) for p in passes]
+    owners = rows.select("row", "doc_id")  # its other columns are null, which no aggregate counts
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [*found, owners]).groupBy("row")
+    pairs = F.flatten(F.collect_list(F.arrays_zip("spans", "removal")))
+    merged = every.agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merge_spans(pairs).alias("both"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.select("doc_id", "n_words", F.col("both.spans").alias("spans"), "items", F.col("both.removal").alias("removal"))
+
+
+def merge_spans(pairs):
+    """Union of spans of words that touch or overlap, sorted; each takes the code points of what it unites along."""
+    last = lambda acc: F.element_at(acc, -1)
+    end = lambda a, x, c: F.struct(a[c]["start"].alias("start"), F.greatest(a[c]["end"], x[c]["end"]).alias("end")).alias(c)
+    both = lambda a, x: F.array(F.struct(end(a, x, "spans"), end(a, x, "removal")))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["spans"]["end"] >= x["spans"]["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), both(last(acc), x))).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.array_sort(pairs), F.array().cast("array<struct<spans:struct<start:long,end:long>,removal:struct<start:long,end:long>>>"), step)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -65,6 +65,15 @@ def test_small_shards_and_blocks(spark, make_docs, monkeypatch):
     assert got == sorted((x[:4] for x in brute(distinct, bench)), key=repr)
 
 
+def test_blocks_keep_every_row(spark, make_docs):
+    """Null and repeated doc_ids stay rows of their own, and spans are the same as for one block."""
+    docs, bench = cases()
+    docs += [(None, bench[0][1]), (None, "the of " + bench[1][1]), (100, "nothing"), (100, bench[8][1])]
+    frame, items = make_docs([(i, t, "s") for i, t in docs]), spark.createDataFrame(bench, BENCH)
+    key = lambda df: sorted((repr(r) for r in df.collect()))
+    assert key(d.find(frame, items, block_words=20)) == key(d.find(frame, items))
+
+
 def test_tables_like_brute_force(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
