@@ -5,7 +5,10 @@ letters repeated or kept apart) is a lattice: each character may stand for one
 of several letters, or for nothing. Viterbi search finds the reading that is
 cheapest under the channel's costs and a character trigram model, which is
 counted over the words of the whole corpus. A token whose lattice has a single
-path is left as it is, without a search: that is the same result.
+path is left as it is, without a search: that is the same result. So is a token
+without a letter, if one of its characters stands for no letter (2024): no
+reading of it is a word. Marks at a token's edges that may be letters are read
+both ways (idiot!, a$$); the token counts as both words.
 
 Restored words, their beginnings and the character n-grams in them are weighed by their log odds
 in toxic and other labelled documents, with a lower confidence bound, so that
@@ -49,7 +52,10 @@ OTHER, LEFT_OUT, REPEATED = 1.0, 0.5, 0.2
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz") | frozenset(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 
 EDGE = re.compile(r"^[^\w@$]+|[^\w@+]+$")
-THRICE = re.compile(r"(.)\1\1")
+#: The same without what may be a letter.
+BARE_EDGE = re.compile(r"^[^\w{0}]+|[^\w{0}]+$".format(re.escape("".join(LEET))))
+MARKS = re.compile(r"\W*")
+TWICE = re.compile(r"(.)\1")
 
 
 class CharModel:
@@ -63,17 +69,25 @@ class CharModel:
             self.ctx[g[:2]] = self.ctx.get(g[:2], 0) + n
             self.uni[g[2]] = self.uni.get(g[2], 0) + n
         self.total = sum(self.uni.values())
+        self.known: dict[str, float] = {}
+        self.read: dict[str, str] = {}
 
     def cost(self, context: str, c: str) -> float:
         """Negative log probability of a character (or the end, ``$``) after two."""
-        base = (self.uni.get(c, 0) + 0.5) / (self.total + 30)
-        n = self.ctx.get(context, 0)
-        return -math.log((self.tri.get(context + c, 0) + 8 * base) / (n + 8))
+        gram = context + c
+        if (out := self.known.get(gram)) is None:
+            base = (self.uni.get(c, 0) + 0.5) / (self.total + 30)
+            n = self.ctx.get(context, 0)
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            out = self.known[gram] = -math.log((self.tri.get(gram, 0) + 8 * base) / (n + 8))
+        return out
 
     def restore(self, token: str) -> str:
         """The cheapest reading of a token (lower case): exact Viterbi search over the last two letters."""
         states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
         previous = ""
+        known, cost_of = self.known, self.cost
         for ch in token:
             nxt: dict[str, tuple[float, str]] = {}
             choices = [(o, OTHER) for o in LEET.get(ch, "")]
@@ -84,7 +98,8 @@ class CharModel:
             skip = REPEATED if ch == previous else LEFT_OUT if ch in BETWEEN else None
             for context, (cost, text) in states.items():
                 for o, price in choices:
-                    c = cost + price + self.cost(context, o)
+                    c = known.get(context + o)
+                    c = cost + price + (cost_of(context, o) if c is None else c)
                     key = context[1] + o
                     if key not in nxt or (c, text + o) < nxt[key]:
                         nxt[key] = (c, text + o)
@@ -98,17 +113,19 @@ class CharModel:
 
 def hidden(token: str) -> bool:
     """Whether the lattice of a token has more than one path."""
-    return not token.isalpha() and any(c.isalpha() for c in token) or THRICE.search(token) is not None
+    if token.isalpha():
+        return TWICE.search(token) is not None
+    return any(c.isalpha() for c in token) or all(c in LEET or c in BETWEEN for c in token)
 
 
 def joined_letters(tokens: list[str]) -> list[str]:
-    """Runs of four or more single characters become one token."""
+    """Runs of three or more single characters become one token."""
     out, run = [], []
     for t in [*tokens, ""]:
         if len(t) == 1 and (t.isalnum() or t in LEET):
             run.append(t)
             continue
-        if len(run) >= 4:
+        if len(run) >= 3:
             out.append("".join(run))
         else:
             out += run
@@ -121,17 +138,42 @@ def joined_letters(tokens: list[str]) -> list[str]:
 def tokens_of(text: str | None) -> set[str]:
     """Distinct tokens of a text, in lower case, letters that stand apart joined."""
     words = (text or "").lower().split()
-    distinct = set(words)
-    if sum(len(w) == 1 for w in distinct) >= 3:
-        distinct = set(joined_letters(words))
-    return distinct
+    # words of one character, as bytes: only three in a row can be joined
+    if b"\1\1\1" in bytes(map((1).__eq__, map(len, words))):
+        words = joined_letters(words)
+    return set(words)
+
+
+def _read(core: str, model: CharModel) -> str:
+    if not core or not hidden(core):
+        return core
+    if (out := model.read.get(core)) is None:
+        if len(model.read) > MEMORY // 4:
+            model.read.clear()
+        out = model.read[core] = model.restore(core)
+    return out
 
 
 def restored(token: str, model: CharModel) -> str:
-    if token.isalpha() and not THRICE.search(token):
+    """The reading without the marks at the edges."""
+    if token.isalpha() and not TWICE.search(token):
         return token
-    core = EDGE.sub("", token)
-    return model.restore(core) if core and hidden(core) else core
+    return _read(EDGE.sub("", token), model)
+
+
+def readings(token: str, model: CharModel) -> set[str]:
+    """The words that a token may be: at each edge without the marks that may be letters, with those equal to the next one, or with all."""
+    bare = token if token.isalpha() else BARE_EDGE.sub("", token)
+    cores = {bare}
+    if not bare.isalpha():
+        cores.add(EDGE.sub("", token))
+        begin, end = MARKS.match(bare).end(), len(bare) - MARKS.match(bare[::-1]).end()
+        if begin < end:
+            front, back = bare[:begin], bare[end:]
+            begins = {0, begin, len(front.rstrip(front[-1:]) if front else "")}
+            ends = {len(bare), end, len(bare) - len(back.lstrip(back[:1]) if back else "")}
+            cores.update(bare[i:j] for i in begins for j in ends)
+    return {_read(c, model) for c in cores} - {""}
 
 
 def features(word: str) -> set[str]:
@@ -235,7 +277,7 @@ def _featurize(model):
                     if t not in memory:
                         if len(memory) > MEMORY:
                             memory.clear()
-                        memory[t] = {bucket(f) for f in features(w)} if (w := restored(t, lm)) else set()
+                        memory[t] = {bucket(f) for w in readings(t, lm) for f in features(w)}
                     found |= memory[t]
                 out.append(sorted(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.string()), pa.array(out, pa.list_(pa.int32())), pa.array(families, pa.int64())], names=["part", "label", "text", "features", "family"])
@@ -269,7 +311,7 @@ def _count_exactly(shared):
                     if t not in memory:
                         if len(memory) > MEMORY:
                             memory.clear()
-                        memory[t] = {f for f in features(w) if bucket(f) in chosen} if (w := restored(t, lm)) else set()
+                        memory[t] = {f for w in readings(t, lm) for f in features(w) if bucket(f) in chosen}
                     found |= memory[t]
                 for f in found:
                     counts.setdefault(f, [0.0, 0.0])[label] += weight
@@ -288,8 +330,7 @@ def _total(classifier: Classifier, model: CharModel, memory: dict, text: str | N
         if hit is None:
             if len(memory) > MEMORY:
                 memory.clear()
-            word = restored(t, model)
-            weight = classifier.word_weight(word)
+            weight, word = max(((classifier.word_weight(w), w) for w in readings(t, model)), default=(0.0, ""))
             hit = memory[t] = (word, weight) if weight > 0 else ()
         if hit:
             found[hit[0]] = hit[1]

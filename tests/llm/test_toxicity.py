@@ -52,6 +52,16 @@ def test_hidden_words_are_restored():
     assert x.tokens_of(None) == set() == x.tokens_of(" \n")
 
 
+def test_every_lattice_of_several_paths_is_searched():
+    m = model(["idiot", "stupid", "moron", "scum", "trash", "loser", "ass", "hello", "the", "and"] * 20)
+    for token, word in (("moorron", "moron"), ("idiiot", "idiot"), ("sccum", "scum"), ("scuum", "scum"), ("traash", "trash"), ("losser", "loser"), ("455", "ass"), ("1d10t!", "idiot")):
+        assert x.restored(token, m) == word
+    for token, word in (("a$$", "ass"), ("@$$", "ass"), ("!diot", "idiot"), ("|diot!", "idiot"), ("a$$!", "ass"), ("!!|diot", "idiot"), ("s(um", "scum"), ("(um", "cum"), ("hello", "hello"), ("(hello)", "hello")):
+        assert word in x.readings(token, m)
+    assert x.readings("--", m) == set() and x.readings("2024", m) == {"2024"}
+    assert "ass" in x.tokens_of("an a s s here") and "ass" in x.tokens_of("a s s") and "scum" in x.tokens_of("s c u m")
+
+
 def held_out(spark, docs, labels):
     rows = x.score_documents(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     pos, neg = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
