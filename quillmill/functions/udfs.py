@@ -12,7 +12,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Types as objects: names would need a session when this module is imported.
 SEGMENTS = ArrayType(StructType([StructField("ord", IntegerType()), StructField("kind", StringType()), StructField("val", StringType())]))
@@ -115,3 +115,18 @@ def replaced_all(text: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series
             t = replace_once(t or "", old, new)
         out.append(t)
     return pd.Series(out)
+
+
+@F.pandas_udf(StructType([StructField("result", StringType()), StructField("done", ArrayType(BooleanType()))]))
+def applied_in_turn(text: pd.Series, olds: pd.Series, news: pd.Series, threshold: pd.Series) -> pd.DataFrame:
+    """The replacements of a text, one after the other, and which were made: one that the earlier ones left nothing to match for is not."""
+    out = []
+    for t, a, b, least in zip(text, olds, news, threshold):
+        now, done = t or "", []
+        for old, new in zip(a, b):
+            x, y = " ".join(old.split()), " ".join(now.split())
+            fits = not any(done) or (x in y if x else False) or ratio(x, y) >= least
+            now = replace_once(now, old, new) if fits else now
+            done.append(fits)
+        out.append((now, done))
+    return pd.DataFrame(out, columns=["result", "done"])

@@ -272,10 +272,13 @@ def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", auth
 
     ``mode`` simple colours the markup; tracked writes tracked changes and
     repairs the package. An element's later edits replace earlier ones, so
-    give each element one. A package that can't be read keeps its content
+    give each element one; ``change_nos`` names the changes in it, if there
+    are several, and ``lost_nos`` those that did not fit any more. A package that can't be read keeps its content
     and has an error. A package's edits are gathered into its row.
     """
-    listed = F.array_sort(F.collect_list(F.struct("change_no", "element_id", "segments", "motivation")))
+    if "change_nos" not in edits.columns:
+        edits = edits.withColumn("change_nos", F.array("change_no")).withColumn("lost_nos", F.array().cast("array<bigint>"))
+    listed = F.array_sort(F.collect_list(F.struct("change_no", "element_id", "segments", "motivation", "change_nos", "lost_nos")))
     rows = files.select("path", "content").join(edits.groupBy("path").agg(listed.alias("edits")), "path", "left")
 
     def run(frames):
@@ -292,7 +295,8 @@ def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", auth
                     applied, failed = [], []
                     for e in [] if changes is None else changes:
                         segments = [(s["kind"], s["val"]) for s in e["segments"]]
-                        (applied if editor.apply(e["element_id"] or "", segments, e["motivation"] if motivations else None) else failed).append(int(e["change_no"]))
+                        (applied if editor.apply(e["element_id"] or "", segments, e["motivation"] if motivations else None) else failed).extend(int(n) for n in e["change_nos"])
+                        failed.extend(int(n) for n in e["lost_nos"])
                     result, actions = repair(editor.result()) if mode == "tracked" else (editor.result(), [])
                     out.append((path, pack(list(result.items())), applied, failed, actions, None))
                 except (ValueError, KeyError, ET.ParseError) as e:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.udfs import applied_in_turn
 from ..operators import batching, diff, match, suggest
 from ..session import fresh_path
 
@@ -61,12 +62,20 @@ def review(elements: DataFrame, suggester, prompt: str, max_tokens: int = batchi
 
 
 def package_edits(done: Review, path) -> DataFrame:
-    """Edits of packages (path, change_no, element_id, segments, motivation): one per element, the first that applied.
+    """Edits of packages (path, change_no, element_id, segments, motivation, change_nos, lost_nos): one per element.
 
-    ``path`` is a column expression over doc_id.
+    All accepted changes of an element are applied in turn; one whose old
+    text an earlier one took away is in ``lost_nos``. ``path`` is a column
+    expression over doc_id, ``change_no`` the first of ``change_nos``;
+    motivations stand on lines of their own.
     """
-    first = match.top1(done.verdicts.filter(F.col("verdict").isin("exact", "fuzzy")).select("doc_id", "change_no", "element_id"), ["doc_id", "element_id"], ["change_no"])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind", "val"))), lambda x: F.struct(x["kind"].alias("kind"), x["val"].alias("val")))
-    segments = done.segments.groupBy("doc_id", "change_no").agg(parts.alias("segments"))
-    why = done.comments.select("doc_id", "change_no", "motivation")
-    return first.join(segments, ["doc_id", "change_no"]).join(why, ["doc_id", "change_no"], "left").select(path.alias("path"), "change_no", "element_id", "segments", "motivation")
+    accepted = done.verdicts.filter(F.col("verdict").isin("exact", "fuzzy")).join(done.comments.select("doc_id", "change_no", "motivation"), ["doc_id", "change_no"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("change_no", "motivation", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))))
+    groups = accepted.groupBy("doc_id", "element_id").agg(F.first("text").alias("text"), listed.alias("c"))
+    folded = groups.withColumn("f", applied_in_turn("text", "c.old", "c.new", F.lit(match.THRESHOLD)))
+    made = F.filter("c", lambda x, k: F.col("f.done")[k])
+    lost = F.filter("c", lambda x, k: ~F.col("f.done")[k])
+    rows = diff.diff_words(folded.select("*", F.col("f.result").alias("result"), made.alias("made"), lost.alias("lost")), "text", "result")
+    segments = F.transform("segments", lambda x: F.struct(x["kind"].alias("kind"), x["val"].alias("val")))
+    texts = F.filter("made.motivation", lambda x: x.isNotNull())
+    return rows.select(path.alias("path"), F.col("made")[0]["change_no"].alias("change_no"), "element_id", segments.alias("segments"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("motivation"), F.col("made.change_no").alias("change_nos"), F.col("lost.change_no").alias("lost_nos"))

@@ -1,3 +1,4 @@
+import json
 import random
 
 from hypothesis import given, settings
@@ -5,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmill.operators import batching, diff, jobs, match, package, pdf, suggest, tracked
+from quillmill.plans import fixtures as fx
 from quillmill.plans import review
 from quillmill.schemas import ANNOTATIONS
 from quillmill.sources import elements as el
@@ -196,6 +198,30 @@ def test_review_end_to_end(spark):
     assert " ".join(words) == 'This is an end, the "end".'
 
 
+class FixedSuggester:
+    """The same changes for every batch."""
+
+    def __init__(self, changes):
+        self.raw = json.dumps(changes)
+
+    def replies(self, batches):
+        return batches.select("doc_id", "chunk_id", F.lit(True).alias("ok"), F.lit(self.raw).alias("raw"))
+
+
+def test_all_changes_of_a_paragraph_reach_the_package(spark):
+    from quillmill.operators import package_xml as px
+    from quillmill.sources import parts
+
+    elements = spark.createDataFrame([(1, 1, "paragraph", "paragraph_1", None, "one two three", False)], "doc_id long, pos long, type string, element_id string, footnote_id string, text string, empty boolean")
+    changes = [{"element_id": "paragraph_1", "old": o, "new": n, "motivation": why} for o, n, why in (("one", "1", "a"), ("three", "3", "b"), ("one two", "x", "c"))]
+    edits = review.package_edits(review.review(elements, FixedSuggester(changes), "policy"), F.lit("/a.docx"))
+    files = spark.createDataFrame([("/a.docx", bytearray(fx._package(1, "one two three", "en", "s")))], "path string, content binary")
+    got = px.edit_packages(files, edits, "simple").first()
+    assert got["applied"] == [1, 2] and got["failed"] == [3]
+    document = {p[1]: p[2] for p in parts.unpack("x", bytes(got["content"]))}["word/document.xml"].decode()
+    assert ">1 <" in document and ">3" in document
+
+
 def test_empty_tables(spark):
     elements = spark.createDataFrame([], ELEMENTS)
     changes = spark.createDataFrame([], CHANGES)
