@@ -20,6 +20,7 @@ from .tracked import ENDINGS, GREEN, RED
 
 RELS_NS = "http://schemas.openxmlformats.org/package/2006/relationships"
 TYPES_NS = "http://schemas.openxmlformats.org/package/2006/content-types"
+REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 XML_SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 DOCUMENT, RELS, TYPES, STYLES, SETTINGS, COMMENTS, NOTES = "word/document.xml", "word/_rels/document.xml.rels", "[Content_Types].xml", "word/styles.xml", "word/settings.xml", "word/comments.xml", "word/footnotes.xml"
 COMMENTS_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/comments"
@@ -108,6 +109,15 @@ def paragraphs_by_id(document: ET.Element, notes: ET.Element | None) -> dict[str
     return out
 
 
+def header_parts(document: ET.Element, parts: dict[str, bytes]) -> list[tuple[str, str]]:
+    """(kind, part name) of the default headers and footers of the first section, as scanning takes them."""
+    rels = {r.get("Id"): r.get("Target") for r in parse_xml(parts[RELS])} if RELS in parts else {}
+    # below the body, as in scanning
+    first = None if document.find(f"{W}body") is None else next(document.iter(f"{W}sectPr"), None)
+    found = [(k, r) for k in ("header", "footer") for r in ([] if first is None else first.findall(f"{W}{k}Reference")) if r.get(f"{W}type", "default") == "default"]
+    return [(k, n) for k, r in found if (n := "word/" + (rels.get(r.get(REL_ID)) or "")) in parts]
+
+
 class Editor:
     """Edits of one package."""
 
@@ -119,6 +129,14 @@ class Editor:
         ids = [int(c.get(f"{W}id")) for c in self.comments if (c.get(f"{W}id") or "").lstrip("-").isdigit()]
         self.next_comment, self.next_change, self.commented = max(ids, default=-1) + 1, 1, False
         self.where = paragraphs_by_id(self.document, self.notes)
+        self.headers: dict[str, tuple[ET.Element, dict[str, str]]] = {}
+        counts = {"header": 0, "footer": 0}
+        for kind, name in header_parts(self.document, self.parts):
+            if name not in self.headers:
+                self.headers[name] = load(self.parts[name])
+            for p in self.headers[name][0].findall(f"{W}p"):
+                counts[kind] += 1
+                self.where[f"{kind}_{counts[kind]}"] = [p]
 
     def run_of(self, kind: str, text: str) -> ET.Element:
         if kind == "text":
@@ -151,7 +169,7 @@ class Editor:
         for kind, text in segments:
             p.append(self.run_of(kind, text))
         p.extend(keep)
-        if motivation and not element_id.startswith("footnote_"):
+        if motivation and not element_id.startswith(("footnote_", "header_", "footer_")):
             self.comment(p, motivation)
         return True
 
@@ -159,6 +177,8 @@ class Editor:
         self.parts[DOCUMENT] = dump(self.document, self.prefixes)
         if self.notes is not None:
             self.parts[NOTES] = dump(self.notes, self.note_prefixes)
+        for name, (root, prefixes) in self.headers.items():
+            self.parts[name] = dump(root, prefixes)
         if self.commented:
             self.parts[COMMENTS] = dump(self.comments, self.comment_prefixes)
             _relate(self.parts, "comments.xml", COMMENTS_REL, None)

@@ -783,7 +783,7 @@ def batch_messages(spark, d):
 @query()
 def review_documents(spark, d):
     """The whole review with the rule-based suggester: counts per document."""
-    return review.review(fx.elements(spark, d).filter("type = 'paragraph'"), review.RuleSuggester(fx.LEXICON), "policy").summary
+    return review.review(fx.elements(spark, d), review.RuleSuggester(fx.LEXICON), "policy").summary
 
 
 @query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, 7 AS n_styles, true AS tracks, 5 AS n_rels, 5 AS n_overrides, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_refs, 10 AS n_rsids FROM documents WHERE doc_id % 100 <> 99"))
@@ -795,8 +795,8 @@ def repair_packages(spark, d):
     return nodes.groupBy("path").agg(n("style").alias("n_styles"), F.max(F.coalesce(F.col("name") == package.TRACK_FLAG, F.lit(False))).alias("tracks"), n("relationship").alias("n_rels"), n("override").alias("n_overrides"), n("comment_reference").alias("n_refs"), n("rsid").alias("n_rsids"))
 
 
-def _package_review(spark, d):
-    found = parts.scan_elements(fx.packages(spark, d)).filter("error IS NULL AND type = 'paragraph'")
+def _package_review(spark, d, kinds="type = 'paragraph'"):
+    found = parts.scan_elements(fx.packages(spark, d)).filter("error IS NULL").filter(kinds)
     elements = found.select(F.regexp_extract("path", r"doc(\d+)", 1).cast("long").alias("doc_id"), F.col("seq").alias("pos"), "type", "element_id", "footnote_id", "text", "empty")
     return review.review(elements, review.RuleSuggester(fx.LEXICON), "policy")
 
@@ -809,6 +809,14 @@ def edit_packages(spark, d):
     return edited.select("path", F.size("applied").cast("long").alias("n_applied"), F.size("failed").cast("long").alias("n_failed"))
 
 
+@query()
+def edit_packages_whole(spark, d):
+    """The same over elements of all kinds."""
+    edits = review.package_edits(_package_review(spark, d, "true"), F.concat(F.lit("/in/doc"), F.col("doc_id").cast("string"), F.lit(".docx")))
+    edited = package_xml.edit_packages(fx.packages(spark, d), edits, "tracked").filter("error IS NULL")
+    return edited.select("path", F.size("applied").cast("long").alias("n_applied"), F.size("failed").cast("long").alias("n_failed"))
+
+
 @query(q("SELECT doc_id, CASE WHEN e > 0 THEN " + _UNMARK("text[1 : s - 1]") + " || chr(10) || chr(10) || " + o.strip("text[s + 23 : e - 1]") + " || chr(10) || chr(10) || " + _UNMARK("text[e + 21 :]") + " END AS prompt FROM (SELECT *, instr(text, '<!-- START_EDITABLE -->') AS s, instr(text, '<!-- END_EDITABLE -->') AS e FROM policies)", "policies"))
 def prompt_assembly(spark, d):
     """The whole prompt of each valid policy."""

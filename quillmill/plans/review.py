@@ -54,13 +54,37 @@ def review(elements: DataFrame, suggester, prompt: str, max_tokens: int = batchi
     suggester.replies(asked).write.parquet(path)
     items, rejects = suggest.parse_replies(spark.read.parquet(path))
     changes = batching.concat_batches(items)
-    verdicts = match.verdicts(changes, elements)
+    verdicts = resolved(match.verdicts(changes, elements), elements)
     applied = verdicts.filter(F.col("verdict").isin("exact", "fuzzy"))
-    segments = diff.explode_segments(diff.diff_paragraph(applied), "doc_id", "change_no")
+    segments = diff.explode_segments(_notes_whole(diff.diff_paragraph(applied)), "doc_id", "change_no")
     comments = changes.filter(match.comment_eligible(F.col("motivation"), F.col("element_id"), motivations)).select("doc_id", "change_no", "element_id", "motivation")
     return Review(segments, verdicts, rejects, match.summary(verdicts), comments)
 
 
+def _notes_whole(rows: DataFrame) -> DataFrame:
+    """Segments of footnotes are the whole note, struck and inserted."""
+    note = F.col("element_id").startswith("footnote_")
+    return rows.withColumn("segments", F.when(note, diff.diff_footnote(F.col("text"), F.col("result"))).otherwise(F.col("segments")))
+
+
+def resolved(verdicts: DataFrame, elements: DataFrame) -> DataFrame:
+    """Verdicts with the deferred ones decided by the joins of footnotes and text boxes.
+
+    A footnote's change replaces the whole note, a text box's goes to the
+    first box that holds its old text; both are ``exact``. What no join finds is no_match.
+    """
+    key = ["doc_id", "change_no"]
+    deferred = verdicts.filter("verdict = 'deferred'")
+    notes = elements.filter("type = 'footnote'")
+    named = deferred.filter("route = 'footnote'").join(notes.select("doc_id", "element_id", "footnote_id"), ["doc_id", "element_id"])
+    found = match.join_footnotes(named, notes).select(*key, F.col("element_id").alias("place"), F.col("baseline").alias("found"), F.col("baseline").alias("was"))
+    boxes = elements.filter("type = 'textbox'").withColumn("seq", F.regexp_extract("element_id", r"\d+", 0).cast("long"))
+    boxed = match.join_textboxes(deferred.filter("route = 'textbox'"), boxes).select(*key, F.col("box_id").alias("place"), F.col("box_text").alias("found"), F.col("old").alias("was"))
+    rows = verdicts.join(found.union(boxed), key, "left")
+    hit, open_ = F.col("place").isNotNull(), F.col("verdict") == "deferred"
+    return rows.select("doc_id", "change_no", F.coalesce("place", "element_id").alias("element_id"), "route", F.when(hit, "exact").when(open_, "no_match").otherwise(F.col("verdict")).alias("verdict"), "score", F.coalesce("found", "text").alias("text"), F.coalesce("was", "old").alias("old"), "new")
+
+
 def package_edits(done: Review, path) -> DataFrame:
     """Edits of packages (path, change_no, element_id, segments, motivation, change_nos, lost_nos): one per element.
 
@@ -75,7 +99,7 @@ def package_edits(done: Review, path) -> DataFrame:
     folded = groups.withColumn("f", applied_in_turn("text", "c.old", "c.new", F.lit(match.THRESHOLD)))
     made = F.filter("c", lambda x, k: F.col("f.done")[k])
     lost = F.filter("c", lambda x, k: ~F.col("f.done")[k])
-    rows = diff.diff_words(folded.select("*", F.col("f.result").alias("result"), made.alias("made"), lost.alias("lost")), "text", "result")
+    rows = _notes_whole(diff.diff_words(folded.select("*", F.col("f.result").alias("result"), made.alias("made"), lost.alias("lost")), "text", "result"))
     segments = F.transform("segments", lambda x: F.struct(x["kind"].alias("kind"), x["val"].alias("val")))
     texts = F.filter("made.motivation", lambda x: x.isNotNull())
     return rows.select(path.alias("path"), F.col("made")[0]["change_no"].alias("change_no"), "element_id", segments.alias("segments"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("motivation"), F.col("made.change_no").alias("change_nos"), F.col("lost.change_no").alias("lost_nos"))

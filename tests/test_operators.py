@@ -222,6 +222,22 @@ def test_all_changes_of_a_paragraph_reach_the_package(spark):
     assert ">1 <" in document and ">3" in document
 
 
+def test_every_kind_is_reviewed_and_edited(spark):
+    from quillmill.operators import package_xml as px
+    from quillmill.sources import parts
+
+    files = spark.createDataFrame([("/a.docx", bytearray(fx._package(1, "one the\na the | b", "the box", "the head")))], "path string, content binary")
+    found = parts.scan_elements(files).selectExpr("1L AS doc_id", "seq AS pos", "type", "element_id", "footnote_id", "text", "empty")
+    done = review.review(found, review.RuleSuggester({"the": "an"}), "policy")
+    note = done.verdicts.filter("route = 'footnote'").join(done.segments, ["doc_id", "change_no"]).orderBy("ord")
+    assert [(r["kind"], r["val"]) for r in note.collect()] == [("strike", "note of the box"), ("insert", "an")]
+    assert {(r["element_id"], r["verdict"]) for r in done.verdicts.collect()} == {(e, "exact") for e in ("paragraph_1", "table_1_cell_1_1", "header_1", "textbox_1", "footnote_1")}
+    got = px.edit_packages(files, review.package_edits(done, F.lit("/a.docx")), "simple").first()
+    assert len(got["applied"]) == 5 and not got["failed"]
+    content = {p[1]: p[2].decode() for p in parts.unpack("x", bytes(got["content"]))}
+    assert ">an <" in content["word/header1.xml"] and "FF0000" in content["word/header1.xml"]
+
+
 def test_empty_tables(spark):
     elements = spark.createDataFrame([], ELEMENTS)
     changes = spark.createDataFrame([], CHANGES)
