@@ -1,8 +1,10 @@
 """Inputs of the review operators, derived from the driver's tables.
 
 Each fixture has a SQL twin of the same name in ``SQL`` (a common table
-expression for DuckDB), so that both sides start from the same rows. All of
-them cover their whole table.
+expression for DuckDB), so that both sides start from the same rows. Not all
+of them cover their whole table: ``runs`` has twelve words a line,
+``annotations`` 40 blocks a document, ``changes`` every fifth paragraph and
+``pdf_changes`` every sixth line, as their twins do.
 """
 
 from __future__ import annotations
@@ -139,9 +141,11 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", "page", "ord", x.alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 9).alias("y1"), F.when(o % 7 == 0, "same").otherwise(F.concat(F.lit(" note "), o.cast("string"))).alias("content"))
 
 
-def runs(spark: SparkSession, d: str) -> DataFrame:
-    """The first twelve words of each line as runs."""
-    words = lines(spark, d).select("doc_id", F.col("pos").cast("int").alias("para_no"), F.posexplode(F.slice(split_words(F.col("raw")), 1, 12)).alias("run_no", "text"))
+def runs(spark: SparkSession, d: str, first: int | None = 12) -> DataFrame:
+    """The first words of each line as runs: twelve, as the SQL has them, or all if ``first`` is None."""
+    found = split_words(F.col("raw"))
+    found = found if first is None else F.slice(found, 1, first)
+    words = lines(spark, d).select("doc_id", F.col("pos").cast("int").alias("para_no"), F.posexplode(found).alias("run_no", "text"))
     k = (F.col("para_no") + F.col("run_no")) % 7
     part = F.when(F.col("para_no") % 11 == 0, "word/footnotes.xml").otherwise("word/document.xml")
     return words.select("doc_id", part.alias("part_name"), "para_no", "run_no", F.when(k.isin(0, 2), "FF0000").when(k == 1, "008000").alias("color"), F.when(k == 0, True).when(k == 2, False).alias("strike"), "text", F.when(F.col("run_no") % 5 == 0, F.col("run_no").cast("string")).alias("comment_ref"), F.when(F.col("run_no") % 6 == 5, F.concat(F.lit("f"), F.col("run_no").cast("string"))).alias("footnote_ref"))

@@ -523,6 +523,12 @@ def concat_runs(spark, d):
     return diff.concat_runs(fx.runs(spark, d), " ").select("doc_id", _L("para_no"), "text")
 
 
+@query()
+def concat_runs_whole(spark, d):
+    """Over all words of every line."""
+    return diff.concat_runs(fx.runs(spark, d, None), " ").select("doc_id", _L("para_no"), "text")
+
+
 @query(q("SELECT doc_id, pos AS para_no, CAST(floor((pos - 1) / 3) AS BIGINT) AS group_no, upper(sha256(doc_id || ':' || CAST(floor((pos - 1) / 3) AS BIGINT))[1:8]) AS rsid FROM lines", "lines"))
 def paragraph_groups(spark, d):
     return tracked.paragraph_groups(fx.lines(spark, d).select("doc_id", F.col("pos").alias("para_no")))

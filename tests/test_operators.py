@@ -238,6 +238,15 @@ def test_every_kind_is_reviewed_and_edited(spark):
     assert ">an <" in content["word/header1.xml"] and "FF0000" in content["word/header1.xml"]
 
 
+def test_runs_of_whole_lines(spark):
+    from quillmill.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    lines = fx.lines(spark, d).collect()
+    want = {(r["doc_id"], r["pos"]): " ".join(r["raw"].split()) for r in lines if r["raw"].split()}
+    assert {(r["doc_id"], r["para_no"]): " ".join(r["text"].split()) for r in queries.concat_runs_whole(spark, d).collect() if r["text"].strip()} == want
+
+
 def test_empty_tables(spark):
     elements = spark.createDataFrame([], ELEMENTS)
     changes = spark.createDataFrame([], CHANGES)
