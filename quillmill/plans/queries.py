@@ -251,6 +251,13 @@ def suggest_rules(spark, d):
     return rows.filter("seq % 15 = 1").select("doc_id", F.col("seq").alias("change_no"), "element_id", old.alias("old"), new.alias("new")).filter("old IS NOT NULL")
 
 
+@query()
+def suggest_rules_whole(spark, d):
+    """Suggestions for every paragraph with a word of the lexicon."""
+    old, new = suggest.first_match(F.col("text"), fx.LEXICON)
+    return el.paragraphs(fx.lines(spark, d)).select("doc_id", F.col("seq").alias("change_no"), "element_id", old.alias("old"), new.alias("new")).filter("old IS NOT NULL")
+
+
 # ---- joins and matching ---------------------------------------------------------------------------------------
 
 

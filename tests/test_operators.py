@@ -247,6 +247,14 @@ def test_runs_of_whole_lines(spark):
     assert {(r["doc_id"], r["para_no"]): " ".join(r["text"].split()) for r in queries.concat_runs_whole(spark, d).collect() if r["text"].strip()} == want
 
 
+def test_rules_for_every_paragraph(spark):
+    from quillmill.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    every = el.paragraphs(fx.lines(spark, d)).select("doc_id", "seq", suggest.first_match(F.col("text"), fx.LEXICON)[0].alias("old")).filter("old IS NOT NULL")
+    assert queries.suggest_rules_whole(spark, d).count() == every.count() > queries.suggest_rules(spark, d).count()
+
+
 def test_empty_tables(spark):
     elements = spark.createDataFrame([], ELEMENTS)
     changes = spark.createDataFrame([], CHANGES)
