@@ -10,6 +10,7 @@ import difflib
 import os.path
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -17,10 +18,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 #: Types as objects: names would need a session when this module is imported.
 SEGMENTS = ArrayType(StructType([StructField("ord", IntegerType()), StructField("kind", StringType()), StructField("val", StringType())]))
 
-#: Pairs of words up to which a replaced block is compared word by word.
-PAIRS = 4096
-#: difflib's line marks.
-MARKS = {"  ": "text", "- ": "strike", "+ ": "insert"}
+#: Fixed value: similarity from which on difflib pairs two words.
+CLOSE = 0.75
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -56,26 +55,94 @@ def ratio(a: str | None, b: str | None) -> int:
     return round(200 * lcs_length(a, b) / total) if total else 100
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """How often each of 64 classes of letters stands in each word."""
+    out = np.zeros((len(words), 64), dtype=np.int16)
+    for k, word in enumerate(words):
+        for c in word:
+            out[k, ord(c) & 63] += 1
+    return out
+
+
+def close_pairs(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of all different words a[i], b[j] that are CLOSE, by j, then i.
+
+    Each two distinct words are compared once, and only those whose lengths and
+    letters leave room for it: common letters bound difflib's similarity from above.
+    """
+    ua, ia = np.unique(np.array(a, dtype=object), return_inverse=True)
+    ub, ib = np.unique(np.array(b, dtype=object), return_inverse=True)
+    la, lb = (np.array([len(w) for w in u]) for u in (ua, ub))
+    ca, cb = _letters(ua), _letters(ub)
+    table = np.zeros((len(ua), len(ub)))
+    cruncher = difflib.SequenceMatcher(None)
+    for y, word in enumerate(ub):
+        room = 2 * np.minimum(la, lb[y]) >= CLOSE * (la + lb[y])
+        rows = np.flatnonzero(room)
+        rows = rows[2 * np.minimum(ca[rows], cb[y]).sum(1) >= CLOSE * (la[rows] + lb[y])]
+        if len(rows):
+            cruncher.set_seq2(word)
+            for x in rows:
+                if ua[x] != word:
+                    cruncher.set_seq1(ua[x])
+                    table[x, y] = cruncher.ratio()
+    full = table[ia][:, ib]
+    j, i = np.nonzero(full.T >= CLOSE)
+    return i, j, full[i, j]
+
+
+def paired_words(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """A replaced block as difflib shows it: the closest pair is struck and inserted together, likewise what stands before and after it.
+
+    Without a close pair the first two equal words are kept; without these,
+    the shorter side comes first, whole.
+    """
+    i, j, score = close_pairs(a, b)
+    out: list[tuple[str, str]] = []
+    # blocks that are still open (the last is next), or finished words
+    todo: list = [(0, len(a), 0, len(b), np.arange(len(i)))]
+    while todo:
+        item = todo.pop()
+        if len(item) == 2:
+            out.append(item)
+            continue
+        alo, ahi, blo, bhi, close = item
+        struck, put = [("strike", w) for w in a[alo:ahi]], [("insert", w) for w in b[blo:bhi]]
+        if not struck or not put:
+            out += struck + put
+            continue
+        close = close[(i[close] >= alo) & (i[close] < ahi) & (j[close] >= blo) & (j[close] < bhi)]
+        if len(close):
+            best = close[np.argmax(score[close])]
+            x, y = int(i[best]), int(j[best])
+            middle = [("insert", b[y]), ("strike", a[x])]
+        else:
+            have = set(a[alo:ahi])
+            same = next((k for k in range(blo, bhi) if b[k] in have), None)
+            if same is None:
+                out += put + struck if len(put) < len(struck) else struck + put
+                continue
+            x, y = a.index(b[same], alo, ahi), same
+            middle = [("text", a[x])]
+        todo += [(x + 1, ahi, y + 1, bhi, close), *middle, (alo, x, blo, y, close)]
+    return out
+
+
 def ndiff_words(old: str | None, new: str | None) -> list[tuple[int, str, str]]:
     """Word diff: (position, kind, word and blank), kinds text, strike, insert.
 
-    The result is that of difflib.ndiff over words without its hint lines. In
-    a replaced block, difflib compares every old word with every new one, and
-    again between each two it pairs up, which takes the cube of the block's
-    size; blocks of more than PAIRS pairs get the form that difflib gives to
-    blocks without similar words: the shorter side, then the other.
+    The result is that of difflib.ndiff over words without its hint lines,
+    for blocks of any size; similarities are worked out once per two words.
     """
     a, b = (old or "").split(), (new or "").split()
-    differ, out = difflib.Differ(), []
+    out: list[tuple[str, str]] = []
     for tag, alo, ahi, blo, bhi in difflib.SequenceMatcher(None, a, b).get_opcodes():
         if tag == "equal":
             out += [("text", w) for w in a[alo:ahi]]
-        elif tag == "replace" and (ahi - alo) * (bhi - blo) <= PAIRS:
-            block = differ._fancy_replace(a, alo, ahi, b, blo, bhi)
-            out += [(MARKS[x[:2]], x[2:]) for x in block if x[:2] in MARKS]
+        elif tag == "replace":
+            out += paired_words(a[alo:ahi], b[blo:bhi])
         else:
-            struck, put = [("strike", w) for w in a[alo:ahi]], [("insert", w) for w in b[blo:bhi]]
-            out += put + struck if len(put) < len(struck) else struck + put
+            out += [("strike", w) for w in a[alo:ahi]] + [("insert", w) for w in b[blo:bhi]]
     return [(k, kind, w + " ") for k, (kind, w) in enumerate(out)]
 
 

@@ -27,17 +27,20 @@ def chunk_greedy(elements: DataFrame, size: Column, prompt_chars: int, max_token
     """
     budget = max_tokens * CHARS_PER_TOKEN
     listed = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("pos"), size.cast("long").alias("n")))).alias("items"))
-    start = F.struct(F.lit(prompt_chars).cast("long").alias("used"), F.lit(empty_first).alias("open"), F.array().cast("array<bigint>").alias("begins"))
+    start = F.struct(F.lit(prompt_chars).cast("long").alias("used"), F.lit(empty_first).alias("open"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc, x):
         full = acc["open"] & (acc["used"] + x["n"] > budget)
         used = F.when(full, F.lit(prompt_chars)).otherwise(acc["used"]) + x["n"]
-        # only the first element of a new batch is kept, so the state grows with the batches
-        return F.struct(used.cast("long").alias("used"), F.lit(True).alias("open"), F.when(full, F.concat(acc["begins"], F.array(x["pos"]))).otherwise(acc["begins"]).alias("begins"))
-
-    folded = listed.withColumn("begins", F.aggregate("items", start, step, lambda acc: acc["begins"]))
-    exploded = folded.select("doc_id", "begins", F.explode("items").alias("x"))
-    return exploded.select("doc_id", F.col("x.pos").alias("pos"), F.size(F.filter("begins", lambda b: b <= F.col("x.pos"))).cast("long").alias("chunk_id"))
+        # only the place of a new batch's first element is kept, so the state grows with the batches
+        begins = F.when(full, F.concat(acc["begins"], F.array(acc["at"]))).otherwise(acc["begins"])
+        return F.struct(used.cast("long").alias("used"), F.lit(True).alias("open"), (acc["at"] + 1).alias("at"), begins.alias("begins"))
+
+    bounds = F.aggregate("items", start, step, lambda acc: F.concat(F.array(F.lit(0)), acc["begins"], F.array(acc["at"])))
+    folded = listed.withColumn("bounds", bounds)
+    # a batch is a slice of the elements, so each of them is touched once, whatever the number of batches
+    batch = lambda k: F.transform(F.slice("items", F.get("bounds", k) + 1, F.get("bounds", k + 1) - F.get("bounds", k)), lambda x: F.struct(x["pos"].alias("pos"), k.cast("long").alias("chunk_id")))
+    return folded.select("doc_id", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), batch))))
 
 
 def chunk_greedy_grouped(elements: DataFrame, size: Column, prompt_chars: int, max_tokens: int = MAX_TOKENS, order: str = "pos") -> DataFrame:

@@ -131,11 +131,13 @@ def literal_replacement(text: Column, old: Column, new: Column) -> Column:
 
 
 def replacement(rows: DataFrame) -> DataFrame:
-    """Rows (text, old, new, ...) with ``result``: the literal branch in the JVM, the rest by UDF."""
-    literal = literal_replacement(F.col("text"), F.col("old"), F.col("new"))
-    hit = rows.withColumn("result", literal).filter("result IS NOT NULL")
-    rest = rows.filter(literal.isNull()).withColumn("result", replaced("text", "old", "new"))
-    return hit.unionByName(rest)
+    """Rows (text, old, new, ...) with ``result``: the literal branch in the JVM, the rest by UDF.
+
+    One pass: rows that the JVM decides reach the Python worker as nulls.
+    """
+    found = rows.withColumn("__literal", literal_replacement(F.col("text"), F.col("old"), F.col("new")))
+    open_ = lambda c: F.when(F.col("__literal").isNull(), F.col(c))
+    return found.withColumn("result", F.coalesce("__literal", replaced(open_("text"), open_("old"), open_("new")))).drop("__literal")
 
 
 def comment_eligible(motivation: Column, element_id: Column, wanted: bool = True) -> Column:

@@ -14,7 +14,7 @@ from xml.etree import ElementTree as ET
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.parts import W, pack, parse_xml, unpack
+from ..sources.parts import MAX_BYTES, W, pack, parse_xml, unpack
 from .package import COMMENT_OVERRIDES, COMMENT_RELATIONSHIPS
 from .tracked import ENDINGS, GREEN, RED
 
@@ -287,7 +287,7 @@ def _broken(content: bytes) -> bool:
 EDITED = "path string, content binary, applied array<bigint>, failed array<bigint>, actions array<string>, error string"
 
 
-def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", author: str = "quillmill", date: str = "2024-01-01T00:00:00Z", motivations: bool = True) -> DataFrame:
+def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", author: str = "quillmill", date: str = "2024-01-01T00:00:00Z", motivations: bool = True, limit: int = MAX_BYTES) -> DataFrame:
     """Files (path, content) with the edits (path, change_no, element_id, segments, motivation) in them.
 
     ``mode`` simple colours the markup; tracked writes tracked changes and
@@ -307,7 +307,7 @@ def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", auth
         for frame in frames:
             out = []
             for path, content, changes in zip(frame["path"], frame["content"], frame["edits"]):
-                unpacked = unpack(path, bytes(content))
+                unpacked = unpack(path, bytes(content), limit)
                 try:
                     if unpacked and unpacked[0][3]:
                         raise ValueError(unpacked[0][3])
@@ -326,7 +326,7 @@ def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", auth
     return rows.mapInPandas(run, EDITED)
 
 
-def repair_packages(files: DataFrame) -> DataFrame:
+def repair_packages(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     """(path, content, actions, error): repaired packages. One that can't be read keeps its content and has an error."""
 
     def run(frames):
@@ -335,7 +335,7 @@ def repair_packages(files: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for path, content in zip(frame["path"], frame["content"]):
-                unpacked = unpack(path, bytes(content))
+                unpacked = unpack(path, bytes(content), limit)
                 try:
                     if unpacked and unpacked[0][3]:
                         raise ValueError(unpacked[0][3])

@@ -1,10 +1,9 @@
 """Inputs of the review operators, derived from the driver's tables.
 
 Each fixture has a SQL twin of the same name in ``SQL`` (a common table
-expression for DuckDB), so that both sides start from the same rows. Not all
-of them cover their whole table: ``runs`` has twelve words a line,
-``annotations`` 40 blocks a document, ``changes`` every fifth paragraph and
-``pdf_changes`` every sixth line, as their twins do.
+expression for DuckDB), so that both sides start from the same rows. All of
+them cover their whole table: every paragraph with a word of the lexicon has a
+change, every line its words as runs, every block a note.
 """
 
 from __future__ import annotations
@@ -60,17 +59,17 @@ def elements_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    """Suggestions for every fifth paragraph (exact, nearly equal, absent old texts), and planted odd ones per document."""
+    """A suggestion for every paragraph with a word of the lexicon (exact, nearly equal and absent old texts in turn), and planted odd ones per document."""
     rows = el.paragraphs(lines(spark, d)).withColumn("pos", F.col("seq"))
     old, new = first_match(F.col("text"), LEXICON)
     n = norm(F.col("text"))
-    made = rows.withColumn("w", old).withColumn("r", new).filter("w IS NOT NULL AND pos % 5 = 1").select(
+    made = rows.withColumn("w", old).withColumn("r", new).filter("w IS NOT NULL").select(
         "doc_id",
         F.col("pos").alias("change_no"),
         "element_id",
         F.lit(None).cast("string").alias("footnote_id"),
-        F.when(F.col("pos") % 15 == 1, F.col("w")).when(F.col("pos") % 15 == 6, F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("#"))).otherwise(F.concat(F.lit("zzzz "), "w")).alias("old"),
-        F.when(F.col("pos") % 15 == 6, "rewritten").otherwise(F.col("r")).alias("new"),
+        F.when(F.col("pos") % 3 == 1, F.col("w")).when(F.col("pos") % 3 == 2, F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("#"))).otherwise(F.concat(F.lit("zzzz "), "w")).alias("old"),
+        F.when(F.col("pos") % 3 == 2, "rewritten").otherwise(F.col("r")).alias("new"),
         F.when(F.col("pos") % 2 == 1, "plain language").alias("motivation"),
     )
     s = lambda x: F.lit(x).cast("string")
@@ -117,35 +116,33 @@ def page_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdf_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Changes of every sixth line: named by the right line, one that is off by one to three, or none; some on no page."""
+    """A change of every line of three words or more: named by the right line, one that is off by one to three, or none; some on no page."""
     p = F.col("pos")
     first = F.array_join(F.slice(split_words(F.col("raw")), 1, 3), " ")
     line = ((p - 1) % 20 + 1 + F.floor(p / 6) % 4).cast("int")
-    page = F.when(p % 30 == 1, None).when(p % 42 == 1, 0).when(p % 54 == 1, 999).otherwise(F.floor((p - 1) / 20) + 1).cast("int")
-    return lines(spark, d).filter((p % 6 == 1) & (F.size(split_words(F.col("raw"))) >= 3)).select(
+    page = F.when(p % 5 == 1, None).when(p % 7 == 1, 0).when(p % 9 == 1, 999).otherwise(F.floor((p - 1) / 20) + 1).cast("int")
+    return lines(spark, d).filter((F.size(split_words(F.col("raw"))) >= 3)).select(
         "doc_id",
         p.alias("change_no"),
         page.alias("page"),
-        F.when(p % 18 != 1, line).alias("line"),
-        F.when(p % 66 != 1, first).alias("old"),
-        F.when(p % 12 == 1, F.concat(F.lit("rewrite "), p.cast("string"))).otherwise("").alias("new"),
-        F.when(p % 24 == 1, "why").alias("motivation"),
+        F.when(p % 3 != 1, line).alias("line"),
+        F.when(p % 11 != 1, first).alias("old"),
+        F.when(p % 2 == 1, F.concat(F.lit("rewrite "), p.cast("string"))).otherwise("").alias("new"),
+        F.when(p % 4 == 1, "why").alias("motivation"),
     )
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
-    """Notes on the first blocks of each document, crowded so that some repeat."""
-    b = blocks(spark, d).filter("ord <= 40")
+    """A note on every block, crowded so that some repeat."""
+    b = blocks(spark, d)
     o = F.col("ord")
     x, y = (50 + (o % 3) * 4.9).cast("double"), (F.floor(o / 2) * 5.0).cast("double")
     return b.select("doc_id", "page", "ord", x.alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 9).alias("y1"), F.when(o % 7 == 0, "same").otherwise(F.concat(F.lit(" note "), o.cast("string"))).alias("content"))
 
 
-def runs(spark: SparkSession, d: str, first: int | None = 12) -> DataFrame:
-    """The first words of each line as runs: twelve, as the SQL has them, or all if ``first`` is None."""
-    found = split_words(F.col("raw"))
-    found = found if first is None else F.slice(found, 1, first)
-    words = lines(spark, d).select("doc_id", F.col("pos").cast("int").alias("para_no"), F.posexplode(found).alias("run_no", "text"))
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each line as runs."""
+    words = lines(spark, d).select("doc_id", F.col("pos").cast("int").alias("para_no"), F.posexplode(split_words(F.col("raw"))).alias("run_no", "text"))
     k = (F.col("para_no") + F.col("run_no")) % 7
     part = F.when(F.col("para_no") % 11 == 0, "word/footnotes.xml").otherwise("word/document.xml")
     return words.select("doc_id", part.alias("part_name"), "para_no", "run_no", F.when(k.isin(0, 2), "FF0000").when(k == 1, "008000").alias("color"), F.when(k == 0, True).when(k == 2, False).alias("strike"), "text", F.when(F.col("run_no") % 5 == 0, F.col("run_no").cast("string")).alias("comment_ref"), F.when(F.col("run_no") % 6 == 5, F.concat(F.lit("f"), F.col("run_no").cast("string"))).alias("footnote_ref"))
@@ -222,7 +219,7 @@ def rsids(spark: SparkSession, d: str) -> DataFrame:
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """A run-property node per run with one or two children, some of them proofing marks."""
-    base = runs(spark, d).select("doc_id", (F.col("para_no") * 100 + F.col("run_no")).cast("long").alias("n"))
+    base = runs(spark, d).select("doc_id", (F.col("para_no").cast("long") * 1_000_000 + F.col("run_no")).alias("n"))
     two = F.when(F.col("n") % 3 == 0, 2).otherwise(1)
     items = F.array(
         F.struct((F.col("n") * 10).alias("node"), F.lit(-1).cast("long").alias("parent"), F.lit("rPr").alias("tag"), two.cast("long").alias("n_children")),

@@ -70,10 +70,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "changes": (
         ("paragraphs",),
         f"""SELECT doc_id, seq AS change_no, element_id, CAST(NULL AS VARCHAR) AS footnote_id,
-            CASE WHEN seq % 15 = 1 THEN w WHEN seq % 15 = 6 THEN n[:-2] || '#' ELSE 'zzzz ' || w END AS old,
-            CASE WHEN seq % 15 = 6 THEN 'rewritten' ELSE {REPLACED} END AS new,
+            CASE WHEN seq % 3 = 1 THEN w WHEN seq % 3 = 2 THEN n[:-2] || '#' ELSE 'zzzz ' || w END AS old,
+            CASE WHEN seq % 3 = 2 THEN 'rewritten' ELSE {REPLACED} END AS new,
             CASE WHEN seq % 2 = 1 THEN 'plain language' END AS motivation
-          FROM (SELECT *, {FIRST_WORD} AS w, {norm("text")} AS n FROM paragraphs) WHERE w IS NOT NULL AND seq % 5 = 1
+          FROM (SELECT *, {FIRST_WORD} AS w, {norm("text")} AS n FROM paragraphs) WHERE w IS NOT NULL
           UNION ALL
           SELECT doc_id, 1000000 + v.k, v.element_id, v.footnote_id, v.old, v.new, v.motivation
           FROM documents, {values([(k, *p) for k, p in enumerate(PLANTED)], "k, m, element_id, footnote_id, old, new, motivation")} WHERE doc_id % v.m = 0""",
@@ -84,23 +84,23 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "pdf_changes": (
         ("lines",),
         f"""SELECT doc_id, pos AS change_no,
-            CASE WHEN pos % 30 = 1 THEN NULL WHEN pos % 42 = 1 THEN 0 WHEN pos % 54 = 1 THEN 999 ELSE CAST(floor((pos - 1) / 20) AS BIGINT) + 1 END AS page,
-            CASE WHEN pos % 18 <> 1 THEN (pos - 1) % 20 + 1 + CAST(floor(pos / 6) AS BIGINT) % 4 END AS line,
-            CASE WHEN pos % 66 <> 1 THEN array_to_string(words[1:3], ' ') END AS old,
-            CASE WHEN pos % 12 = 1 THEN 'rewrite ' || pos ELSE '' END AS new,
-            CASE WHEN pos % 24 = 1 THEN 'why' END AS motivation
-          FROM (SELECT *, {split_words("raw")} AS words FROM lines) WHERE pos % 6 = 1 AND len(words) >= 3""",
+            CASE WHEN pos % 5 = 1 THEN NULL WHEN pos % 7 = 1 THEN 0 WHEN pos % 9 = 1 THEN 999 ELSE CAST(floor((pos - 1) / 20) AS BIGINT) + 1 END AS page,
+            CASE WHEN pos % 3 <> 1 THEN (pos - 1) % 20 + 1 + CAST(floor(pos / 6) AS BIGINT) % 4 END AS line,
+            CASE WHEN pos % 11 <> 1 THEN array_to_string(words[1:3], ' ') END AS old,
+            CASE WHEN pos % 2 = 1 THEN 'rewrite ' || pos ELSE '' END AS new,
+            CASE WHEN pos % 4 = 1 THEN 'why' END AS motivation
+          FROM (SELECT *, {split_words("raw")} AS words FROM lines) WHERE len(words) >= 3""",
     ),
     "pdf_valid": (("pdf_changes", "page_counts"), "SELECT c.* FROM pdf_changes c JOIN page_counts p ON c.doc_id = p.doc_id WHERE c.page IS NOT NULL AND c.old IS NOT NULL AND c.page BETWEEN 1 AND p.n_pages"),
     "pdf_exact": (("pdf_valid", "pdf_lines"), f"SELECT c.doc_id, c.change_no, c.page, c.line, l.text FROM pdf_valid c JOIN pdf_lines l ON c.doc_id = l.doc_id AND c.page = l.page AND c.line = l.line WHERE c.line <> 0 AND (contains({norm(clean_pdf('l.text'))}, {norm('c.old')}) OR contains({norm(clean_pdf('c.old'))}, {norm(clean_pdf('l.text'))}))"),
-    "annotations": (("blocks",), "SELECT doc_id, page, ord, CAST(50 + (ord % 3) * 4.9 AS DOUBLE) AS x0, floor(ord / 2) * 5.0::DOUBLE AS y0, CAST(50 + (ord % 3) * 4.9 AS DOUBLE) + 100 AS x1, floor(ord / 2) * 5.0::DOUBLE + 9 AS y1, CASE WHEN ord % 7 = 0 THEN 'same' ELSE ' note ' || ord END AS content FROM blocks WHERE ord <= 40"),
+    "annotations": (("blocks",), "SELECT doc_id, page, ord, CAST(50 + (ord % 3) * 4.9 AS DOUBLE) AS x0, floor(ord / 2) * 5.0::DOUBLE AS y0, CAST(50 + (ord % 3) * 4.9 AS DOUBLE) + 100 AS x1, floor(ord / 2) * 5.0::DOUBLE + 9 AS y1, CASE WHEN ord % 7 = 0 THEN 'same' ELSE ' note ' || ord END AS content FROM blocks"),
     "runs": (
         ("lines",),
         f"""SELECT doc_id, CASE WHEN para_no % 11 = 0 THEN 'word/footnotes.xml' ELSE 'word/document.xml' END AS part_name, para_no, run_no,
             CASE WHEN (para_no + run_no) % 7 IN (0, 2) THEN 'FF0000' WHEN (para_no + run_no) % 7 = 1 THEN '008000' END AS color,
             CASE WHEN (para_no + run_no) % 7 = 0 THEN true WHEN (para_no + run_no) % 7 = 2 THEN false END AS strike, text,
             CASE WHEN run_no % 5 = 0 THEN CAST(run_no AS VARCHAR) END AS comment_ref, CASE WHEN run_no % 6 = 5 THEN 'f' || run_no END AS footnote_ref
-          FROM (SELECT doc_id, pos AS para_no, CAST(generate_subscripts(words, 1) AS BIGINT) - 1 AS run_no, unnest(words) AS text FROM (SELECT *, ({split_words("raw")})[1:12] AS words FROM lines))""",
+          FROM (SELECT doc_id, pos AS para_no, CAST(generate_subscripts(words, 1) AS BIGINT) - 1 AS run_no, unnest(words) AS text FROM (SELECT *, ({split_words("raw")}) AS words FROM lines))""",
     ),
     "replies": (
         (),
@@ -136,7 +136,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT doc_id, n * 10 + k AS node, CASE WHEN k = 0 THEN -1 ELSE n * 10 END AS parent,
             CASE k WHEN 0 THEN 'rPr' WHEN 1 THEN CASE WHEN n % 2 = 0 THEN 'noProof' ELSE 'b' END ELSE CASE WHEN n % 4 = 0 THEN 'proofErr' ELSE 'i' END END AS tag,
             CASE WHEN k = 0 THEN CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END AS n_children
-          FROM (SELECT doc_id, para_no * 100 + run_no AS n FROM runs), (VALUES (0), (1), (2)) AS v(k) WHERE k <= CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END""",
+          FROM (SELECT doc_id, para_no * 1000000 + run_no AS n FROM runs), (VALUES (0), (1), (2)) AS v(k) WHERE k <= CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END""",
     ),
     "job_events": ((), "SELECT user_id AS job_id, event_id AS seq, event_type AS status, event_type IN ('purchase', 'signup') AS done, CASE WHEN event_type = 'error' THEN 'failed at ' || event_id END AS error FROM events"),
     "jobs": (("job_events",), "SELECT * FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1"),
@@ -169,4 +169,4 @@ def q(body: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n][1]})" for n in order) + "\n" if order else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({SQL[n][1]})" for n in order) + "\n" if order else "") + body

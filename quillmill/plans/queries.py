@@ -244,15 +244,8 @@ def reply_rejects(spark, d):
     return suggest.parse_replies(fx.replies(spark, d))[1].select("doc_id", "chunk_id", "pos", "reason")
 
 
-@query(q("SELECT doc_id, change_no, element_id, old, new FROM changes WHERE change_no < 1000000 AND change_no % 15 = 1", "changes"))
+@query(q(f"SELECT doc_id, seq AS change_no, element_id, w AS old, {o.REPLACED} AS new FROM (SELECT *, {o.FIRST_WORD} AS w FROM paragraphs) WHERE w IS NOT NULL", "paragraphs"))
 def suggest_rules(spark, d):
-    rows = el.paragraphs(fx.lines(spark, d))
-    old, new = suggest.first_match(F.col("text"), fx.LEXICON)
-    return rows.filter("seq % 15 = 1").select("doc_id", F.col("seq").alias("change_no"), "element_id", old.alias("old"), new.alias("new")).filter("old IS NOT NULL")
-
-
-@query()
-def suggest_rules_whole(spark, d):
     """Suggestions for every paragraph with a word of the lexicon."""
     old, new = suggest.first_match(F.col("text"), fx.LEXICON)
     return el.paragraphs(fx.lines(spark, d)).select("doc_id", F.col("seq").alias("change_no"), "element_id", old.alias("old"), new.alias("new")).filter("old IS NOT NULL")
@@ -530,12 +523,6 @@ def concat_runs(spark, d):
     return diff.concat_runs(fx.runs(spark, d), " ").select("doc_id", _L("para_no"), "text")
 
 
-@query()
-def concat_runs_whole(spark, d):
-    """Over all words of every line."""
-    return diff.concat_runs(fx.runs(spark, d, None), " ").select("doc_id", _L("para_no"), "text")
-
-
 @query(q("SELECT doc_id, pos AS para_no, CAST(floor((pos - 1) / 3) AS BIGINT) AS group_no, upper(sha256(doc_id || ':' || CAST(floor((pos - 1) / 3) AS BIGINT))[1:8]) AS rsid FROM lines", "lines"))
 def paragraph_groups(spark, d):
     return tracked.paragraph_groups(fx.lines(spark, d).select("doc_id", F.col("pos").alias("para_no")))
@@ -808,28 +795,31 @@ def repair_packages(spark, d):
     return nodes.groupBy("path").agg(n("style").alias("n_styles"), F.max(F.coalesce(F.col("name") == package.TRACK_FLAG, F.lit(False))).alias("tracks"), n("relationship").alias("n_rels"), n("override").alias("n_overrides"), n("comment_reference").alias("n_refs"), n("rsid").alias("n_rsids"))
 
 
-def _package_review(spark, d, kinds="type = 'paragraph'"):
-    found = parts.scan_elements(fx.packages(spark, d)).filter("error IS NULL").filter(kinds)
+def _package_review(spark, d):
+    found = parts.scan_elements(fx.packages(spark, d)).filter("error IS NULL")
     elements = found.select(F.regexp_extract("path", r"doc(\d+)", 1).cast("long").alias("doc_id"), F.col("seq").alias("pos"), "type", "element_id", "footnote_id", "text", "empty")
     return review.review(elements, review.RuleSuggester(fx.LEXICON), "policy")
 
 
-@query(q(f"SELECT '/in/doc' || doc_id || '.docx' AS path, count({o.FIRST_WORD}) AS n_applied, 0 AS n_failed FROM (SELECT doc_id, {o.strip('raw')} AS text FROM lines WHERE NOT contains(raw, ' | ') AND doc_id % 100 <> 99 UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id % 100 <> 99) GROUP BY doc_id", "lines"))
+@query(
+    q(
+        f"""SELECT '/in/doc' || doc_id || '.docx' AS path, count({o.FIRST_WORD}) AS n_applied, 0 AS n_failed FROM (
+          SELECT doc_id, {o.strip('raw')} AS text FROM lines WHERE NOT contains(raw, ' | ')
+          UNION ALL SELECT doc_id, {o.strip('cell')} FROM cells_raw
+          UNION ALL SELECT doc_id, source FROM documents
+          UNION ALL SELECT doc_id, lang FROM documents
+          UNION ALL SELECT doc_id, 'note of ' || lang FROM documents) WHERE doc_id % 100 <> 99 GROUP BY doc_id""",
+        "lines",
+        "cells_raw",
+    )
+)
 def edit_packages(spark, d):
-    """Packages reviewed and written back with tracked changes."""
+    """Packages reviewed, elements of all kinds, and written back with tracked changes."""
     edits = review.package_edits(_package_review(spark, d), F.concat(F.lit("/in/doc"), F.col("doc_id").cast("string"), F.lit(".docx")))
     edited = package_xml.edit_packages(fx.packages(spark, d), edits, "tracked").filter("error IS NULL")
     return edited.select("path", F.size("applied").cast("long").alias("n_applied"), F.size("failed").cast("long").alias("n_failed"))
 
 
-@query()
-def edit_packages_whole(spark, d):
-    """The same over elements of all kinds."""
-    edits = review.package_edits(_package_review(spark, d, "true"), F.concat(F.lit("/in/doc"), F.col("doc_id").cast("string"), F.lit(".docx")))
-    edited = package_xml.edit_packages(fx.packages(spark, d), edits, "tracked").filter("error IS NULL")
-    return edited.select("path", F.size("applied").cast("long").alias("n_applied"), F.size("failed").cast("long").alias("n_failed"))
-
-
 @query(q("SELECT doc_id, CASE WHEN e > 0 THEN " + _UNMARK("text[1 : s - 1]") + " || chr(10) || chr(10) || " + o.strip("text[s + 23 : e - 1]") + " || chr(10) || chr(10) || " + _UNMARK("text[e + 21 :]") + " END AS prompt FROM (SELECT *, instr(text, '<!-- START_EDITABLE -->') AS s, instr(text, '<!-- END_EDITABLE -->') AS e FROM policies)", "policies"))
 def prompt_assembly(spark, d):
     """The whole prompt of each valid policy."""

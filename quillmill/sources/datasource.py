@@ -1,7 +1,9 @@
 """Office packages as a data source: ``spark.read.format("office_parts").load(folder)``.
 
 One row per part, one partition per PACKAGES_PER_TASK files. Files are listed
-and read through Arrow's file systems, so a folder may be a path or a URI.
+and read through Arrow's file systems, so a folder may be a URI; a path without
+a scheme is a local one. Options: ``suffix`` (.docx), and ``limit``, the bytes
+that a package may unpack to (MAX_BYTES); one beyond is a row with an error.
 For stores that only Spark reads, use ``scan_packages`` and ``scan_parts``.
 """
 
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .parts import unpack
+from .parts import MAX_BYTES, unpack
 
 PACKAGES_PER_TASK = 64
 
@@ -29,6 +31,7 @@ def _open(folder: str):
 class PartsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.suffix = options["path"], options.get("suffix", ".docx").lower()
+        self.limit = int(options.get("limit", MAX_BYTES))
 
     def partitions(self) -> list[Files]:
         from pyarrow import fs
@@ -41,7 +44,7 @@ class PartsReader(DataSourceReader):
         store, _ = _open(self.folder)
         for path in partition.paths:
             with store.open_input_stream(path) as f:
-                yield from unpack(path, f.read())
+                yield from unpack(path, f.read(), self.limit)
 
 
 class PartsSource(DataSource):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import PARTS
 
+#: Bytes that a package may unpack to, unless a scan is told otherwise (``limit``): a package is one row of one task.
 MAX_BYTES = 256 << 20
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 ELEMENT_ROWS = "path string, seq bigint, type string, element_id string, footnote_id string, text string, empty boolean, error string"
@@ -170,21 +171,21 @@ def scan_packages(spark: SparkSession, folder: str, suffix: str = ".docx") -> Da
     return files.filter(F.lower("path").endswith(suffix))
 
 
-def scan_parts(files: DataFrame) -> DataFrame:
-    """(path, part_name, content, error) of packages (path, content)."""
+def scan_parts(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
+    """(path, part_name, content, error) of packages (path, content); one that unpacks to more than ``limit`` bytes has an error."""
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame(unpack(path, bytes(data)), columns=["path", "part_name", "content", "error"])
+                yield pd.DataFrame(unpack(path, bytes(data), limit), columns=["path", "part_name", "content", "error"])
 
     return files.select("path", "content").mapInPandas(run, PARTS)
 
 
-def scan_elements(files: DataFrame) -> DataFrame:
-    """Elements of packages; a package that can't be read gives one row with ``error``."""
+def scan_elements(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
+    """Elements of packages; a package that can't be read, or unpacks to more than ``limit`` bytes, gives one row with ``error``."""
 
     def run(batches):
         import pandas as pd
@@ -192,7 +193,7 @@ def scan_elements(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, data in zip(batch["path"], batch["content"]):
-                parts = unpack(path, bytes(data))
+                parts = unpack(path, bytes(data), limit)
                 try:
                     if parts and parts[0][3]:
                         raise ValueError(parts[0][3])
@@ -225,7 +226,7 @@ def scan_nodes(parts: DataFrame) -> DataFrame:
 
 
 def write_packages(parts: DataFrame) -> DataFrame:
-    """(path, content): packages put together from their parts. One package is one group, bounded by MAX_BYTES."""
+    """(path, content): packages put together from their parts. One package is one group, as large as the limit that it was scanned with."""
 
     def run(key, group):
         import pandas as pd

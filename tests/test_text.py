@@ -77,9 +77,20 @@ def test_word_diff_round_trip_and_difflib(a, b):
     assert [v for _, _, v in segments] == [x[2:] + " " for x in lines]
 
 
-def test_large_replaced_block_is_struck_and_inserted():
-    segments = udfs.ndiff_words("w " * 300, "v " * 200)
-    assert [k for _, k, _ in segments] == ["insert"] * 200 + ["strike"] * 300
+@settings(max_examples=15, deadline=None)
+@given(st.randoms(use_true_random=False), st.integers(65, 110), st.integers(65, 110))
+def test_word_diff_of_large_blocks_equals_difflib(r, n, m):
+    """Replaced blocks of more than 4,096 pairs of words."""
+    word = lambda side: r.choice(["alpha", "alpine", "beta", "gamma", "plane"]) + r.choice("xyz") * r.randrange(3) + side * r.randrange(2)
+    a, b = [word("1") for _ in range(n)], [word("2") for _ in range(m)]
+    lines = [x for x in difflib.ndiff(a, b) if x[:2] != "? "]
+    assert [v for _, _, v in udfs.ndiff_words(" ".join(a), " ".join(b))] == [x[2:] + " " for x in lines]
+
+
+def test_word_diff_of_seventy_near_words():
+    a, b = [f"alpha{k}" for k in range(70)], [f"alpha{k}x" for k in range(70)]
+    want = [({"- ": "strike", "+ ": "insert", "  ": "text"}[x[:2]], x[2:] + " ") for x in difflib.ndiff(a, b) if x[:2] != "? "]
+    assert [(k, v) for _, k, v in udfs.ndiff_words(" ".join(a), " ".join(b))] == want
 
 
 def test_replace_once():
