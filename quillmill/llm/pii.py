@@ -17,6 +17,7 @@ count per (kind, votes, length class): at most kinds * 3**5 * classes rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,24 +32,35 @@ LABELERS = ("form", "checksum", "gazetteer", "context", "neighbours")
 SIZE_CLASSES = 4
 
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# A match of these can only begin where a run begins: within one it would have begun earlier. So runs
+# are entered at their first character and never given back, and time grows with the text's length.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Candidate patterns: (kind, what must be in the text, pattern).
+#: Candidate patterns: (kind, what must be in the text, pattern). The first of two that overlap stands, so the stricter ones lead.
 CANDIDATES = (
-    (0, ("(at)", "[at]", " at ", "(dot)", "[dot]"), re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]+)+")),
+    (0, ("(at)", "[at]", " at ", "(dot)", "[dot]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?(?:\(at\)|\[at\])\x20?|\x20at\x20)[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++")),
+    (5, (), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    (4, ("-",), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     (2, (), re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])")),
     (3, (), re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])")),
-    (4, ("-",), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    (5, (), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     (6, ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Señor"), re.compile(r"(?<![A-Za-z])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Señora?)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]+(?:\x20[A-ZÀ-Þ][a-zß-ÿ]+)?")),
 )
 #: Gazetteers and context words (fixed values).
 MAIL_HOSTS = ("gmail", "yahoo", "hotmail", "outlook", "example", "mail", "proton", "gmx", "web")
-FIRST_NAMES = ("James", "Mary", "John", "Anna", "Maria", "Peter", "Paul", "Marie", "Jean", "Hans", "Julia", "Carlos", "Ana", "Luis", "Sophie", "Thomas", "Michael", "Sarah", "David", "Laura")
+TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "se", "no", "dk", "fi", "nl", "be", "at", "ch", "pt", "pl", "eu")
+FIRST_NAMES = frozenset(
+    """Aisha Alexander Alice Ana Andrea Andreas Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Björn Carlos Carmen Caroline Catherine Charles
+    Charlotte Christian Christina Christine Christopher Claire Claudia Daniel David Diego Elena Elisabeth Elizabeth Emily Emma Eric Erik Eva Fatima Felix
+    Francisco Franz François Frank Frida Gabriel George Hannah Hans Helen Helena Henry Ingrid Isabel Isabelle Ivan Jack Jacob Jacques James Jan Jane Javier
+    Jean Jennifer Jessica Johan Johanna John Jonas Jorge Joseph José Juan Julia Julie Jürgen Karin Karl Katarina Katharina Kevin Klaus Kwame Lars Laura Lena
+    Linda Lisa Louis Lucas Lucía Luis Lukas Manuel Margaret Maria Marie Mark Markus Martin Mary Mateo Matthew Max Michael Miguel Mohammed Monika Nadia Nicole
+    Nils Nina Olga Oliver Olivia Oscar Otto Pablo Patricia Patrick Paul Pedro Peter Philip Pierre Rachel Rebecca Richard Robert Rosa Samuel Sandra Sara Sarah
+    Sebastian Simon Sofia Sophie Stefan Stephen Susan Sven Thomas Tomás Ulrike Victoria Walter William Wolfgang Yusuf Yves Zoltan""".split()
+)
 IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25}
 CONTEXT_FOR = (
     re.compile(r"(?i)mail|contact|write|reach"),
@@ -114,7 +126,9 @@ def votes(t: str, kind: int, s: int, e: int, base: bool) -> tuple[int, ...]:
     d = digits_of(span)
     form = checksum = gazetteer = 0
     if kind == 0:
-        form = 1 if base or re.search(r"[(\[]at[)\]]", span) else 2
+        host = span.rsplit(")" if ")" in span else "]" if "]" in span else " ", 1)[-1].strip()
+        plain = host == host.lower() and host.rsplit(".", 1)[-1] in TOP_DOMAINS
+        form = 1 if base or plain or re.search(r"[(\[]at[)\]]", span) else 2
         gazetteer = 1 if any(h in span.lower() for h in MAIL_HOSTS) else 0
     elif kind == 1:
         form = checksum = 1
@@ -122,7 +136,7 @@ def votes(t: str, kind: int, s: int, e: int, base: bool) -> tuple[int, ...]:
         form, checksum = 1 if len(d) in (15, 16) else 2, 1 if luhn(d) else 2
         gazetteer = 1 if d[:1] in "3456" else 0
     elif kind == 3:
-        form = 1 if base or ("(" in span and len(d) == 10) else 0 if len(d) == 10 else 2
+        form = 1 if base or (len(d) == 10 and ("(" in span or (d[0] > "1" and d[3] > "1"))) else 0 if len(d) == 10 else 2
         gazetteer = 2 if len(set(d)) < 3 else 0
     elif kind == 4:
         form = 1
@@ -131,7 +145,8 @@ def votes(t: str, kind: int, s: int, e: int, base: bool) -> tuple[int, ...]:
         checksum = 1 if iban_ok(span) else 2
         gazetteer = 1 if span[:2] in IBAN_LENGTHS else 2
     else:
-        gazetteer = 1 if any(n in span.split() for n in FIRST_NAMES) else 2
+        gazetteer = 1 if any(n in FIRST_NAMES for n in span.split()) else 0
+        form = 1 if len(span.split()) > 2 else 0
     before = t[max(0, s - 30) : s]
     context = 1 if CONTEXT_FOR[kind].search(before) else 2 if CONTEXT_AGAINST.search(before) else 0
     glued = (s and t[s - 1].isalnum()) or (e < len(t) and t[e].isalnum())
@@ -158,19 +173,33 @@ def decode(code: int) -> tuple[list[int], int]:
     return v[::-1], size
 
 
+def united(spans) -> list[tuple[int, int]]:
+    """The spans, sorted, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def scan_text(t: str) -> tuple[list, list]:
     """Base spans (kind, start, end) and candidates (kind, start, end, code, is base)."""
     base = base_spans(t)
     found = [(k, s, e, code_of(votes(t, k, s, e, True), size_class(e - s)), True) for k, s, e in base]
     digits = bool(DIGIT.search(t))
-    taken = sorted((s, e) for _, s, e in base)
+    taken = united((s, e) for _, s, e in base)
     for kind, needs, pattern in CANDIDATES:
         if (kind in (0, 6) or digits) and (not needs or any(x in t for x in needs)):
+            starts, fresh = [a for a, _ in taken], []
             for m in pattern.finditer(t):
                 s, e = m.span()
-                if all(e <= a or s >= b for a, b in taken):
+                k = bisect_left(starts, e)  # the spans before k begin before this one ends; the last of them ends last
+                if not k or taken[k - 1][1] <= s:
                     found.append((kind, s, e, code_of(votes(t, kind, s, e, False), size_class(e - s)), False))
-                    taken.append((s, e))
+                    fresh.append((s, e))
+            taken = united(taken + fresh) if fresh else taken
     return base, found
 
 
@@ -212,17 +241,18 @@ class SpanModel:
         # start from the majority of votes; pseudo-counts keep every labeler better than chance until the data say otherwise
         share = (v == 1).sum(1) - 1.5 * (v == 2).sum(1)
         q = 1 / (1 + np.exp(-1.5 * share))
-        prior = 4.0
+        right, wrong = 0.8 * max(10.0, n.sum() / 10), 0.2 * max(10.0, n.sum() / 10)
         for _ in range(rounds):
             yes, no = n * q, n * (1 - q)
-            odds = np.log((yes.sum() + 1) / (no.sum() + 1)) * np.ones(len(n))
+            odds = np.zeros(len(n))  # no kind is likelier than not before the labelers speak
             for j, name in enumerate(LABELERS):
-                given_yes = np.array([yes[v[:, j] == x].sum() for x in range(3)]) + prior * np.array([0.4, 0.5, 0.1])
-                given_no = np.array([no[v[:, j] == x].sum() for x in range(3)]) + prior * np.array([0.4, 0.1, 0.5])
-                given_yes, given_no = given_yes / given_yes.sum(), given_no / given_no.sum()
-                odds += np.log(given_yes[v[:, j]] / given_no[v[:, j]])
-                self.reliability[name] = (float(given_yes[1]), float(given_no[2]))
-            q = 1 / (1 + np.exp(-odds))
+                # a labeler that does not vote says nothing
+                speaks, says = v[:, j] > 0, v[:, j] == 1
+                for_yes = (yes[says].sum() + right) / (yes[speaks].sum() + right + wrong)
+                against_no = (no[speaks & ~says].sum() + right) / (no[speaks].sum() + right + wrong)
+                odds += np.where(says, np.log(for_yes / (1 - against_no)), np.where(speaks, np.log((1 - for_yes) / against_no), 0.0))
+                self.reliability[name] = (float(for_yes), float(against_no))
+            q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         x = np.column_stack([np.ones(len(n)), *[(v == k)[:, j] for j in range(len(LABELERS)) for k in (1, 2)], *[kinds == k for k in range(len(KINDS))], *[size == k for k in range(SIZE_CLASSES)]]).astype(float)
         weight = np.zeros(x.shape[1])
         share = np.sqrt(n) / np.sqrt(n).sum()
@@ -231,9 +261,8 @@ class SpanModel:
             hessian = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
             weight += np.linalg.solve(hessian, x.T @ (share * (q - p)) - 1e-3 * weight)
         p = 1 / (1 + np.exp(-x @ weight))
-        # a span is added if the classifier says so and more labelers speak for than against it
-        speak = (v == 1).sum(1) - (v == 2).sum(1)
-        self.accepted = {(int(k), r[1]) for k, r, a, b in zip(kinds, rows, p, speak) if a >= 0.5 and b > 0}
+        # the classifier alone decides which candidates are added
+        self.accepted = {(int(k), r[1]) for k, r, a in zip(kinds, rows, p) if a >= 0.5}
 
 
 def fit(scanned: DataFrame) -> SpanModel:

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from quillmill.llm import secrets as s
 
@@ -70,3 +73,19 @@ def test_ledger_scans_only_the_unseen(spark, make_docs, tmp_path):
 
 def test_empty(spark, make_docs):
     assert s.digest(make_docs([])).count() == 0
+
+
+N = 1_000_000
+
+
+@pytest.mark.parametrize("text", ["-eyJ" * (N // 4), "eyJabcdefghij." * (N // 14), "password" + " " * N, "-xoxb-" * (N // 6), "ghp_" * (N // 4), "-----BEGIN " + "A" * N, "AKIA" * (N // 4), "ab" * (N // 2)], ids=lambda t: t[:9])
+def test_time_grows_with_the_text_alone(text):
+    begin = time.process_time()
+    s.scan_text(text)
+    assert time.process_time() - begin < 2
+
+
+def test_web_tokens():
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTYifQ.abcdefgh-_12"
+    assert [(k, b - a) for a, k, b in s.scan_text(f"x {token}, y") if k == 6] == [(6, len(token))]
+    assert not [x for x in s.scan_text(f"_{token}") if x[1] == 6]
