@@ -2,9 +2,11 @@
 
 A token that could have been written otherwise (digits or symbols for letters,
 letters repeated or kept apart) is a lattice: each character may stand for one
-of several letters, or for nothing. Viterbi search finds the reading that is
-cheapest under the channel's costs and a character trigram model, which is
-counted over the words of the whole corpus. A token whose lattice has a single
+of several letters, or for nothing. A run of SPACED or more tokens of one
+character is one lattice, too: each blank in it is either left out, or the end
+of a word. Viterbi search finds the reading that is cheapest under the
+channel's costs and a character trigram model, which is counted over the words
+of the whole corpus. A token whose lattice has a single
 path is left as it is, without a search: that is the same result. So is a token
 without a letter, if one of its characters stands for no letter (2024): no
 reading of it is a word. Marks at a token's edges that may be letters are read
@@ -12,19 +14,20 @@ both ways (idiot!, a$$); the token counts as both words.
 
 Restored words, their beginnings and the character n-grams in them are weighed by their log odds
 in toxic and other labelled documents, with a lower confidence bound, so that
-only well supported ones count; copies of a text count as one. A document's sum of weights over distinct
+only well supported ones count; copies of a text count as one. Every feature is counted by itself. A document's sum of weights over distinct
 words, and its strongest weight, are turned into a probability by logistic
 calibration on labelled documents that the weights have not seen. Learning uses MAX_LABELLED labelled documents at most,
 the ones with the smallest hash of their id, and none with remainder 0.
+
+Texts are cut into words batch by batch in Arrow, and every distinct word of a
+batch is looked at once. Time grows with the length of the texts; no word is cut.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,8 +38,8 @@ from .common import small_batches, staged
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
-#: Buckets in which words and n-grams are counted first.
-BITS = 18
+#: Toxic documents that a feature must be in to count.
+LEAST = 4
 GRAM = 5
 #: Letters of the beginnings that are features.
 BEGINNINGS = (5, 6, 7, 8)
@@ -48,16 +51,27 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 BETWEEN = ".-_*~,'`^"
 #: Channel costs in nats: another letter than written, a character left out, a repeated letter left out.
 OTHER, LEFT_OUT, REPEATED = 1.0, 0.5, 0.2
+#: Costs in a spaced run: a blank left out, a blank that ends a word; tokens of one character that make a run.
+JOINED, ENDED, SPACED = 0.1, 1.0, 3
 #: Letters of the character model besides a to z.
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz") | frozenset(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 
-EDGE = re.compile(r"^[^\w@$]+|[^\w@+]+$")
-#: The same without what may be a letter.
-BARE_EDGE = re.compile(r"^[^\w{0}]+|[^\w{0}]+$".format(re.escape("".join(LEET))))
+#: Marks that stay at a token's front and back when the others are taken off, and all that may be letters.
+FRONT, BACK, MAYBE = "@$", "@+", "".join(LEET)
 MARKS = re.compile(r"\W*")
 TWICE = re.compile(r"(.)\1")
 
 
+def trimmed(token: str, front: str, back: str) -> str:
+    """The token without the marks at its edges, but for those named."""
+    i, j = 0, len(token)
+    while i < j and not (token[i].isalnum() or token[i] == "_" or token[i] in front):
+        i += 1
+    while j > i and not (token[j - 1].isalnum() or token[j - 1] == "_" or token[j - 1] in back):
+        j -= 1
+    return token[i:j]
+
+
 class CharModel:
     """Trigram model with interpolation, from counts of padded trigrams."""
 
@@ -84,12 +98,27 @@ class CharModel:
         return out
 
     def restore(self, token: str) -> str:
-        """The cheapest reading of a token (lower case): exact Viterbi search over the last two letters."""
-        states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+        """The cheapest reading of a token (lower case): exact Viterbi search over the last two letters.
+
+        A blank is a gap in a spaced run; the reading then is of one or more words.
+        """
+        # a state: what it cost, and its letters as (what came before, letter); of equal costs the first found stays
+        states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
         previous = ""
         known, cost_of = self.known, self.cost
         for ch in token:
-            nxt: dict[str, tuple[float, str]] = {}
+            nxt: dict[str, tuple[float, tuple | None]] = {}
+            if ch == " ":
+                # left out, or the end of a word and the beginning of another
+                for context, (cost, text) in states.items():
+                    if context not in nxt or cost + JOINED < nxt[context][0]:
+                        nxt[context] = (cost + JOINED, text)
+                    if context != "^^":
+                        c = cost + ENDED + cost_of(context, "$")
+                        if "^^" not in nxt or c < nxt["^^"][0]:
+                            nxt["^^"] = (c, (text, " "))
+                states = nxt
+                continue
             choices = [(o, OTHER) for o in LEET.get(ch, "")]
             if ch.isalpha():
                 choices.append((ch, 0.0))
@@ -101,47 +130,73 @@ class CharModel:
                     c = known.get(context + o)
                     c = cost + price + (cost_of(context, o) if c is None else c)
                     key = context[1] + o
-                    if key not in nxt or (c, text + o) < nxt[key]:
-                        nxt[key] = (c, text + o)
+                    if key not in nxt or c < nxt[key][0]:
+                        nxt[key] = (c, (text, o))
                 if skip is not None:
                     c = cost + skip
-                    if context not in nxt or (c, text) < nxt[context]:
+                    if context not in nxt or c < nxt[context][0]:
                         nxt[context] = (c, text)
             states, previous = nxt, ch
-        return min((cost + self.cost(context, "$"), text) for context, (cost, text) in states.items())[1]
+        text = min(((cost + self.cost(context, "$"), k, text) for k, (context, (cost, text)) in enumerate(states.items())), key=lambda x: x[:2])[2]
+        out = []
+        while text is not None:
+            text, o = text
+            out.append(o)
+        return "".join(reversed(out))
 
 
 def hidden(token: str) -> bool:
     """Whether the lattice of a token has more than one path."""
     if token.isalpha():
         return TWICE.search(token) is not None
-    return any(c.isalpha() for c in token) or all(c in LEET or c in BETWEEN for c in token)
-
-
-def joined_letters(tokens: list[str]) -> list[str]:
-    """Runs of three or more single characters become one token."""
-    out, run = [], []
-    for t in [*tokens, ""]:
-        if len(t) == 1 and (t.isalnum() or t in LEET):
-            run.append(t)
-            continue
-        if len(run) >= 3:
-            out.append("".join(run))
-        else:
-            out += run
-        run = []
-        if t:
-            out.append(t)
-    return out
+    return " " in token or any(c.isalpha() for c in token) or all(c in LEET or c in BETWEEN for c in token)
+
+
+def single(token: str) -> bool:
+    """Whether a token may be a letter of a spaced run."""
+    return len(token) == 1 and (token.isalnum() or token in LEET)
+
+
+def words_of(column) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of the texts of an Arrow column, in lower case: (text, number of the word) in order, and the words by number.
+
+    A run of SPACED or more tokens of one character is one word, with a blank between the letters.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))))
+    text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    coded = lists.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    full = np.array([bool(w) for w in words], dtype=bool)[code] if words else np.zeros(0, dtype=bool)
+    text, code = text[full], code[full]
+    alone = np.array([single(w) for w in words], dtype=bool)[code] if words else full
+    # bounds of runs of single characters within a text
+    change = np.ones(len(code) + 1, dtype=bool)
+    change[1:-1] = (alone[1:] != alone[:-1]) | (text[1:] != text[:-1])
+    bounds = np.flatnonzero(change)
+    lo, hi = bounds[:-1], bounds[1:]
+    runs = np.flatnonzero((hi - lo >= SPACED) & alone[lo]) if len(lo) else []
+    if len(runs):
+        stays, known = np.ones(len(code), dtype=bool), {}
+        for r in runs:
+            word = " ".join([words[c] for c in code[lo[r] : hi[r]]])
+            if word not in known:
+                known[word] = len(words)
+                words.append(word)
+            stays[lo[r] + 1 : hi[r]] = False
+            code[lo[r]] = known[word]
+        text, code = text[stays], code[stays]
+    return text, code, words
 
 
 def tokens_of(text: str | None) -> set[str]:
-    """Distinct tokens of a text, in lower case, letters that stand apart joined."""
-    words = (text or "").lower().split()
-    # words of one character, as bytes: only three in a row can be joined
-    if b"\1\1\1" in bytes(map((1).__eq__, map(len, words))):
-        words = joined_letters(words)
-    return set(words)
+    """Distinct words of a text."""
+    import pyarrow as pa
+
+    _, code, words = words_of(pa.array([text], pa.large_string()))
+    return {words[c] for c in code}
 
 
 def _read(core: str, model: CharModel) -> str:
@@ -156,24 +211,30 @@ def _read(core: str, model: CharModel) -> str:
 
 def restored(token: str, model: CharModel) -> str:
     """The reading without the marks at the edges."""
-    if token.isalpha() and not TWICE.search(token):
-        return token
-    return _read(EDGE.sub("", token), model)
+    return _read(token if token.isalpha() else trimmed(token, FRONT, BACK), model)
 
 
 def readings(token: str, model: CharModel) -> set[str]:
-    """The words that a token may be: at each edge without the marks that may be letters, with those equal to the next one, or with all."""
-    bare = token if token.isalpha() else BARE_EDGE.sub("", token)
+    """The words that a token may be: at each edge without the marks that may be letters, with those equal to the next one, or with all.
+
+    Letters count as written, too: a doubled one may belong there. A spaced run
+    gives the words of its cheapest reading, and the cheapest reading without
+    any blank: three letters of context do not always tell where a word ends.
+    """
+    if " " in token:
+        whole = token.replace(" ", "")
+        return {*_read(token, model).split(" "), _read(whole, model), whole if whole.isalpha() else ""} - {""}
+    bare = token if token.isalpha() else trimmed(token, MAYBE, MAYBE)
     cores = {bare}
     if not bare.isalpha():
-        cores.add(EDGE.sub("", token))
+        cores.add(trimmed(token, FRONT, BACK))
         begin, end = MARKS.match(bare).end(), len(bare) - MARKS.match(bare[::-1]).end()
         if begin < end:
             front, back = bare[:begin], bare[end:]
             begins = {0, begin, len(front.rstrip(front[-1:]) if front else "")}
             ends = {len(bare), end, len(bare) - len(back.lstrip(back[:1]) if back else "")}
             cores.update(bare[i:j] for i in begins for j in ends)
-    return {_read(c, model) for c in cores} - {""}
+    return {bare if bare.isalpha() else "", *(_read(c, model) for c in cores)} - {""}
 
 
 def features(word: str) -> set[str]:
@@ -182,10 +243,6 @@ def features(word: str) -> set[str]:
     return {f"={word}", *(f"<{word[:k]}" for k in BEGINNINGS if k < len(word)), *(padded[k : k + GRAM] for k in range(len(padded) - GRAM + 1))}
 
 
-def bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-
-
 @dataclass
 class Classifier:
     weights: dict[str, float] = field(default_factory=dict)
@@ -200,15 +257,10 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total) + c * total / math.sqrt(distinct + 10) + d * strongest))))
 
 
-def learn_weights(counts: list[tuple], toxic: int, other: int, z: float = 3.0, least: int = 4) -> dict:
-    """Lower confidence bounds of log odds, where positive. counts: (feature, in toxic documents, in others), fractions allowed."""
-    out = {}
-    for f, a, b in counts:
-        if a >= least:
-            w = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (other + 1)) - z * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (toxic + 1) - 1 / (other + 1))
-            if w > 0:
-                out[f] = w
-    return out
+def weight_of(a: Column, b: Column, toxic: float, other: float, z: float = 3.0) -> Column:
+    """Lower confidence bound of the log odds of a feature in ``a`` of ``toxic`` documents and ``b`` of ``other`` ones; fractions allowed."""
+    spread = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (toxic + 1) - 1 / (other + 1))
+    return F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (other + 1)) - z * spread
 
 
 def calibrate(rows: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
@@ -233,24 +285,16 @@ def calibrate(rows: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
 def _count_trigrams(batches):
     import pyarrow as pa
 
-    words: Counter = Counter()
-    grams: Counter = Counter()
-
-    def fold_in():
-        for w, n in words.items():
-            w = w if w.isalpha() else EDGE.sub("", w)
-            if w and LETTERS.issuperset(w):
+    grams: dict[str, int] = {}
+    for batch in batches:
+        _, code, words = words_of(batch.column(0))
+        for w, n in zip(words, np.bincount(code, minlength=len(words)).tolist()):
+            w = w if w.isalpha() else trimmed(w, FRONT, BACK)
+            if n and w and LETTERS.issuperset(w):
                 padded = f"^^{w}$"
                 for k in range(len(padded) - 2):
-                    grams[padded[k : k + 3]] += n
-        words.clear()
-
-    for batch in batches:
-        for text in batch.column(0):
-            words.update((text.as_py() or "").lower().split())
-            if len(words) > MEMORY:
-                fold_in()
-    fold_in()
+                    gram = padded[k : k + 3]
+                    grams[gram] = grams.get(gram, 0) + n
     yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
 
 
@@ -260,84 +304,73 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel({r["gram"]: r["n"] for r in rows})
 
 
-def _featurize(model):
-    def run(batches):
-        import pyarrow as pa
+def _parts(text: np.ndarray, code: np.ndarray, texts: int, words: int) -> list[np.ndarray]:
+    """The distinct words of each text, by number."""
+    pairs = np.unique(text * max(1, words) + code)
+    return np.split(pairs % max(1, words), np.searchsorted(pairs, np.arange(1, texts) * max(1, words)))
 
-        lm, memory = CharModel(model.value), {}
-        for batch in batches:
-            out, families = [], []
-            for text in batch.column(2):
-                found: set[int] = set()
-                tokens = tokens_of(text.as_py())
-                # copies have the same smallest hashes of words, near copies mostly
-                least = heapq.nsmallest(4, (zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens))
-                families.append(zlib.crc32(repr(least).encode()))
-                for t in tokens:
-                    if t not in memory:
-                        if len(memory) > MEMORY:
-                            memory.clear()
-                        memory[t] = {bucket(f) for w in readings(t, lm) for f in features(w)}
-                    found |= memory[t]
-                out.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.string()), pa.array(out, pa.list_(pa.int32())), pa.array(families, pa.int64())], names=["part", "label", "text", "features", "family"])
 
-    return run
-
-
-def _count_features(batches):
+def _families(batches):
+    """(part, label, text) with ``family``: the smallest hashes of its words, which copies have in common, near copies mostly."""
     import pyarrow as pa
 
-    counts = np.zeros((2, 1 << BITS))
     for batch in batches:
-        for label, weight, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            counts[label, found.values.to_numpy()] += weight
-    some = np.flatnonzero(counts.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[1, some]), pa.array(counts[0, some])], names=["feature", "toxic", "other"])
+        text, code, words = words_of(batch.column(2))
+        hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.int64)
+        families = [zlib.crc32(np.sort(hashes[found])[:4].tobytes()) for found in _parts(text, code, batch.num_rows, len(words))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.string()), pa.array(families, pa.int64())], names=["part", "label", "text", "family"])
 
 
-def _count_exactly(shared):
-    """(feature, in toxic documents, in others) of the features in chosen buckets, from (label, weight, text)."""
+def _count_features(shared):
+    """(feature, in toxic documents, in others) from (label, weight, text), one row per batch and feature."""
 
     def run(batches):
         import pyarrow as pa
 
-        chosen, lm, memory = set(shared.value[0]), CharModel(shared.value[1]), {}
+        lm = CharModel(shared.value)
         for batch in batches:
-            counts: dict[str, list[float]] = {}
-            for label, weight, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found: set[str] = set()
-                for t in tokens_of(text.as_py()):
-                    if t not in memory:
-                        if len(memory) > MEMORY:
-                            memory.clear()
-                        memory[t] = {f for w in readings(t, lm) for f in features(w) if bucket(f) in chosen}
-                    found |= memory[t]
-                for f in found:
-                    counts.setdefault(f, [0.0, 0.0])[label] += weight
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.float64()), pa.array([c[0] for c in counts.values()], pa.float64())], names=["feature", "toxic", "other"])
+            text, code, words = words_of(batch.column(2))
+            number: dict[str, int] = {}
+            of_word = [np.array([number.setdefault(f, len(number)) for w in readings(t, lm) for f in features(w)], dtype=np.int64) for t in words]
+            counts = np.zeros((2, len(number)))
+            for label, weight, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _parts(text, code, batch.num_rows, len(words))):
+                if len(found):
+                    counts[label, np.unique(np.concatenate([of_word[c] for c in found]))] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(counts[1], pa.float64()), pa.array(counts[0], pa.float64())], names=["feature", "toxic", "other"])
 
     return run
 
 
-def _total(classifier: Classifier, model: CharModel, memory: dict, text: str | None) -> tuple[float, float, int]:
-    """Sum and maximum of the weights of a text's distinct restored words, and the number of its distinct tokens."""
-    tokens = tokens_of(text)
-    found: dict[str, float] = {}
-    get = memory.get
-    for t in tokens:
-        hit = get(t)
-        if hit is None:
-            if len(memory) > MEMORY:
-                memory.clear()
-            weight, word = max(((classifier.word_weight(w), w) for w in readings(t, model)), default=(0.0, ""))
-            hit = memory[t] = (word, weight) if weight > 0 else ()
-        if hit:
-            found[hit[0]] = hit[1]
-    return sum(found[w] for w in sorted(found)), max(found.values(), default=0.0), len(tokens)
-
-
-def _totals(shared):
+def _totals(column, classifier: Classifier, model: CharModel, memory: dict) -> list[tuple[float, float, int]]:
+    """Sum and maximum of the weights of each text's distinct restored words, and the number of its distinct words."""
+    text, code, words = words_of(column)
+    if len(memory) > MEMORY:
+        memory.clear()
+    weighed = np.zeros(len(words), dtype=bool)
+    for k, t in enumerate(words):
+        if (hit := memory.get(t)) is None:
+            read = [(classifier.word_weight(w), w) for w in readings(t, model)]
+            # the words of a spaced run stand beside each other, the readings of any other token instead of each other;
+            # of words in each other, the one that weighs more counts
+            read = [x for x in read if not any(x[1] != y[1] and x[1] in y[1] and y[0] >= x[0] for y in read)] if " " in t else [max(read, default=(0.0, ""))]
+            hit = memory[t] = tuple(x for x in read if x[0] > 0)
+        weighed[k] = bool(hit)
+    pairs = np.unique(text * max(1, len(words)) + code)
+    owner, word = pairs // max(1, len(words)), pairs % max(1, len(words))
+    distinct = np.bincount(owner, minlength=len(column))
+    found: dict[int, dict[str, float]] = {}
+    for o, c in zip(owner[weighed[word]].tolist(), word[weighed[word]].tolist()):
+        mine = found.setdefault(o, {})
+        for weight, w in memory[words[c]]:
+            mine[w] = weight
+    out = []
+    for o in range(len(column)):
+        mine = found.get(o, {})
+        out.append((sum(mine[w] for w in sorted(mine)), max(mine.values(), default=0.0), int(distinct[o])))
+    return out
+
+
+def _held_totals(shared):
     def run(batches):
         import pyarrow as pa
 
@@ -346,7 +379,7 @@ def _totals(shared):
         classifier, model = Classifier(weights, coefficients), CharModel(counts)
         memory: dict = {}
         for batch in batches:
-            got = [_total(classifier, model, memory, x.as_py()) for x in batch.column(1)]
+            got = _totals(batch.column(1), classifier, model, memory)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64())], names=["label", "total", "strongest", "distinct"])
 
     return run
@@ -361,7 +394,7 @@ def _score(shared):
         classifier, model = Classifier(weights, coefficients), CharModel(counts)
         memory: dict = {}
         for batch in batches:
-            scores = [classifier.score(*_total(classifier, model, memory, x.as_py())) for x in batch.column(1)]
+            scores = [classifier.score(*got) for got in _totals(batch.column(1), classifier, model, memory)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -382,26 +415,22 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> Classifier:
     marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy(F.col("doc_id").cast("long").alias("__qm_id")).agg(F.max("toxic").cast("int").alias("label"))
     sample = marks.orderBy(F.xxhash64("__qm_id"), "__qm_id").limit(MAX_LABELLED).withColumn("part", (fold(F.col("__qm_id")) == 4).cast("int"))
     sample = staged(sample, "tox-sample")
-    lm = spark.sparkContext.broadcast(model.tri)
     slim = docs.select(docs["doc_id"].cast("long").alias("__qm_doc"), docs["text"].cast("string").alias("text"))
     rows = slim.join(F.broadcast(sample), F.col("__qm_doc") == F.col("__qm_id")).select("part", "label", "text")
-    seen = staged(rows.mapInArrow(_featurize(lm), "part int, label int, text string, features array<int>, family long"), "tox-features")
+    seen = staged(rows.mapInArrow(_families, "part int, label int, text string, family long"), "tox-sample-texts")
     part = seen.filter("part = 0")
-    # texts of a family share one vote, so a text's words are not toxic for having been copied
+    # texts of a family share one vote, so a text's words are not toxic for having been copied; at most MAX_LABELLED families are broadcast
     shares = part.groupBy("label", "family").agg((1.0 / F.count("*")).alias("weight"))
-    taught = part.join(shares, ["label", "family"]).select("label", "weight", "text", "features")
+    taught = part.join(F.broadcast(shares), ["label", "family"]).select("label", "weight", "text")
     sizes = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.round(F.sum("weight"), 6).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
+    lm = spark.sparkContext.broadcast(model.tri)
     sums = [F.round(F.sum("toxic"), 6).alias("a"), F.round(F.sum("other"), 6).alias("b")]
-    rough = taught.select("label", "weight", "features").mapInArrow(_count_features, "feature int, toxic double, other double").groupBy("feature").agg(*sums).filter("a > 0").collect()
-    # a bucket may hold several features, so only its members' own counts give weights; a bucket that
-    # is not toxic by a mild bound has no member that is by the strict one, but for rare chance
-    chosen = sorted(learn_weights([(r["feature"], r["a"], r["b"]) for r in rough], toxic, other, z=0.5))
-    picked = spark.sparkContext.broadcast((chosen, model.tri))
-    counts = taught.select("label", "weight", "text").mapInArrow(_count_exactly(picked), "feature string, toxic double, other double").groupBy("feature").agg(*sums).filter("a > 0").collect()
-    weights = learn_weights(sorted((r["feature"], r["a"], r["b"]) for r in counts), toxic, other)
+    counts = taught.mapInArrow(_count_features(lm), "feature string, toxic double, other double").groupBy("feature").agg(*sums).filter(F.col("a") >= LEAST)
+    # only features that speak for toxicity reach the driver
+    weights = {r["feature"]: r["w"] for r in counts.select("feature", weight_of(F.col("a"), F.col("b"), float(toxic), float(other)).alias("w")).filter("w > 0").orderBy("feature").collect()}
     bare = spark.sparkContext.broadcast((weights, Classifier().coefficients, model.tri))
-    held = seen.filter("part = 1").select("label", "text").mapInArrow(_totals(bare), "label int, total double, strongest double, distinct long").collect()
+    held = seen.filter("part = 1").select("label", "text").mapInArrow(_held_totals(bare), "label int, total double, strongest double, distinct long").collect()
     return Classifier(weights, calibrate(sorted((r["total"], r["strongest"], r["distinct"], r["label"]) for r in held)))
 
 

@@ -1,11 +1,15 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
+import pyarrow.parquet as pq
+
 from quillmill.llm import toxicity as x
 
 SF = "/root/testdata/sf0.1"
+DOCS = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
 
 
 def model(words):
@@ -48,7 +52,8 @@ def test_hidden_words_are_restored():
     for token in ("1d10t", "i.d.i.o.t", "iiidiot", "id!ot", "idiot!!", "(idiot)", "i-d-i-o-t"):
         assert x.restored(token, m) == "idiot"
     assert x.restored("hello", m) == "hello" and x.restored("2024", m) == "2024"
-    assert "idiot" in x.tokens_of("you I d I o t now") and "stupid" in x.tokens_of("s t u p i d")
+    assert "i d i o t" in x.tokens_of("you I d I o t now") and x.tokens_of("s t u p i d") == {"s t u p i d"}
+    assert x.tokens_of("a b cd e f g\n h ij") == {"a", "b", "cd", "e f g h", "ij"}
     assert x.tokens_of(None) == set() == x.tokens_of(" \n")
 
 
@@ -59,7 +64,49 @@ def test_every_lattice_of_several_paths_is_searched():
     for token, word in (("a$$", "ass"), ("@$$", "ass"), ("!diot", "idiot"), ("|diot!", "idiot"), ("a$$!", "ass"), ("!!|diot", "idiot"), ("s(um", "scum"), ("(um", "cum"), ("hello", "hello"), ("(hello)", "hello")):
         assert word in x.readings(token, m)
     assert x.readings("--", m) == set() and x.readings("2024", m) == {"2024"}
-    assert "ass" in x.tokens_of("an a s s here") and "ass" in x.tokens_of("a s s") and "scum" in x.tokens_of("s c u m")
+
+
+def test_a_spaced_run_is_a_lattice_of_words():
+    """Words and spaces as the cheapest path has them, under the model of a whole table with the words in it."""
+    rows = [w for r in DOCS for w in r.lower().split() if w.isalpha()]
+    m = model(rows + ["poop", "ass", "you", "are", "an"] * (len(rows) // 2000))
+    for run, words in (("y o u i d i o t", {"you", "idiot"}), ("p o o p", {"poop"}), ("a s s", {"ass"}), ("1 d 1 0 t", {"idiot"}), ("s c u m", {"scum"}), ("$ t u p 1 d", {"stupid"}), ("t r a s h", {"trash"}), ("w o r t h l e s s", {"worthless"})):
+        assert x.tokens_of(run) == {run}
+        whole = m.restore(run.replace(" ", ""))
+        assert set(m.restore(run).split(" ")) | {whole} <= x.readings(run, m)
+        assert all(any(w in r for r in x.readings(run, m)) for w in words), (run, x.readings(run, m))
+    assert x.readings("1337", m) and all(w.isalpha() for w in x.readings("1337", m))
+
+
+def test_spaced_runs_like_brute_force():
+    m = model(["idiot", "you", "a", "to", "do", "it"] * 9)
+    rng = random.Random(6)
+    for _ in range(60):
+        letters = [rng.choice("idotyu01a") for _ in range(rng.randint(3, 5))]
+        best = math.inf
+        for chosen in itertools.product(*[[(o, x.OTHER) for o in x.LEET.get(c, "")] + ([(c, 0.0)] if c.isalpha() else []) + ([("", x.REPEATED)] if k and letters[k - 1] == c else []) for k, c in enumerate(letters)]):
+            for gaps in itertools.product([True, False], repeat=len(letters) - 1):
+                words, cost = [""], sum(p for _, p in chosen) + sum(x.ENDED if g else x.JOINED for g in gaps)
+                for k, (c, _) in enumerate(chosen):
+                    words[-1] += c
+                    if k < len(gaps) and gaps[k]:
+                        words.append("")
+                if "" in words:
+                    continue
+                for w in words:
+                    p = f"^^{w}$"
+                    cost += sum(m.cost(p[k : k + 2], p[k + 2]) for k in range(len(p) - 2))
+                if cost < best - 1e-9:
+                    best, want = cost, " ".join(words)
+        assert m.restore(" ".join(letters)) == want
+
+
+def test_long_tokens_take_linear_time():
+    m = model(["idiot", "the"] * 9)
+    for token in ("a" * 300_000, "1" * 300_000, "." * 300_000 + "a" + "." * 300_000 + "a", " ".join("a" * 200_000), "a1!" * 100_000):
+        begin = time.process_time()
+        x.readings(token, m)
+        assert time.process_time() - begin < 20
 
 
 def held_out(spark, docs, labels):
@@ -72,7 +119,7 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows, auc = held_out(spark, docs, labels)
     assert auc > 0.95
-    assert sum(r["predicted"] for r in rows if r["toxic"]) >= 0.8 * sum(r["toxic"] for r in rows)
+    assert sum(r["predicted"] for r in rows if r["toxic"]) >= 0.9 * sum(r["toxic"] for r in rows)
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * sum(1 - r["toxic"] for r in rows)
 
 
