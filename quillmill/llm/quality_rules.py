@@ -23,8 +23,6 @@ from .common import SPACES, let, staged, words
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Above this many words an entry of the window list is a (hash, position) pair instead of one packed long.
-PACKED_WORDS = 1 << 16
 FEATURES = ("n_words", "mean_word", "symbol_rate", "upper_rate", "bang_rate", "digit_rate", "dup_line_rate", "repeat_rate")
 
 
@@ -32,32 +30,43 @@ def _count_chars(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def repeat_words(ws: Column, n: Column) -> Column:
+def repeat_words(ws: Column, n: Column, hash_of=F.xxhash64) -> Column:
     """Words that lie in a 3-word window which occurs twice or more in the text.
 
-    Windows are hashed; sorting (hash, position) brings equal ones together,
-    neighbours give the positions, and words are counted from the distances
-    between these. Up to PACKED_WORDS words both share a long (48 bits of
-    hash), which sorts as a primitive array; longer texts sort pairs of the
-    full hash and the position.
+    A window's hash and position share a long; as many bits as the text's
+    length needs are the position's. Sorting brings equal hashes together.
+    Neighbours of equal hash are compared word by word; if any two differ, the
+    text's windows are sorted by their words instead, so the result never
+    depends on the hash. Words are counted from the distances between positions.
     """
+    index = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)).cast("int"))
+    before = lambda s, i: F.get(s, i - 1)
 
     def _gaps(p: Column) -> Column:
         gaps = F.zip_with(F.slice(p, 2, F.size(p)), p, lambda b, a: F.when(b.isNull(), F.lit(0)).otherwise(F.least(F.lit(3), b - a)))
         return F.aggregate(gaps, F.lit(3).cast("long"), lambda acc, g: acc + g.cast("long"))
 
-    def starts_of(keys: Column, hash_of, pos_of) -> Column:
-        """Positions of keys whose hash equals a neighbour's in the sorted list."""
-        same = lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1).isNotNull() & (hash_of(F.get(s, i - 1)) == hash_of(x))) | (F.get(s, i + 1).isNotNull() & (hash_of(F.get(s, i + 1)) == hash_of(x))))
-        return let(F.sort_array(keys), lambda s: F.transform(same(s), pos_of))
+    def paired(keys: Column, part) -> Column:
+        """The sorted keys whose part equals that of a neighbour."""
+        same = lambda a, b: a.isNotNull() & (part(a) == part(b))
+        return let(F.sort_array(keys), lambda s: F.filter(s, lambda x, i: same(before(s, i), x) | same(F.get(s, i + 1), x)))
 
-    index = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)).cast("int"))
-    gram = lambda i: F.xxhash64(ws[i], ws[i + 1], ws[i + 2])
-    mask = F.lit(0xFFFF).cast("long")
-    packed = F.transform(index, lambda i: F.shiftleft(gram(i), 16).bitwiseOR(i.cast("long")))
-    pairs = F.transform(index, lambda i: F.struct(gram(i).alias("h"), i.cast("long").alias("p")))
-    starts = F.when(n <= PACKED_WORDS, starts_of(packed, lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(mask))).otherwise(starts_of(pairs, lambda x: x["h"], lambda x: x["p"]))
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(starts, lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(let(F.sort_array(s), _gaps))))
+    def places(bits: Column) -> Column:
+        hash_part = lambda x: F.call_function("shiftright", x, bits)
+        position = lambda x: (x - F.call_function("shiftleft", hash_part(x), bits)).cast("int")
+        packed = F.transform(index, lambda i: F.call_function("shiftleft", hash_of(ws[i], ws[i + 1], ws[i + 2]), bits).bitwiseOR(i.cast("long")))
+        in_words = F.transform(index, lambda i: F.struct(F.struct(ws[i].alias("a"), ws[i + 1].alias("b"), ws[i + 2].alias("c")).alias("w"), i.alias("p")))
+
+        def verified(s: Column) -> Column:
+            differ = lambda p, q: (ws[p] != ws[q]) | (ws[p + 1] != ws[q + 1]) | (ws[p + 2] != ws[q + 2])
+            clash = F.transform(s, lambda x, i: (before(s, i).isNotNull()) & (hash_part(before(s, i)) == hash_part(x)) & differ(position(before(s, i)), position(x)))
+            exact = F.transform(paired(in_words, lambda x: x["w"]), lambda x: x["p"])
+            return F.when(F.array_contains(clash, True), exact).otherwise(F.transform(s, position))
+
+        return let(paired(packed, hash_part), verified)
+
+    found = let(F.length(F.bin(n)), places)
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(found, lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(let(F.sort_array(s), _gaps))))
 
 
 #: Labelled documents that `kept_documents` learns from, at most.
