@@ -2,10 +2,12 @@
 
 A document's set is its distinct word shingles ("tokens" below). Documents
 whose sets reach the similarity are linked; the result names the component of
-every document. All of it is exact up to 64-bit hashes of shingles and sets.
+every document. All of it is exact up to 64-bit hashes of shingles and 128-bit ones of sets.
 
 1. One pass stages (doc_id, set size, set hash). Equal sets are one node from
-   here on, so copies, however many, are joined by their hash alone. The same
+   here on, so copies, however many, are joined by their hash alone. A node's
+   name is half of that hash; of sets that share a half (some three pairs among
+   10^10 sets) the other half is taken. The same
    pass counts tokens that occur twice in a part of a task's documents; the
    most frequent of them (a bounded number) make up the class of frequent
    tokens. The class only steers the order of tokens and never decides a link.
@@ -22,11 +24,21 @@ every document. All of it is exact up to 64-bit hashes of shingles and sets.
 3. Groups of up to PAIR_GROUP nodes with a rare token in common give candidate
    pairs of compatible sizes. Larger groups, and all groups of combinations,
    would give pairs by the square of their size: they only say which nodes
-   belong to a family (connected components over one edge per member). A family
-   is cut into blocks by set size and hash; every pair of blocks of compatible
-   sizes is a tile, and the pairs of a tile are compared by a matrix product.
-   What leaves a tile is one edge per linked document, not one per pair.
-4. Candidates are verified on whole texts, and the links' components named.
+   belong to a family (connected components over one edge per member).
+4. A family is described by how its sets differ from a base, the tokens that
+   most of a drawn number of them have: D(x) is what x has and the base has
+   not, or the reverse. As x and y differ by |D(x)| + |D(y)| - 2 |D(x) and D(y)|
+   tokens, they are linked exactly if f(x) + f(y) <= 2 (den + num) |D(x) and D(y)|
+   with f(x) = (den + num) |D(x)| - (den - num) |x|. So the set of the least f is
+   linked to every x with f(x) + f <= 0, without any comparison, and these are
+   all pairs that need no token in common: one edge a member. Each pair that is
+   left has a member beyond that bound and shares tokens of D, which are in few
+   members each: a prefix index over D finds the candidates. A group of more
+   than PAIR_GROUP members with such a token is a smaller family with a base of
+   its own, and is treated in the same way, with D for its sets. The base only
+   steers the work: the outcome is exact for any. A token that all members of a
+   group have is in its base, so groups shrink and the rounds end.
+5. Candidates are verified on whole sets, and the links' components named.
 
 Rows with a null doc_id have no component and link nothing; null or wordless
 texts have an empty set and are alone. A repeated doc_id is one document as
@@ -35,8 +47,8 @@ far as its sets are equal; otherwise its rows are separate texts with one name.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,8 +65,10 @@ FREQUENT, CLASS_SIZE = 16, 1 << 20
 COUNT_TOKENS = 4_000_000
 #: Tokens that two sets with prefixes of rare tokens must share there.
 COMMON = 3
-#: Documents in a block of a family.
-BLOCK = 384
+#: Members that a family's base is taken from, about; members of a family in a part, which the base is sent to.
+DRAWN, PART = 64, 2048
+#: Rounds that no input needs: a family at least halves in each, but for chance.
+ROUNDS = 64
 #: Parts of a large group of combinations.
 SALT = 16
 #: Sets of at most this size are indexed by all their tokens.
@@ -113,10 +127,17 @@ def token_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def node_of(tokens: np.ndarray) -> int:
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
     import xxhash
 
-    return int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes())], dtype=np.uint64).view(np.int64)[0])
+    h = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return h & (2**64 - 1), h >> 64
+
+
+def node_of(tokens: np.ndarray, clashes: frozenset = frozenset()) -> tuple[int, int]:
+    """A set's node and the other half of its hash, as signed numbers. ``clashes``: nodes of more than one set."""
+    node, check = (x - 2**64 if x >> 63 else x for x in _digest(tokens))
+    return (check if node in clashes else node), check
 
 
 def _texts(batch):
@@ -127,12 +148,12 @@ def _texts(batch):
 
 
 def _profile(spec: Spec):
-    """Per document (0, doc_id, n, node); per frequent token of a part of the task (1, token, count, null)."""
+    """Per document (0, doc_id, n, node, check); per frequent token of a part of the task (1, token, count, nulls)."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["kind", "id", "n", "node"]
+        names = ["kind", "id", "n", "node", "check"]
         sets: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
@@ -140,22 +161,24 @@ def _profile(spec: Spec):
         def counts():
             tokens, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
             often = times >= 2
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(int(often.sum()), dtype=np.int32)), pa.array(tokens[often].view(np.int64)), pa.array(times[often].astype(np.int64)), pa.nulls(int(often.sum()), pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(int(often.sum()), dtype=np.int32)), pa.array(tokens[often].view(np.int64)), pa.array(times[often].astype(np.int64)), pa.nulls(int(often.sum()), pa.int64()), pa.nulls(int(often.sum()), pa.int64())], names=names)
 
         for batch in batches:
-            ids, ns, nodes = batch.column(0).cast(pa.int64()), [], []
+            ids, ns, nodes, checks = batch.column(0).cast(pa.int64()), [], [], []
             for text in _texts(batch):
                 s = token_set(text, spec.words)
+                node, check = node_of(s) if len(s) else (None, None)
                 ns.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
-                if len(s) and nodes[-1] not in seen:
-                    seen.add(nodes[-1])
+                nodes.append(node)
+                checks.append(check)
+                if len(s) and node not in seen:
+                    seen.add(node)
                     sets.append(s)
                     size += len(s)
                 if size >= COUNT_TOKENS:
                     yield counts()
                     sets, seen, size = [], set(), 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), dtype=np.int32)), ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), dtype=np.int32)), ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64())], names=names)
         yield counts()
 
     return run
@@ -188,13 +211,13 @@ def _index(spec: Spec, classes):
     def run(batches):
         import pyarrow as pa
 
-        often, times = classes.value
+        often, times, clashes = classes.value
         seen: set[int] = set()
         for batch in batches:
             parts = []
             for text in _texts(batch):
                 s = token_set(text, spec.words)
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s) or (node := node_of(s, clashes)[0]) in seen:
                     continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
@@ -291,90 +314,51 @@ def _ended(batches):
     yield None
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, as a product of 0/1 matrices over the tokens that two sets share."""
-    sizes = [len(s) for s in left + right]
-    tokens, at = np.unique(np.concatenate(left + right), return_inverse=True)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    shared = np.bincount(at) > 1
-    keep = shared[at]
-    at, doc = (np.cumsum(shared) - 1)[at[keep]], doc[keep]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    order = np.argsort(at, kind="stable")
-    at, doc = at[order], doc[order]
-    width = 8192
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(at, [lo, lo + width])
-        x = np.zeros((len(sizes), width), dtype=np.float32)
-        x[doc[a:b], at[a:b] - lo] = 1
-        out += x[: len(left)] @ x[len(left) :].T
-    return out.astype(np.int64)
-
-
-def _verify(spec: Spec):
-    """Rows (unit, i, j, role, node, text), sorted by unit, to edges (a, b) between linked nodes.
-
-    i < 0: the row of role 0 is compared with all others, one at a time. Else
-    the unit is a tile: role 1 and 2 are its two blocks (i = j: role 1 alone).
-    """
+def _verify(spec: Spec, clashes: frozenset):
+    """Rows (unit, role, node, text), sorted by unit and role, to edges (a, b): the row of role 0 is compared with all others, one at a time."""
 
     def run(batches):
         import pyarrow as pa
 
-        unit, center, left, right = None, None, [], []
-
-        def tile():
-            if not left:
-                return []
-            same = not right
-            other = left if same else right
-            both = _overlaps([s for _, s in left], [s for _, s in other])
-            a, b = np.array([len(s) for _, s in left])[:, None], np.array([len(s) for _, s in other])[None, :]
-            linked = spec.linked(both, a, b)
-            nodes = [x for x, _ in left] + ([] if same else [x for x, _ in right])
-            root = list(range(len(nodes)))
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            edges = []
-            for x, y in zip(*np.nonzero(np.triu(linked, 1) if same else linked)):
-                p, q = find(int(x)), find(int(y) + (0 if same else len(left)))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    edges.append((nodes[int(x)], nodes[int(y) + (0 if same else len(left))]))
-            return edges
-
-        def batch_of(edges):
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
-
+        unit, center = None, None
         for batch in batches:
             edges = []
-            keys = [batch.column(k).to_pylist() for k in range(5)]
-            texts = batch.column(5).cast(pa.large_binary())
-            for u, i, j, role, node, text in zip(*keys, texts):
-                if unit != (u, i, j):
-                    edges += tile()
-                    unit, center, left, right = (u, i, j), None, [], []
+            keys = [batch.column(k).to_pylist() for k in range(3)]
+            texts = batch.column(3).cast(pa.large_binary())
+            for u, role, node, text in zip(*keys, texts):
+                if unit != u:
+                    unit, center = u, None
                 s = token_set(text.as_py(), spec.words)
-                if not len(s) or node_of(s) != node:
+                if not len(s) or node_of(s, clashes)[0] != node:
                     continue  # another text of a repeated doc_id
-                if i < 0 and role == 0:
+                if role == 0:
                     center = s
-                elif i < 0:
-                    if center is not None:
-                        shared = len(np.intersect1d(center, s, assume_unique=True))
-                        if spec.linked(shared, len(center), len(s)):
-                            edges.append((u, node))
-                else:
-                    side = left if role == 1 else right
-                    if not side or side[-1][0] != node:
-                        side.append((node, s))
-            yield batch_of(edges)
-        yield batch_of(tile())
+                elif center is not None:
+                    shared = len(np.intersect1d(center, s, assume_unique=True))
+                    if spec.linked(shared, len(center), len(s)):
+                        edges.append((u, node))
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _sets(spec: Spec, clashes: frozenset):
+    """Rows (unit, part, drawn, node, text) to the same with set size and tokens instead of the text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep, sets = [], []
+            for k, (node, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).cast(pa.large_binary()))):
+                s = token_set(text.as_py(), spec.words)
+                if len(s) and node_of(s, clashes)[0] == node:  # else another text of a repeated doc_id
+                    keep.append(k)
+                    sets.append(s.view(np.int64))
+            rows = batch.take(pa.array(keep, pa.int64()))
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in range(4)], pa.array([len(s) for s in sets], pa.int64()), tokens], names=["unit", "part", "drawn", "node", "n", "tokens"])
 
     return run
 
@@ -389,52 +373,95 @@ def frequent_class(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(slim: DataFrame, classes, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) and edges (a, b) of families with set sizes, from the index."""
+    """Candidate pairs (a, b) and edges (a, b) of families, from the index."""
     entries = slim.mapInArrow(_index(spec, classes), "combined int, sig long, salt int, node long, n int, whole int")
     grouped = entries.repartition("combined", "sig", "salt").sortWithinPartitions("combined", "sig", "salt", "node").mapInArrow(_groups(spec), "kind int, a long, na int, b long, nb int")
     met = grouped.groupBy("kind", "a", "na", "b", "nb").agg(F.count("*").alias("times"))
     found = staged(met.filter((F.col("kind") < 3) | (F.col("times") >= spec.common)), "join-found")
-    parts = found.filter("kind = 2").select(F.col("a").alias("sig"), "b", "nb")
-    head = parts.groupBy("sig").agg(F.min(F.struct("b", "nb")).alias("h"))
-    across = parts.join(head, "sig").filter("b <> h.b").select(F.col("h.b").alias("a"), F.col("h.nb").alias("na"), "b", "nb")
-    stars = found.filter("kind = 1").select("a", "na", "b", "nb").union(across).distinct()
+    parts = found.filter("kind = 2").select(F.col("a").alias("sig"), "b")
+    head = parts.groupBy("sig").agg(F.min("b").alias("h"))
+    across = parts.join(head, "sig").filter("b <> h").select(F.col("h").alias("a"), "b")
+    stars = found.filter("kind = 1").select("a", "b").union(across).distinct()
     return found.filter("kind IN (0, 3)").select("a", "b"), stars
 
 
-def _tiles(stars: DataFrame, spec: Spec) -> DataFrame:
-    """(unit, i, j, role, node) of all tiles of all families.
-
-    A family is dealt by size class, and a class into as many blocks as its
-    count asks for, by hash: no task has to see a whole family.
-    """
-    sizes = stars.select(F.col("a").alias("node"), F.col("na").alias("n")).union(stars.select("b", "nb")).groupBy("node").agg(F.min("n").alias("n"))
-    width = math.log(spec.den / spec.num)
-    size_class = F.floor(F.log("n") / width) if width else F.col("n")
-    members = staged(connected_components(stars.select("a", "b")).join(sizes, "node").withColumn("class", size_class.cast("long")), "join-family")
-    counts = members.groupBy("component", "class").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    members = members.join(counts, ["component", "class"]).withColumn("block", F.col("class") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("parts")))
-    blocks = members.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    left, right = blocks.select("component", F.col("block").alias("i"), F.col("hi").alias("hi_i")), blocks.select(F.col("component").alias("c"), F.col("block").alias("j"), F.col("lo").alias("lo_j"))
-    tiles = left.join(right, (F.col("component") == F.col("c")) & (F.col("i") <= F.col("j")) & (F.col("lo_j") * spec.num <= F.col("hi_i") * spec.den)).select("component", "i", "j")
-    side = tiles.select("component", "i", "j", F.col("i").alias("block"), F.lit(1).alias("role")).union(tiles.filter("i < j").select("component", "i", "j", F.col("j").alias("block"), F.lit(2).alias("role")))
-    return side.join(members, ["component", "block"]).select(F.col("component").alias("unit"), "i", "j", "role", "node")
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` (unit, node, ...) with ``part``, which the unit's base is sent to, and ``drawn``, whether the base is taken from it."""
+    sizes = members.groupBy("unit").agg(F.count("*").alias("m"))
+    share = lambda salt, of: F.pmod(F.xxhash64("node", "unit", F.lit(salt)), F.ceil(F.col("m") / of))
+    return members.join(sizes, "unit").withColumn("part", share(1, PART).cast("int")).withColumn("drawn", share(2, DRAWN) == 0).drop("m")
+
+
+def _centred(level: DataFrame, spec: Spec) -> DataFrame:
+    """(unit, node, n, f, tokens): what each set and its unit's base don't share, tokens of few drawn members first."""
+    drawn = level.filter("drawn")
+    counts = drawn.select("unit", F.explode("tokens").alias("t")).groupBy("unit", "t").agg(F.count("*").alias("c")).filter("c > 1")
+    marked = counts.join(drawn.groupBy("unit").agg(F.count("*").alias("m")), "unit")
+    base = marked.groupBy("unit").agg(F.collect_list(F.expr("CASE WHEN 2 * c > m THEN t END")).alias("base"), F.collect_list(F.expr("CASE WHEN 2 * c <= m THEN t END")).alias("often"))
+    none = F.array().cast("array<bigint>")
+    spread = level.select("unit", "part").distinct().join(base, "unit", "left").select("unit", "part", F.coalesce("base", none).alias("base"), F.coalesce("often", none).alias("often"))
+    differ = F.concat(F.array_except("tokens", "base"), F.array_except("base", "tokens"))
+    rows = level.join(spread, ["unit", "part"]).select("unit", "node", "n", "often", differ.alias("d"))
+    ordered = F.concat(F.sort_array(F.array_except("d", "often")), F.sort_array(F.array_intersect("d", "often")))
+    return rows.select("unit", "node", "n", ((spec.den + spec.num) * F.size("d") - (spec.den - spec.num) * F.col("n")).alias("f"), ordered.alias("tokens"))
+
+
+def family_links(level: DataFrame, spec: Spec) -> DataFrame:
+    """Edges (a, b) that join whatever links join within each unit of ``level`` (unit, part, drawn, node, n, tokens)."""
+    twice = 2 * (spec.den + spec.num)
+    edges = []
+    for _ in range(ROUNDS):
+        centred = staged(_centred(level, spec), "join-centred")
+        heads = centred.groupBy("unit").agg(F.min(F.struct("f", "node")).alias("h")).select("unit", F.col("h.f").alias("least"), F.col("h.node").alias("head"))
+        known = centred.join(heads, "unit").withColumn("far", F.col("f") + F.col("least") > 0)
+        edges.append(known.filter("NOT far AND node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+        # a far set shares tokens with whatever it is linked to: with a far one, or a near one, f of which is at least these
+        nearest = known.filter("far").groupBy("unit").agg(F.min("f").alias("nearest"))
+        shared = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("least")).otherwise(F.col("nearest"))) / twice))
+        prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - shared + 1).cast("int"))
+        entries = known.join(nearest, "unit").select("unit", "node", "n", "far", F.explode(prefix).alias("t"))
+        mark = lambda salt: F.sum(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 31)))
+        groups = entries.groupBy("unit", "t").agg(F.count("*").alias("c"), F.max("far").alias("any_far"), mark(1).alias("s"), mark(2).alias("z")).filter("c > 1 AND any_far")
+        # tokens of the same members ask the same question
+        groups = groups.groupBy("unit", "c", "s", "z").agg(F.min("t").alias("t")).select("unit", "t", "c")
+        found = staged(entries.join(groups, ["unit", "t"]), "join-entries")
+        few = found.filter(F.col("c") <= PAIR_GROUP).groupBy("unit", "t").agg(F.collect_list(F.struct("node", "n", "far")).alias("g"))
+        fits = lambda x, y: (x["node"] < y["node"]) & (x["far"] | y["far"]) & (spec.den * F.least(x["n"], y["n"]) >= spec.num * F.greatest(x["n"], y["n"]))
+        pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+        pairs = few.select("unit", F.inline(pairs)).distinct()
+        side = lambda name: centred.select("unit", F.col("node").alias(name), F.col("f").alias(f"f_{name}"), F.col("tokens").alias(f"t_{name}"))
+        both = pairs.join(side("a"), ["unit", "a"]).join(side("b"), ["unit", "b"])
+        edges.append(both.filter(F.col("f_a") + F.col("f_b") <= twice * F.size(F.array_intersect("t_a", "t_b"))).select("a", "b"))
+        many = found.filter(F.col("c") > PAIR_GROUP).select(F.xxhash64("unit", "t").alias("unit"), F.col("unit").alias("parent"), "node")
+        if many.isEmpty():
+            return reduce(DataFrame.union, edges)
+        sets = centred.select(F.col("unit").alias("parent"), "node", "n", "tokens")
+        level = staged(_dealt(many).join(sets, ["parent", "node"]).select("unit", "part", "drawn", "node", "n", "tokens"), "join-sets")
+    raise RuntimeError(f"families did not come apart in {ROUNDS} rounds")
 
 
 def link(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     slim = small_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
-    profile = staged(slim.mapInArrow(_profile(spec), "kind int, id long, n long, node long"), "join-profile")
-    rows = profile.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+    profile = staged(slim.mapInArrow(_profile(spec), "kind int, id long, n long, node long, check long"), "join-profile")
+    rows = profile.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node", "check")
+    halves = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y"))
+    # as good as always none; by chance a few among more than 10^10 sets
+    clashes = frozenset(r["node"] for r in halves.filter("x <> y").select("node").collect())
+    if clashes:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("check")).otherwise(F.col("node")))
+    rows = rows.drop("check")
     names = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("name"))
-    classes = spark.sparkContext.broadcast(frequent_class(profile))
-    pairs, stars = candidates(slim.filter("doc_id IS NOT NULL"), classes, spec)
-    lone = F.lit(-1).cast("long")
-    units = pairs.select(F.col("a").alias("unit"), lone.alias("i"), lone.alias("j"), F.lit(1).alias("role"), F.col("b").alias("node")).union(pairs.select(F.col("a").alias("unit"), lone, lone, F.lit(0), F.col("a")).distinct())
-    units = units.union(_tiles(stars, spec))
-    wanted = units.join(names, "node").select("unit", "i", "j", "role", "node", F.col("name").alias("doc_id"))
-    with_text = wanted.join(slim.filter("doc_id IS NOT NULL"), "doc_id").select("unit", "i", "j", "role", "node", "text")
-    edges = with_text.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "role", "node").mapInArrow(_verify(spec), "a long, b long")
+    classes = spark.sparkContext.broadcast((*frequent_class(profile), clashes))
+    known = slim.filter("doc_id IS NOT NULL")
+    pairs, stars = candidates(known, classes, spec)
+    units = pairs.select(F.col("a").alias("unit"), F.lit(1).alias("role"), F.col("b").alias("node")).union(pairs.select(F.col("a").alias("unit"), F.lit(0), F.col("a")).distinct())
+    with_text = lambda wanted: wanted.join(names, "node").withColumnRenamed("name", "doc_id").join(known, "doc_id")
+    compared = with_text(units).select("unit", "role", "node", "text").repartition("unit").sortWithinPartitions("unit", "role", "node").mapInArrow(_verify(spec, clashes), "a long, b long")
+    members = staged(_dealt(connected_components(stars).withColumnRenamed("component", "unit")), "join-family")
+    sets = with_text(members).select("unit", "part", "drawn", "node", "text").mapInArrow(_sets(spec, clashes), "unit long, part int, drawn boolean, node long, n long, tokens array<long>")
+    edges = compared.union(family_links(staged(sets, "join-sets"), spec))
     groups = connected_components(edges)
     named = names.join(groups, "node", "left").select("node", "name", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("name").alias("least"))

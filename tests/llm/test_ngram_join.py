@@ -63,15 +63,24 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("frequent,group,block", [(16, 64, 192), (2, 3, 7), (10**9, 5, 16), (3, 64, 5)])
-def test_like_brute_force(spark, make_docs, monkeypatch, frequent, group, block):
+@pytest.mark.parametrize("frequent,group,drawn,part", [(16, 64, 64, 2048), (2, 3, 7, 11), (10**9, 5, 16, 3), (3, 12, 2, 64)])
+def test_like_brute_force(spark, make_docs, monkeypatch, frequent, group, drawn, part):
     monkeypatch.setattr(j, "FREQUENT", frequent)
     monkeypatch.setattr(j, "PAIR_GROUP", group)
-    monkeypatch.setattr(j, "BLOCK", block)
+    monkeypatch.setattr(j, "DRAWN", drawn)
+    monkeypatch.setattr(j, "PART", part)
     rows = corpus(frequent % 97)
     assert run(make_docs, rows) == brute(rows)
 
 
+def test_halves_of_hashes_may_clash(spark, make_docs, monkeypatch):
+    """With first halves of five bits nearly all sets clash; the outcome is the same."""
+    whole = j._digest
+    monkeypatch.setattr(j, "_digest", lambda tokens: (whole(tokens)[0] & 31, whole(tokens)[1]))
+    rows = corpus(8)[:150]
+    assert run(make_docs, rows) == brute(rows)
+
+
 def test_other_threshold_and_shingle(spark, make_docs):
     rows = corpus(5)
     assert run(make_docs, rows, j.Spec(5, 80, 100)) == brute(rows, 5, 80, 100)
