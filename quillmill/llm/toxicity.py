@@ -97,11 +97,27 @@ class CharModel:
             out = self.known[gram] = -math.log((self.tri.get(gram, 0) + 8 * base) / (n + 8))
         return out
 
+    def _doubles(self, token: str) -> str | None:
+        """The same for letters that hold but doubled ones, each far enough from the next to be decided by itself; else None."""
+        at = [k for k in range(1, len(token)) if token[k] == token[k - 1]]
+        if any(b - a < 4 for a, b in zip(at, at[1:])):
+            return None
+        for k in reversed(at):
+            # the trigrams that hold the letter, or those that close the gap
+            around = f"^^{token}$"[k : k + 5]
+            without = around[:2] + around[3:]
+            kept, left_out = (sum(self.cost(t[j : j + 2], t[j + 2]) for j in range(len(t) - 2)) for t in (around, without))
+            if REPEATED + left_out < kept:
+                token = token[:k] + token[k + 1 :]
+        return token
+
     def restore(self, token: str) -> str:
         """The cheapest reading of a token (lower case): exact Viterbi search over the last two letters.
 
         A blank is a gap in a spaced run; the reading then is of one or more words.
         """
+        if token.isalpha() and (out := self._doubles(token)) is not None:
+            return out
         # a state: what it cost, and its letters as (what came before, letter); of equal costs the first found stays
         states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
         previous = ""
@@ -221,6 +237,8 @@ def readings(token: str, model: CharModel) -> set[str]:
     gives the words of its cheapest reading, and the cheapest reading without
     any blank: three letters of context do not always tell where a word ends.
     """
+    if token.isalpha() and not TWICE.search(token):
+        return {token}
     if " " in token:
         whole = token.replace(" ", "")
         return {*_read(token, model).split(" "), _read(whole, model), whole if whole.isalpha() else ""} - {""}
@@ -248,15 +266,55 @@ class Classifier:
     weights: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
 
+    known: dict[str, float] = field(default_factory=dict)
+
     def word_weight(self, word: str) -> float:
-        get = self.weights.get
-        return max((get(f, 0.0) for f in features(word)), default=0.0) if word else 0.0
+        """The heaviest feature of a restored word."""
+        if (out := self.known.get(word)) is None:
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            get = self.weights.get
+            out = self.known[word] = max((get(f, 0.0) for f in features(word)), default=0.0) if word else 0.0
+        return out
+
+    def weigh_all(self, words: list[str]) -> None:
+        """Remember the weights of words; those in which no weighted feature can be are found all at once, by hashes of n-grams."""
+        words = [w for w in words if w not in self.known]
+        if len(self.known) + len(words) > MEMORY:
+            self.known.clear()
+        grams = [f for f in self.weights if len(f) == GRAM and f[0] not in "=<"]
+        heads = {f[1:6] for f in self.weights if f[0] == "<"}
+        whole = {f[1:] for f in self.weights if f[0] == "="}
+        text = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        wanted = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, GRAM)
+        met = np.isin(_gram_hash([text[k : len(text) - GRAM + 1 + k] for k in range(GRAM)]), _gram_hash(list(wanted.T))) if len(text) >= GRAM else np.zeros(0, dtype=bool)
+        ends = np.cumsum([len(w) + 2 for w in words], dtype=np.int64)
+        may = np.zeros(len(words), dtype=bool)
+        may[np.searchsorted(ends, np.flatnonzero(met), side="right")] = True
+        for w, m in zip(words, may.tolist()):
+            if not m and w[:5] not in heads and w not in whole:
+                self.known[w] = 0.0
 
     def score(self, total: float, strongest: float, distinct: int) -> float:
         a, b, c, d = self.coefficients
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total) + c * total / math.sqrt(distinct + 10) + d * strongest))))
 
 
+def _gram_hash(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c in columns:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def _distinct(text: np.ndarray, code: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, word) of a batch, sorted."""
+    pairs = np.sort(text * max(1, words) + code)
+    fresh = np.ones(len(pairs), dtype=bool)
+    fresh[1:] = pairs[1:] != pairs[:-1]
+    return np.divmod(pairs[fresh], max(1, words))
+
+
 def weight_of(a: Column, b: Column, toxic: float, other: float, z: float = 3.0) -> Column:
     """Lower confidence bound of the log odds of a feature in ``a`` of ``toxic`` documents and ``b`` of ``other`` ones; fractions allowed."""
     spread = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (toxic + 1) - 1 / (other + 1))
@@ -306,8 +364,8 @@ def char_model(docs: DataFrame) -> CharModel:
 
 def _parts(text: np.ndarray, code: np.ndarray, texts: int, words: int) -> list[np.ndarray]:
     """The distinct words of each text, by number."""
-    pairs = np.unique(text * max(1, words) + code)
-    return np.split(pairs % max(1, words), np.searchsorted(pairs, np.arange(1, texts) * max(1, words)))
+    owner, word = _distinct(text, code, words)
+    return np.split(word, np.searchsorted(owner, np.arange(1, texts)))
 
 
 def _families(batches):
@@ -345,18 +403,17 @@ def _totals(column, classifier: Classifier, model: CharModel, memory: dict) -> l
     """Sum and maximum of the weights of each text's distinct restored words, and the number of its distinct words."""
     text, code, words = words_of(column)
     if len(memory) > MEMORY:
-        memory.clear()
-    weighed = np.zeros(len(words), dtype=bool)
-    for k, t in enumerate(words):
-        if (hit := memory.get(t)) is None:
-            read = [(classifier.word_weight(w), w) for w in readings(t, model)]
-            # the words of a spaced run stand beside each other, the readings of any other token instead of each other;
-            # of words in each other, the one that weighs more counts
-            read = [x for x in read if not any(x[1] != y[1] and x[1] in y[1] and y[0] >= x[0] for y in read)] if " " in t else [max(read, default=(0.0, ""))]
-            hit = memory[t] = tuple(x for x in read if x[0] > 0)
-        weighed[k] = bool(hit)
-    pairs = np.unique(text * max(1, len(words)) + code)
-    owner, word = pairs // max(1, len(words)), pairs % max(1, len(words))
+        memory.clear()  # the batch's words are looked up again below
+    fresh = [(t, readings(t, model)) for t in words if t not in memory]
+    classifier.weigh_all(list(set().union(*(r for _, r in fresh))) if fresh else [])
+    for t, found in fresh:
+        read = [(weight, w) for w in found if (weight := classifier.word_weight(w)) > 0]
+        if len(read) > 1:
+            # the words of a spaced run stand beside each other (of words in each other the heavier counts), the readings of any other token instead of each other
+            read = [x for x in read if not any(x[1] != y[1] and x[1] in y[1] and y[0] >= x[0] for y in read)] if " " in t else [max(read)]
+        memory[t] = tuple(read)
+    weighed = np.array([bool(memory[t]) for t in words], dtype=bool)
+    owner, word = _distinct(text, code, len(words))
     distinct = np.bincount(owner, minlength=len(column))
     found: dict[int, dict[str, float]] = {}
     for o, c in zip(owner[weighed[word]].tolist(), word[weighed[word]].tolist()):

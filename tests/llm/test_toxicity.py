@@ -78,6 +78,16 @@ def test_a_spaced_run_is_a_lattice_of_words():
     assert x.readings("1337", m) and all(w.isalpha() for w in x.readings("1337", m))
 
 
+def test_doubled_letters_by_themselves_or_by_search():
+    m = model(["idiot", "ideal", "loser", "summer", "assess", "trash"] * 9)
+    rng = random.Random(2)
+    search = x.CharModel(m.tri)
+    search._doubles = lambda token: None
+    for _ in range(800):
+        token = "".join(c * rng.choice((1, 1, 1, 2, 2, 3)) for c in (rng.choice("aeidlmorstu") for _ in range(rng.randint(1, 9))))
+        assert m.restore(token) == search.restore(token), token
+
+
 def test_spaced_runs_like_brute_force():
     m = model(["idiot", "you", "a", "to", "do", "it"] * 9)
     rng = random.Random(6)
