@@ -27,7 +27,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge_pages(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    """Rules, canonical forms, links in the html, and the redirects of `moved_pages`, as the tables have none."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filters.judge_pages(pages, redirects=url_filters.moved_pages(pages)).select("page_id", "host", "path", "rule", "verdict", "by_alias")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,21 +108,32 @@ cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id""",
-    # The pages of the tables name no canonical address and don't refresh, so no verdict is passed on in them.
+    # The pages of the tables name no canonical address and don't refresh, so edges are the redirects of `moved_pages` alone.
     "op2_url_filters": r"""
-WITH split AS (
-  SELECT page_id,
+WITH RECURSIVE split AS (
+  SELECT page_id, url,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    array_to_string(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')), '&') AS query
   FROM pages),
 rules(verdict, rhost, rpath) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 hits AS (
   SELECT s.*, r.verdict, r.rhost || r.rpath AS rule
-  FROM split s LEFT JOIN rules r ON (s.host = r.rhost OR ends_with(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath))
-SELECT page_id, any_value(host) AS host, any_value(path) AS path,
-  max_by(rule, length(rule)) AS rule, coalesce(max_by(verdict, length(rule)), 'allow') AS verdict
-FROM hits GROUP BY page_id""",
+  FROM split s LEFT JOIN rules r ON (s.host = r.rhost OR ends_with(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath)),
+judged AS MATERIALIZED (
+  SELECT page_id, any_value(host) AS host, any_value(path) AS path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict,
+    any_value(CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/+|\.html?)$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END END) AS node
+  FROM hits GROUP BY page_id),
+moved AS (SELECT x.node AS a, y.node AS b FROM judged x JOIN judged y ON x.page_id % 7 IN (0, 1) AND y.page_id = x.page_id + 1),
+edges AS MATERIALIZED (SELECT a, b FROM moved UNION SELECT b, a FROM moved),
+bad(node) AS (
+  SELECT node FROM judged WHERE verdict = 'block'
+  UNION
+  SELECT e.b FROM bad JOIN edges e ON bad.node = e.a)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN node IN (SELECT node FROM bad WHERE node IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict,
+  rule IS NULL AND coalesce(node IN (SELECT node FROM bad WHERE node IS NOT NULL), false) AS by_alias
+FROM judged""",
     "op8_warc": r"""
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
