@@ -35,9 +35,10 @@ every document. All of it is exact up to 64-bit hashes of shingles and 128-bit o
    left has a member beyond that bound and shares tokens of D, which are in few
    members each: a prefix index over D finds the candidates. A group of more
    than PAIR_GROUP members with such a token is a smaller family with a base of
-   its own, and is treated in the same way, with D for its sets. The base only
-   steers the work: the outcome is exact for any. A token that all members of a
-   group have is in its base, so groups shrink and the rounds end.
+   its own. It has to find the pairs whose first common token that is, so what
+   stands behind it in D are its sets, and the token itself is paid for in f:
+   no pair is looked for twice, and sets get shorter until the rounds end. The
+   base only steers the work: the outcome is exact for any.
 5. Candidates are verified on whole sets, and the links' components named.
 
 Rows with a null doc_id have no component and link nothing; null or wordless
@@ -67,7 +68,7 @@ COUNT_TOKENS = 4_000_000
 COMMON = 3
 #: Members that a family's base is taken from, about; members of a family in a part, which the base is sent to.
 DRAWN, PART = 64, 2048
-#: Rounds that no input needs: a family at least halves in each, but for chance.
+#: Rounds that no input needs: in each, sets lose their first token and what stands before it, and groups are of few members.
 ROUNDS = 64
 #: Parts of a large group of combinations.
 SALT = 16
@@ -393,7 +394,7 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def _centred(level: DataFrame, spec: Spec) -> DataFrame:
-    """(unit, node, n, f, tokens): what each set and its unit's base don't share, tokens of few drawn members first."""
+    """``tokens`` become what each set and its unit's base don't share, those of few drawn members (``n_few``) first; ``f`` goes along."""
     drawn = level.filter("drawn")
     counts = drawn.select("unit", F.explode("tokens").alias("t")).groupBy("unit", "t").agg(F.count("*").alias("c")).filter("c > 1")
     marked = counts.join(drawn.groupBy("unit").agg(F.count("*").alias("m")), "unit")
@@ -401,13 +402,20 @@ def _centred(level: DataFrame, spec: Spec) -> DataFrame:
     none = F.array().cast("array<bigint>")
     spread = level.select("unit", "part").distinct().join(base, "unit", "left").select("unit", "part", F.coalesce("base", none).alias("base"), F.coalesce("often", none).alias("often"))
     differ = F.concat(F.array_except("tokens", "base"), F.array_except("base", "tokens"))
-    rows = level.join(spread, ["unit", "part"]).select("unit", "node", "n", "often", differ.alias("d"))
-    ordered = F.concat(F.sort_array(F.array_except("d", "often")), F.sort_array(F.array_intersect("d", "often")))
-    return rows.select("unit", "node", "n", ((spec.den + spec.num) * F.size("d") - (spec.den - spec.num) * F.col("n")).alias("f"), ordered.alias("tokens"))
+    rows = level.join(spread, ["unit", "part"]).select("unit", "node", "n", "f", "sought", "tokens", "often", differ.alias("d"))
+    rows = rows.select("*", F.sort_array(F.array_except("d", "often")).alias("few"), F.sort_array(F.array_intersect("d", "often")).alias("many"))
+    f = F.col("f") - (spec.den + spec.num) * (F.size("tokens") - F.size("d"))
+    return rows.select("unit", "node", "n", f.alias("f"), "sought", F.size("few").alias("n_few"), F.concat("few", "many").alias("tokens"))
 
 
 def family_links(level: DataFrame, spec: Spec) -> DataFrame:
-    """Edges (a, b) that join whatever links join within each unit of ``level`` (unit, part, drawn, node, n, tokens)."""
+    """Edges (a, b) that join whatever links join within each unit of ``level`` (unit, part, drawn, node, n, tokens).
+
+    In every round x and y are linked if f(x) + f(y) is at most 2 (den + num)
+    times the tokens that they share; for whole sets f is 2 num |x|. A pair of
+    which neither is ``sought`` has been joined before.
+    """
+    level = level.withColumn("f", 2 * spec.num * F.col("n")).withColumn("sought", F.lit(True))
     twice = 2 * (spec.den + spec.num)
     edges = []
     for _ in range(ROUNDS):
@@ -419,24 +427,29 @@ def family_links(level: DataFrame, spec: Spec) -> DataFrame:
         nearest = known.filter("far").groupBy("unit").agg(F.min("f").alias("nearest"))
         shared = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("least")).otherwise(F.col("nearest"))) / twice))
         prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - shared + 1).cast("int"))
-        entries = known.join(nearest, "unit").select("unit", "node", "n", "far", F.explode(prefix).alias("t"))
+        entries = known.join(nearest, "unit").select("unit", "node", "n", "f", "far", "sought", "n_few", (F.size("tokens") - 1).alias("last"), F.posexplode(prefix).alias("pos", "t"))
+        entries = entries.select("unit", "node", "n", "f", "far", "sought", "pos", (F.col("last") - F.col("pos")).alias("rest"), (F.col("pos") >= F.col("n_few")).alias("late"), "t")
         mark = lambda salt: F.sum(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 31)))
-        groups = entries.groupBy("unit", "t").agg(F.count("*").alias("c"), F.max("far").alias("any_far"), mark(1).alias("s"), mark(2).alias("z")).filter("c > 1 AND any_far")
-        # tokens of the same members ask the same question
-        groups = groups.groupBy("unit", "c", "s", "z").agg(F.min("t").alias("t")).select("unit", "t", "c")
+        groups = entries.groupBy("unit", "late", "t").agg(F.count("*").alias("c"), F.max("far").alias("any_far"), F.max("sought").alias("any_sought"), mark(1).alias("s"), mark(2).alias("z")).filter("c > 1 AND any_far AND any_sought")
+        # of tokens that the same members have, the first is the first common one
+        groups = groups.groupBy("unit", "c", "s", "z").agg(F.min(F.struct("late", "t")).alias("x")).select("unit", "x.t", "c")
         found = staged(entries.join(groups, ["unit", "t"]), "join-entries")
-        few = found.filter(F.col("c") <= PAIR_GROUP).groupBy("unit", "t").agg(F.collect_list(F.struct("node", "n", "far")).alias("g"))
-        fits = lambda x, y: (x["node"] < y["node"]) & (x["far"] | y["far"]) & (spec.den * F.least(x["n"], y["n"]) >= spec.num * F.greatest(x["n"], y["n"]))
+        few = found.filter(F.col("c") <= PAIR_GROUP).groupBy("unit", "t").agg(F.collect_list(F.struct("node", "n", "f", "far", "sought", "rest")).alias("g"))
+        # a linked pair passes at the first token that both have: no more can follow than are left of the shorter rest
+        room = lambda x, y: twice * (1 + F.least(x["rest"], y["rest"])) >= x["f"] + y["f"]
+        fits = lambda x, y: (x["node"] < y["node"]) & (x["far"] | y["far"]) & (x["sought"] | y["sought"]) & room(x, y) & (spec.den * F.least(x["n"], y["n"]) >= spec.num * F.greatest(x["n"], y["n"]))
         pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
         pairs = few.select("unit", F.inline(pairs)).distinct()
         side = lambda name: centred.select("unit", F.col("node").alias(name), F.col("f").alias(f"f_{name}"), F.col("tokens").alias(f"t_{name}"))
         both = pairs.join(side("a"), ["unit", "a"]).join(side("b"), ["unit", "b"])
         edges.append(both.filter(F.col("f_a") + F.col("f_b") <= twice * F.size(F.array_intersect("t_a", "t_b"))).select("a", "b"))
-        many = found.filter(F.col("c") > PAIR_GROUP).select(F.xxhash64("unit", "t").alias("unit"), F.col("unit").alias("parent"), "node")
+        many = found.filter(F.col("c") > PAIR_GROUP).select(F.xxhash64("unit", "t").alias("unit"), F.col("unit").alias("parent"), "node", "pos", F.col("far").alias("sought"))
         if many.isEmpty():
             return reduce(DataFrame.union, edges)
-        sets = centred.select(F.col("unit").alias("parent"), "node", "n", "tokens")
-        level = staged(_dealt(many).join(sets, ["parent", "node"]).select("unit", "part", "drawn", "node", "n", "tokens"), "join-sets")
+        sets = centred.select(F.col("unit").alias("parent"), "node", "n", "f", "tokens")
+        behind = F.slice("tokens", F.col("pos") + 2, F.size("tokens"))
+        level = _dealt(many).join(sets, ["parent", "node"]).select("unit", "part", "drawn", "node", "n", (F.col("f") - twice // 2).alias("f"), "sought", behind.alias("tokens"))
+        level = staged(level, "join-sets")
     raise RuntimeError(f"families did not come apart in {ROUNDS} rounds")
 
 
