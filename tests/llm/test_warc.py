@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import io
+import random
+import zlib
 
 import pytest
 
@@ -46,7 +48,7 @@ def test_empty(spark):
 def test_files_are_warc(spark, tmp_path):
     path = f"{tmp_path}/archive"
     run(spark, [(1, "http://a.org/x", "<p>" + "é" * 200), (2, "http://b.org", "<p>" + "é" * 200)], f"file://{path}")
-    records = [r for f in sorted((tmp_path / "archive").glob("*.gz")) for r in w.parse_warc(io.BytesIO(gzip.decompress(f.read_bytes())))]
+    records = [r for f in sorted((tmp_path / "archive").glob("*.txt")) for r in w.parse_warc(io.BytesIO(gzip.decompress(f.read_bytes())))]
     kinds = [r.get("WARC-Type") for r in records]
     assert kinds.count("response") == 1 and kinds.count("revisit") == 1 and "warcinfo" in kinds
     response = next(r for r in records if r.get("WARC-Type") == "response")
@@ -80,3 +82,78 @@ def test_broken_archives():
 def test_ids_name_pages():
     for page in (0, 1, -1, 2**63 - 1, -(2**63), 123456789, None):
         assert w.page_of(w.record_id("ab" * 32, page)) == page
+
+
+def members(data):
+    """Each gzip member of a file, unzipped."""
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        assert z.eof
+        data = z.unused_data
+    return out
+
+
+def test_a_member_per_record_and_files_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(k, f"http://a/{k}", "".join(rng.choice("abcdefgh ") for _ in range(4000))) for k in range(60)] + [(99, "http://large", "".join(map(chr, rng.choices(range(0x20, 0x2000), k=40000))))]
+    path = f"file://{tmp_path}/archive"
+    w.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path, archive_bytes=20_000)
+    files = [f.read_bytes() for f in sorted((tmp_path / "archive").glob("*.txt"))]
+    parts = [members(f) for f in files]
+    assert all(len(f) <= 20_000 or len(p) == 2 for f, p in zip(files, parts)) and len(files) > 3
+    ids = []
+    for p in parts:
+        for m in p:
+            (record,) = w.parse_warc(io.BytesIO(m))
+            ids.append(record.get("WARC-Record-ID"))
+        assert next(w.parse_warc(io.BytesIO(p[0]))).get("WARC-Type") == "warcinfo"
+    assert len(ids) == len(set(ids)) == 61 + len(files)
+    good, bad = w.read_archives(spark, path)
+    assert good.count() == 61 and bad.count() == 0
+
+
+def test_a_member_always_ends_in_zero():
+    for n in (10, 1 << 20, (16 << 20) + 5):
+        data = w.member(w.WarcRecord([("WARC-Type", "resource")], b"a" * n))
+        assert data.endswith(b"\0") and len(b"".join(members(data))) > n
+        (record,) = w.parse_warc(w.open_archive(data))
+        assert len(record.block) == n
+
+
+def test_arc_files_are_a_source_with_rejects(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\nContent-Type: text/html\n\n<p>hello"
+    folder = tmp_path / "arcs"
+    folder.mkdir()
+    one = w.arc_header(1) + w.arc_record(1, "http://a.org/", "text/html", http) + w.arc_record(1, "dns:a.org", "text/dns", b"1.2.3.4")
+    two = w.arc_header(2) + w.arc_record(2, "http://b.org/", "text/html", http)
+    (folder / "one.arc").write_bytes(one)
+    (folder / "two.arc.gz").write_bytes(gzip.compress(two))
+    (folder / "cut.arc").write_bytes(one[:-9])
+    (folder / "odd.arc").write_bytes(one + b"no header line\n")
+    (folder / "neg.arc").write_bytes(w.arc_header(1) + b"http://a 0.0.0.0 2024 text/html -5\n")
+    (folder / "large.arc").write_bytes(w.arc_header(1) + w.arc_record(1, "http://l/", "text/html", b"x" * 5000))
+    (folder / "empty.arc").write_bytes(b"")
+    rejects = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in w.convert_archives(spark, f"file://{folder}", f"file://{tmp_path}/warcs", max_bytes=4000).collect()}
+    assert set(rejects) == {"cut.arc", "odd.arc", "neg.arc", "large.arc"} and "too large" in rejects["large.arc"]
+    records = [r for f in (tmp_path / "warcs").glob("*.txt") for r in w.parse_warc(w.open_archive(f.read_bytes()))]
+    kinds = sorted((r.get("WARC-Type"), r.get("WARC-Target-URI")) for r in records if r.get("WARC-Type") != "warcinfo")
+    assert kinds == [("resource", "dns:a.org")] * 2 + [("response", "http://a.org/")] * 3 + [("response", "http://b.org/")]
+    ids = [r.get("WARC-Record-ID") for r in records]
+    assert len(ids) == len(set(ids))
+
+
+def test_broken_archives_are_rejects(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    w.write_archives(spark.createDataFrame([(k, "http://a/", f"page {k} " * 30) for k in range(5)], PAGES).coalesce(1), path)
+    (f,) = (tmp_path / "archive").glob("*.txt")
+    data = b"".join(members(f.read_bytes()))
+    (tmp_path / "archive" / "cut.txt").write_bytes(data[:-20])
+    (tmp_path / "archive" / "changed.txt").write_bytes(data.replace(b"page 2 ", b"page 9 "))
+    (tmp_path / "archive" / "other.txt").write_bytes(b"not an archive")
+    for crc in (tmp_path / "archive").glob(".*.crc"):
+        crc.unlink()
+    good, bad = w.read_archives(spark, path)
+    assert good.count() == 5 + 4 + 4
+    assert {r["path"].rsplit("/", 1)[-1]: r["number"] for r in bad.collect()} == {"cut.txt": 4, "changed.txt": 3, "other.txt": 0}
