@@ -3,9 +3,10 @@
 Every source has a weight and a size (its words). The mix has
 ``share`` times all words. A source's target is its weight's share, but never
 above ``max_epochs`` times its size; what is cut off is shared out again by
-weight until no target is above its cap. That fixed point is a water level L
-with target = min(cap, L * weight): sources are sorted by cap / weight, and L
-follows from running sums, without iteration.
+weight until no target is above its cap: the water level L with
+target = min(cap, L * weight) rises by rounds, each one aggregation over the
+table of sources, of which two numbers reach the driver. No task sees all sources,
+so there may be one for every domain.
 
 A target is then met by whole repetitions of a source plus a seeded part of
 it: the documents of a source stand in the order of a seeded hash and are
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, staged
+from .common import local_rows, n_words, staged
 
 #: The weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -31,21 +32,38 @@ PIECE_DIGITS = 3
 def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Adds ``target`` double to one row per source (``weight``, ``source_size``).
 
-    All windows here run over the table of sources, not over documents.
+    A round sets the level from the sources that are not clamped at their cap,
+    which clamps some more; it ends when it clamps no other. Sources with equal
+    weights are clamped in the order of their sizes, so rounds are few.
     """
-    every = Window.partitionBy()
-    ordered = Window.orderBy("__qm_ratio", "__qm_pos")
     cap = (F.col("source_size") * max_epochs).cast("double")
-    df = (
-        sources.withColumn("__qm_cap", cap)
-        .withColumn("__qm_ratio", cap / F.col("weight"))
-        .withColumn("__qm_total", F.lit(float(share)) * F.sum("source_size").over(every).cast("double"))
-        .withColumn("__qm_before", F.sum("__qm_cap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__qm_cap"))
-        .withColumn("__qm_rest", F.sum("weight").over(every) - F.sum("weight").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) + F.col("weight"))
-        .withColumn("__qm_level", (F.col("__qm_total") - F.col("__qm_before")) / F.col("__qm_rest"))
-    )
-    level = F.min(F.when(F.col("__qm_level") <= F.col("__qm_ratio"), F.struct("__qm_ratio", "__qm_pos", "__qm_level"))).over(every)["__qm_level"]
-    return df.withColumn("target", F.least(F.col("__qm_cap"), F.coalesce(level * F.col("weight"), F.col("__qm_cap")))).drop("__qm_cap", "__qm_ratio", "__qm_total", "__qm_before", "__qm_rest", "__qm_level")
+    ratio = cap / F.col("weight")
+    total = float(sources.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, clamped = None, -1
+    while True:
+        free = F.lit(True) if level is None else ratio >= level
+        got = sources.agg(F.count(F.when(~free, 1)).alias("n"), F.sum(F.when(~free, cap)).alias("before"), F.sum(F.when(free, F.col("weight"))).alias("rest")).first()
+        if got["n"] == clamped:
+            break
+        clamped = got["n"]
+        if not got["rest"]:
+            level = None
+            break
+        level = (total - (got["before"] or 0.0)) / got["rest"]
+    return sources.withColumn("target", cap if level is None else F.least(cap, F.lit(level) * F.col("weight")))
+
+
+def numbered(sources: DataFrame, key: str) -> DataFrame:
+    """Adds ``__qm_pos``, the place by ``key`` (unique) from 0 on: sorted by ranges, numbered within each, and shifted by the ranges' counts."""
+    placed = sources.orderBy(key).select("*", F.spark_partition_id().alias("__qm_range"), F.monotonically_increasing_id().alias("__qm_at"))
+    placed = staged(placed, "mix-sources")
+    counts = {r["__qm_range"]: (r["n"], r["low"]) for r in placed.groupBy("__qm_range").agg(F.count("*").alias("n"), F.min("__qm_at").alias("low")).collect()}
+    rows, before = [], 0
+    for part in sorted(counts):
+        rows.append({"__qm_range": part, "__qm_shift": before - counts[part][1]})
+        before += counts[part][0]
+    shifts = local_rows(sources.sparkSession, rows, "__qm_range int, __qm_shift long")
+    return placed.join(F.broadcast(shifts), "__qm_range").withColumn("__qm_pos", F.col("__qm_at") + F.col("__qm_shift")).drop("__qm_range", "__qm_at", "__qm_shift")
 
 
 def source_key(source: Column) -> Column:
@@ -65,9 +83,8 @@ def plan_mix(sized: DataFrame, seed: int = 17, share: float = SHARE, max_epochs:
     rows = sized.withColumn("__qm_src", source_key(F.col("source"))).withColumn("__qm_order", order).withColumn("__qm_piece", F.substring("__qm_order", 1, PIECE_DIGITS))
     pieces = rows.groupBy("__qm_src", "__qm_piece").agg(F.sum("size").alias("__qm_sum"))
     by_source = pieces.groupBy("__qm_src").agg(F.sum("__qm_sum").alias("source_size"))
-    numbered = by_source.withColumn("__qm_pos", F.row_number().over(Window.orderBy("__qm_src")) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("__qm_pos") % len(weights) + 1).cast("int"))
-    targets = water_fill(numbered.withColumn("weight", weight), share, max_epochs)
+    targets = water_fill(numbered(by_source, "__qm_src").withColumn("weight", weight), share, max_epochs)
     starts = pieces.withColumn("__qm_from", F.sum("__qm_sum").over(Window.partitionBy("__qm_src").orderBy("__qm_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__qm_sum"))
     info = starts.join(targets, "__qm_src").select("__qm_src", "__qm_piece", "__qm_from", "source_size", "target")
     w = Window.partitionBy("__qm_src", "__qm_piece").orderBy("__qm_order", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,7 +1,8 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 A ring of ``2**ring_bits`` cells holds ``virtual_nodes`` points per shard. A
-key falls into a cell by its hash and belongs to the next point clockwise. No
+row falls into a cell by the hash of its key (and ties, so that rows that repeat
+a key, or have none, are spread) and belongs to the next point clockwise. No
 shard takes more than its capacity: keys that reach a full shard go on
 clockwise to the next point of a shard with room. With ``epsilon`` 0 the
 capacities add up to the number of rows, so counts differ by one at most.
@@ -11,7 +12,8 @@ numbers, whatever the data's size). There the overflow is played through on
 counts; the outcome is a list of (cell, range of ranks, shard, first slot).
 Rows are ranked within their cell by a window and joined with that list, which
 is broadcast: it has at most ``2**ring_bits`` + shards * virtual_nodes entries.
-Text never moves; what is shuffled is id, size and checksum.
+`shard_documents` shuffles id, size and checksum, no text; `assign` moves each
+row of its table once, as it stands.
 """
 
 from __future__ import annotations
@@ -84,25 +86,26 @@ def place(counts: dict[int, int], points: list[tuple[int, int]], capacity: list[
     return out
 
 
-def cell_of(key: Column, ring_bits: int = RING_BITS) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - ring_bits).cast("int")
+def cell_of(key: Column, ring_bits: int = RING_BITS, tie: list[Column] | None = None) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key, *(tie or [])), 64 - ring_bits).cast("int")
 
 
 def assign(df: DataFrame, key: str, shards: int, tie: list[Column] | None = None, epsilon: float = 0.0, virtual_nodes: int = VIRTUAL_NODES, ring_bits: int = RING_BITS) -> DataFrame:
     """``df`` with ``shard`` int and ``slot`` long (0, 1, ... within the shard).
 
-    Null keys share one cell; rows with equal keys are ordered by ``tie`` and
-    may be divided between shards where a capacity ends. Rows that are equal in
-    key and ``tie`` are interchangeable. An empty table gives an empty result.
+    Rows of one key, or of none, are spread by ``tie`` and may be in several
+    shards, as capacities ask for anyway. Rows that are equal in key and ``tie``
+    share a cell, are interchangeable, and are divided where a capacity ends.
+    An empty table gives an empty result.
     Columns of ``df`` named shard or slot are replaced.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    counts = {r[0]: r[1] for r in df.select(cell_of(df[key], ring_bits).alias(CELL)).groupBy(CELL).count().collect()}
+    counts = {r[0]: r[1] for r in df.select(cell_of(df[key], ring_bits, tie).alias(CELL)).groupBy(CELL).count().collect()}
     plan = place(counts, ring(shards, virtual_nodes, ring_bits), capacities(sum(counts.values()), shards, epsilon))
     ranges = F.broadcast(local_rows(spark, plan, "cell int, lo long, hi long, shard int, base long").select(*(F.col(c).alias(f"__qm_{c}_") for c in ("cell", "lo", "hi", "shard", "base"))))
     w = Window.partitionBy(CELL).orderBy(F.xxhash64(df[key]), df[key], *(tie or []))
-    ranked = df.withColumn(CELL, cell_of(df[key], ring_bits)).withColumn(RANK, F.row_number().over(w).cast("long") - 1)
+    ranked = df.withColumn(CELL, cell_of(df[key], ring_bits, tie)).withColumn(RANK, F.row_number().over(w).cast("long") - 1)
     hit = (F.col(CELL) == F.col("__qm_cell_")) & (F.col(RANK) >= F.col("__qm_lo_")) & (F.col(RANK) < F.col("__qm_hi_"))
     return (
         ranked.join(ranges, hit)

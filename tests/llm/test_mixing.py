@@ -38,6 +38,18 @@ def test_targets_and_taken(spark, make_docs):
     assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= len(names)
 
 
+def test_many_sources_over_many_ranges(spark):
+    rows = [(f"s{i:04d}", (i * 37) % 101 + 1) for i in range(700)]
+    df = spark.createDataFrame(rows, "__qm_src string, source_size long").repartition(9)
+    out = mixing.numbered(df, "__qm_src")
+    got = {r["__qm_src"]: r["__qm_pos"] for r in out.collect()}
+    assert got == {s: k for k, (s, _) in enumerate(rows)}
+    for share in (0.3, 1.5, 1.99, 2.0, 3.0):
+        filled = mixing.water_fill(out.selectExpr("*", "__qm_pos % 3 + 1 as weight"), share).orderBy("__qm_src").collect()
+        want = fill([n for _, n in rows], [k % 3 + 1 for k in range(700)], share, 2)
+        assert all(abs(r["target"] - t) < 1e-6 * t for r, t in zip(filled, want))
+
+
 def test_empty_and_wordless(spark, make_docs):
     assert mixing.mix_documents(make_docs([])).count() == 0
     got = mixing.mix_documents(make_docs([(1, "", "a"), (2, None, None)])).collect()

@@ -18,6 +18,16 @@ def test_counts_slots_and_checksums(spark, make_docs):
     assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
 
 
+def test_repeated_and_missing_keys_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(7).cast("long")).alias("doc_id"), F.col("id").alias("size"))
+    cells = df.groupBy(sharding.cell_of(F.col("doc_id"), tie=[F.col("size")])).count().agg(F.max("count")).first()[0]
+    assert cells < 10
+    a, b = (sorted(map(tuple, sharding.assign(df, "doc_id", 24, [F.col("size")]).collect()), key=repr) for _ in range(2))
+    assert a == b and len({r[2] for r in a}) == 24
+
+
 def test_empty_table_and_clashing_columns(spark, make_docs):
     assert sharding.shard_documents(make_docs([]), 24).count() == 0
     df = make_docs([(i, "t", "s") for i in range(50)]).selectExpr("*", "doc_id as shard", "1 as cell", "2 as lo", "3 as base", "4 as rank")
