@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: The paths that the innermost `scratch` hands out.
+_paths: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("quillmill-paths", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing uses yet. Within `scratch` it lives as long as that."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    held = _paths.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Empty tables or folders that nothing reads any more. Spark overwrites them, so this works on any file system that it knows."""
+    for path in paths:
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Empty, at the end, what was staged within: ``with scratch(spark): query(spark).write.parquet(...)``.
+
+    Queries are lazy, so their results must be written, or collected, inside.
+    """
+    held: list[str] = []
+    token = _paths.set(held)
+    try:
+        yield
+    finally:
+        _paths.reset(token)
+        release(spark, *held)
