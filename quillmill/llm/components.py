@@ -6,7 +6,7 @@ a node to the smallest node of its component. The number of rounds grows with
 the logarithm of the graph's size. A node's smallest neighbour comes from an
 aggregation with partial sums, so a node of very many edges is no bottleneck;
 the join that follows is one that Spark can split. Every round ends in a table
-in the shared folder.
+in the shared folder; the table of the round before is emptied.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from ..session import fresh_path, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,10 +40,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Loops, repeated edges and edges with a null end are ignored; a node with
     no other edge does not appear. No edges give an empty result.
     """
-    edges = staged(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    spark = edges.sparkSession
+    path = fresh_path(spark, "cc")
+    edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().write.parquet(path)
+    edges = spark.read.parquet(path)
     before = _mark(edges)
     for _ in range(max_rounds if before[0] else 0):
-        edges = staged(_small_star(_large_star(edges)), "cc")
+        last, path = path, fresh_path(spark, "cc")
+        _small_star(_large_star(edges)).write.parquet(path)
+        edges = spark.read.schema(edges.schema).parquet(path)
+        release(spark, last)
         after = _mark(edges)
         if after == before:
             break

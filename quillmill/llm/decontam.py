@@ -275,7 +275,12 @@ def _clean(phrases, column: int):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without any phrase of the benchmark, with all columns. Blocks of the benchmark filter one after the other; nothing is shuffled."""
+    """The rows of ``docs`` without any phrase of the benchmark, with all columns, whatever their names.
+
+    Blocks of the benchmark filter one after the other; nothing is shuffled.
+    Rows are judged one by one, so ids may be null or repeated. Null and empty
+    texts hold no phrase; null or wordless items have none; an empty benchmark or table changes nothing.
+    """
     out = small_batches(docs)
     for block in _blocks(benchmark, block_words):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window).plain())

@@ -454,7 +454,13 @@ def family_links(level: DataFrame, spec: Spec) -> DataFrame:
 
 
 def link(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text); other columns don't matter.
+
+    Every row has its own in the result. A null id has a null component and
+    links nothing; a null, empty or wordless text has an empty set and is alone.
+    Copies are linked, and rows that repeat an id name the same component if
+    their sets are equal. A component is called by its smallest id, so there are no ties. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     slim = small_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     profile = staged(slim.mapInArrow(_profile(spec), "kind int, id long, n long, node long, check long"), "join-profile")

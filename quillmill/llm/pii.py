@@ -278,7 +278,12 @@ def joined(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, ``base`` spans and all ``spans`` (kind index, start, end; code points, end exclusive)."""
+    """doc_id, ``base`` spans and all ``spans`` (kind index, start, end; code points, end exclusive).
+
+    One row per row of ``docs``, whatever its id; other columns don't matter. A
+    null or empty text has no span. Of candidates that overlap the one of the
+    earlier pattern stands, then the one that begins first. An empty table gives an empty result.
+    """
     scanned = staged(scan(small_batches(docs)), "pii")
     accepted = fit(scanned).accepted
     code = lambda x: x["kind"] * 1_000_000 + x["code"]
@@ -289,7 +294,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, checksum of the base spans, and all spans, per document."""
+    """Counts of the base kinds, checksum of the base spans, and all spans, one row per row of ``docs``, as `detect` has them."""
     found = detect(docs)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(BASE)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
