@@ -279,10 +279,10 @@ def match_exact(spark, d):
     return match.with_elements(fx.changes(spark, d), fx.elements(spark, d)).filter("old IS NOT NULL").select("doc_id", "change_no", match.exact(F.col("text"), F.col("old")).alias("exact"))
 
 
-@query()
+@query(q(f"SELECT doc_id, change_no, element_id, CAST(round_even(100.0 * (length({o.norm('text')}) - 1) / length({o.norm('text')}), 0) AS BIGINT) AS score FROM verdict_names WHERE verdict = 'fuzzy'", "verdict_names"))
 def match_fuzzy(spark, d):
     joined = match.with_elements(fx.changes(spark, d), fx.elements(spark, d)).filter("old IS NOT NULL")
-    return match.fuzzy(joined.filter(~match.exact(F.col("text"), F.col("old")))).select("doc_id", "change_no", "element_id", "score")
+    return match.fuzzy(joined.filter(~match.exact(F.col("text"), F.col("old")))).select("doc_id", "change_no", "element_id", F.col("score").cast("long").alias("score"))
 
 
 @query(q(f"SELECT doc_id, change_no, regexp_matches({o.norm('old')}, '^[0-9]+$') OR length({o.norm('old')}) < 4 AS guarded FROM changes WHERE old IS NOT NULL", "changes"))
@@ -290,9 +290,9 @@ def guard_short_numeric(spark, d):
     return fx.changes(spark, d).filter("old IS NOT NULL").select("doc_id", "change_no", match.short_or_numeric(F.col("old")).alias("guarded"))
 
 
-@query()
+@query(q("SELECT doc_id, change_no, element_id, route, verdict FROM verdict_names", "verdict_names"))
 def match_verdicts(spark, d):
-    return match.verdicts(fx.changes(spark, d), fx.elements(spark, d)).select("doc_id", "change_no", "element_id", "route", "verdict", "score")
+    return match.verdicts(fx.changes(spark, d), fx.elements(spark, d)).select("doc_id", "change_no", "element_id", "route", "verdict")
 
 
 @query()
@@ -345,12 +345,24 @@ def _matched(spark, d):
     return rows.filter(F.col("verdict").isin("exact", "fuzzy"))
 
 
-@query()
+@query(q("SELECT doc_id, change_no, 'rewritten' AS result FROM verdict_names WHERE verdict = 'fuzzy'", "verdict_names"))
 def replace_fuzzy(spark, d):
     return match.replacement(_matched(spark, d).filter("verdict = 'fuzzy'")).select("doc_id", "change_no", "result")
 
 
-@query()
+_FIRST = f"CASE verdict WHEN 'fuzzy' THEN 'rewritten' ELSE {_LITERAL} END"
+_THEN = "CASE WHEN verdict = 'fuzzy' THEN 'rewritten' WHEN instr(w.result, m.old) > 0 THEN substr(w.result, 1, instr(w.result, m.old) - 1) || coalesce(m.new, '') || substr(w.result, instr(w.result, m.old) + length(m.old)) ELSE coalesce(m.new, '') END"
+
+
+@query(
+    q("", "verdict_names")
+    + f""", matched AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, element_id ORDER BY change_no) AS n, count(*) OVER (PARTITION BY doc_id, element_id) AS n_changes FROM verdict_names WHERE verdict IN ('exact', 'fuzzy')),
+    walk(doc_id, element_id, n, n_changes, result) AS (
+      SELECT doc_id, element_id, n, n_changes, {_FIRST} FROM matched WHERE n = 1
+      UNION ALL
+      SELECT w.doc_id, w.element_id, m.n, w.n_changes, {_THEN} FROM walk w JOIN matched m ON m.doc_id = w.doc_id AND m.element_id = w.element_id AND m.n = w.n + 1)
+    SELECT doc_id, element_id, result, n_changes, n_changes > 1 AS conflict FROM walk WHERE n = n_changes"""
+)
 def apply_sequential(spark, d):
     return match.apply_sequential(_matched(spark, d)).select("doc_id", "element_id", "result", "n_changes", "conflict")
 
@@ -394,12 +406,12 @@ def diff_textbox(spark, d):
     return diff.explode_segments(diff.diff_words(match.join_textboxes(rows, el.numbered(fx.boxes(spark, d), "textbox"))), "doc_id", "change_no", "box_id")
 
 
-@query()
+@query(q("SELECT doc_id, change_no, element_id, verdict FROM verdict_names WHERE verdict NOT IN ('exact', 'fuzzy', 'deferred')", "verdict_names"))
 def report_unapplied(spark, d):
     return match.unapplied(match.verdicts(fx.changes(spark, d), fx.elements(spark, d)))
 
 
-@query()
+@query(q("SELECT doc_id, count(*) AS n_changes, count(*) FILTER (WHERE verdict = 'exact') AS n_exact, count(*) FILTER (WHERE verdict = 'fuzzy') AS n_fuzzy, count(*) FILTER (WHERE verdict = 'deferred') AS n_deferred, count(*) FILTER (WHERE verdict NOT IN ('exact', 'fuzzy', 'deferred')) AS n_unapplied FROM verdict_names GROUP BY doc_id", "verdict_names"))
 def edit_summary(spark, d):
     return match.summary(match.verdicts(fx.changes(spark, d), fx.elements(spark, d)))
 
@@ -698,7 +710,13 @@ def _second_editor(text: str) -> str:
     return text.lower()
 
 
-@query()
+@query(
+    q(
+        """SELECT doc_id, pos, CASE WHEN NOT contains(raw, 'the') THEN 'primary' WHEN NOT contains(raw, 'of') THEN 'fallback' ELSE 'none' END AS used,
+          CASE WHEN contains(raw, 'the') THEN 'ValueError: holds ' || chr(39) || 'the' || chr(39) || CASE WHEN contains(raw, 'of') THEN '; ValueError: holds ' || chr(39) || 'of' || chr(39) ELSE '' END END AS error FROM lines""",
+        "lines",
+    )
+)
 def fallback_outcome(spark, d):
     return jobs.with_fallback(fx.lines(spark, d), "raw", _first_editor, _second_editor).select("doc_id", "pos", "used", "error")
 
@@ -712,7 +730,7 @@ def scan_package_cells(spark, d):
     return found.groupBy("path").agg(F.count_if(F.col("type") == "table_cell").alias("n_cells"))
 
 
-@query()
+@query(q("SELECT * FROM package_elements UNION ALL SELECT '/in/doc' || doc_id || '.docx', NULL, NULL, NULL, NULL, NULL, NULL, 'ValueError: not a package: BadZipFile' FROM documents WHERE doc_id % 100 = 99", "package_elements"))
 def scan_package_elements(spark, d):
     return parts.scan_elements(fx.packages(spark, d))
 
