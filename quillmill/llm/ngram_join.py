@@ -32,11 +32,13 @@ every document. All of it is exact up to 64-bit hashes of shingles and 128-bit o
    with f(x) = (den + num) |D(x)| - (den - num) |x|. So the set of the least f is
    linked to every x with f(x) + f <= 0, without any comparison, and these are
    all pairs that need no token in common: one edge a member. Each pair that is
-   left has a member beyond that bound and shares tokens of D, which are in few
-   members each: a prefix index over D finds the candidates. A group of more
-   than PAIR_GROUP members with such a token is a smaller family with a base of
+   left has a member beyond that bound and shares tokens of D. Tokens of one
+   member only are put aside; from how many tokens are left to a member, and the
+   least f among those of as many, follows how many it must share at least, if
+   it can at all, and a prefix index over what is left finds the candidates. A group of more
+   than PAIR_GROUP members with a token is a smaller family with a base of
    its own. It has to find the pairs whose first common token that is, so what
-   stands behind it in D are its sets, and the token itself is paid for in f:
+   stands behind it are its sets, and the token itself is paid for in f:
    no pair is looked for twice, and sets get shorter until the rounds end. The
    base only steers the work: the outcome is exact for any.
 5. Candidates are verified on whole sets, and the links' components named.
@@ -394,18 +396,15 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def _centred(level: DataFrame, spec: Spec) -> DataFrame:
-    """``tokens`` become what each set and its unit's base don't share, those of few drawn members (``n_few``) first; ``f`` goes along."""
+    """``tokens`` become what each set and its unit's base don't share; ``f`` goes along."""
     drawn = level.filter("drawn")
-    counts = drawn.select("unit", F.explode("tokens").alias("t")).groupBy("unit", "t").agg(F.count("*").alias("c")).filter("c > 1")
-    marked = counts.join(drawn.groupBy("unit").agg(F.count("*").alias("m")), "unit")
-    base = marked.groupBy("unit").agg(F.collect_list(F.expr("CASE WHEN 2 * c > m THEN t END")).alias("base"), F.collect_list(F.expr("CASE WHEN 2 * c <= m THEN t END")).alias("often"))
-    none = F.array().cast("array<bigint>")
-    spread = level.select("unit", "part").distinct().join(base, "unit", "left").select("unit", "part", F.coalesce("base", none).alias("base"), F.coalesce("often", none).alias("often"))
+    counts = drawn.select("unit", F.explode("tokens").alias("t")).groupBy("unit", "t").agg(F.count("*").alias("c"))
+    marked = counts.join(drawn.groupBy("unit").agg(F.count("*").alias("m")), "unit").filter("2 * c > m")
+    base = marked.groupBy("unit").agg(F.collect_list("t").alias("base"))
+    spread = level.select("unit", "part").distinct().join(base, "unit", "left").select("unit", "part", F.coalesce("base", F.array().cast("array<bigint>")).alias("base"))
     differ = F.concat(F.array_except("tokens", "base"), F.array_except("base", "tokens"))
-    rows = level.join(spread, ["unit", "part"]).select("unit", "node", "n", "f", "sought", "tokens", "often", differ.alias("d"))
-    rows = rows.select("*", F.sort_array(F.array_except("d", "often")).alias("few"), F.sort_array(F.array_intersect("d", "often")).alias("many"))
-    f = F.col("f") - (spec.den + spec.num) * (F.size("tokens") - F.size("d"))
-    return rows.select("unit", "node", "n", f.alias("f"), "sought", F.size("few").alias("n_few"), F.concat("few", "many").alias("tokens"))
+    rows = level.join(spread, ["unit", "part"]).select("unit", "node", "n", "f", "sought", F.size("tokens").alias("had"), differ.alias("tokens"))
+    return rows.withColumn("f", F.col("f") - (spec.den + spec.num) * (F.col("had") - F.size("tokens"))).drop("had")
 
 
 def family_links(level: DataFrame, spec: Spec) -> DataFrame:
@@ -420,19 +419,29 @@ def family_links(level: DataFrame, spec: Spec) -> DataFrame:
     edges = []
     for _ in range(ROUNDS):
         centred = staged(_centred(level, spec), "join-centred")
-        heads = centred.groupBy("unit").agg(F.min(F.struct("f", "node")).alias("h")).select("unit", F.col("h.f").alias("least"), F.col("h.node").alias("head"))
-        known = centred.join(heads, "unit").withColumn("far", F.col("f") + F.col("least") > 0)
-        edges.append(known.filter("NOT far AND node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-        # a far set shares tokens with whatever it is linked to: with a far one, or a near one, f of which is at least these
-        nearest = known.filter("far").groupBy("unit").agg(F.min("f").alias("nearest"))
-        shared = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("least")).otherwise(F.col("nearest"))) / twice))
-        prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - shared + 1).cast("int"))
-        entries = known.join(nearest, "unit").select("unit", "node", "n", "f", "far", "sought", "n_few", (F.size("tokens") - 1).alias("last"), F.posexplode(prefix).alias("pos", "t"))
-        entries = entries.select("unit", "node", "n", "f", "far", "sought", "pos", (F.col("last") - F.col("pos")).alias("rest"), (F.col("pos") >= F.col("n_few")).alias("late"), "t")
+        heads = centred.groupBy("unit").agg(F.min(F.struct("f", "node")).alias("h"), F.max("f").alias("most")).select("unit", F.col("h.f").alias("least"), F.col("h.node").alias("head"), "most")
+        near = centred.select("unit", "node", "f").join(heads, "unit").filter("f + least <= 0 AND node <> head")
+        edges.append(near.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        # units with far members, which the head is not linked to for sure
+        open_ = centred.join(heads.filter("most + least > 0"), "unit").withColumn("far", F.col("f") + F.col("least") > 0)
+        held = open_.select("unit", "node", "n", "f", "far", "sought", F.explode("tokens").alias("t"))
+        shared = held.groupBy("unit", "t").agg(F.count("*").alias("c")).filter("c > 1")
+        listed = F.array_sort(F.collect_list(F.struct("c", "t")))
+        rest = held.join(shared, ["unit", "t"]).groupBy("unit", "node").agg(*[F.first(c).alias(c) for c in ("n", "f", "far", "sought")], listed.alias("x"))
+        rest = staged(rest.select("unit", "node", "n", "f", "far", "sought", F.col("x.t").alias("tokens"), F.size("x").alias("size")), "join-shared")
+        # the least f by number of tokens, of all members and of far ones: at most as many entries as a set has sizes
+        sizes = rest.groupBy("unit", "size").agg(F.min("f").alias("f"), F.min(F.when(F.col("far"), F.col("f"))).alias("far"))
+        bounds = sizes.groupBy("unit").agg(F.collect_list(F.struct("size", "f", "far")).alias("others"))
+        needs = lambda o: F.when(F.col("far"), o["f"]).otherwise(o["far"]) + F.col("f")
+        able = F.filter("others", lambda o: needs(o) <= twice * F.least(o["size"], F.col("size")))
+        least = F.array_min(F.transform(able, lambda o: F.ceil(needs(o) / twice)))
+        prefix = F.slice("tokens", F.lit(1), (F.col("size") - F.greatest(F.lit(1), F.col("must")) + 1).cast("int"))
+        asked = rest.join(bounds, "unit").withColumn("must", least).filter("must IS NOT NULL")
+        entries = asked.select("unit", "node", "n", "f", "far", "sought", "size", F.posexplode(prefix).alias("pos", "t")).withColumn("rest", F.col("size") - 1 - F.col("pos"))
         mark = lambda salt: F.sum(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 31)))
-        groups = entries.groupBy("unit", "late", "t").agg(F.count("*").alias("c"), F.max("far").alias("any_far"), F.max("sought").alias("any_sought"), mark(1).alias("s"), mark(2).alias("z")).filter("c > 1 AND any_far AND any_sought")
-        # of tokens that the same members have, the first is the first common one
-        groups = groups.groupBy("unit", "c", "s", "z").agg(F.min(F.struct("late", "t")).alias("x")).select("unit", "x.t", "c")
+        groups = entries.groupBy("unit", "t").agg(F.count("*").alias("c"), F.max("far").alias("any_far"), F.max("sought").alias("any_sought"), F.min(F.struct("node", "pos")).alias("p"), mark(1).alias("s"), mark(2).alias("z")).filter("c > 1 AND any_far AND any_sought")
+        # of tokens that the same members have, the first is the first common one: the order is the same for all
+        groups = groups.groupBy("unit", "c", "s", "z").agg(F.min_by("t", F.col("p.pos")).alias("t")).select("unit", "t", "c")
         found = staged(entries.join(groups, ["unit", "t"]), "join-entries")
         few = found.filter(F.col("c") <= PAIR_GROUP).groupBy("unit", "t").agg(F.collect_list(F.struct("node", "n", "f", "far", "sought", "rest")).alias("g"))
         # a linked pair passes at the first token that both have: no more can follow than are left of the shorter rest
@@ -440,13 +449,13 @@ def family_links(level: DataFrame, spec: Spec) -> DataFrame:
         fits = lambda x, y: (x["node"] < y["node"]) & (x["far"] | y["far"]) & (x["sought"] | y["sought"]) & room(x, y) & (spec.den * F.least(x["n"], y["n"]) >= spec.num * F.greatest(x["n"], y["n"]))
         pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
         pairs = few.select("unit", F.inline(pairs)).distinct()
-        side = lambda name: centred.select("unit", F.col("node").alias(name), F.col("f").alias(f"f_{name}"), F.col("tokens").alias(f"t_{name}"))
+        side = lambda name: rest.select("unit", F.col("node").alias(name), F.col("f").alias(f"f_{name}"), F.col("tokens").alias(f"t_{name}"))
         both = pairs.join(side("a"), ["unit", "a"]).join(side("b"), ["unit", "b"])
         edges.append(both.filter(F.col("f_a") + F.col("f_b") <= twice * F.size(F.array_intersect("t_a", "t_b"))).select("a", "b"))
         many = found.filter(F.col("c") > PAIR_GROUP).select(F.xxhash64("unit", "t").alias("unit"), F.col("unit").alias("parent"), "node", "pos", F.col("far").alias("sought"))
         if many.isEmpty():
             return reduce(DataFrame.union, edges)
-        sets = centred.select(F.col("unit").alias("parent"), "node", "n", "f", "tokens")
+        sets = rest.select(F.col("unit").alias("parent"), "node", "n", "f", "tokens")
         behind = F.slice("tokens", F.col("pos") + 2, F.size("tokens"))
         level = _dealt(many).join(sets, ["parent", "node"]).select("unit", "part", "drawn", "node", "n", (F.col("f") - twice // 2).alias("f"), "sought", behind.alias("tokens"))
         level = staged(level, "join-sets")
