@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.parts import MAX_BYTES, W, pack, parse_xml, unpack
-from .package import COMMENT_OVERRIDES, COMMENT_RELATIONSHIPS
+from .package import COMMENT_OVERRIDES, COMMENT_RELATIONSHIPS, REMOVED_TAGS, THEME
 from .tracked import ENDINGS, GREEN, RED
 
 RELS_NS = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -42,7 +42,8 @@ EMPTY_PARTS = {
     "word/commentsIds.xml": '<w16cid:commentsIds xmlns:w16cid="http://schemas.microsoft.com/office/word/2016/wordml/cid"/>',
     "word/people.xml": '<w15:people xmlns:w15="http://schemas.microsoft.com/office/word/2012/wordml"/>',
 }
-RSIDS = 10
+#: Revision ids for documents of fewer paragraphs than these, and for larger ones.
+RSID_BUCKETS, MOST_RSIDS = ((20, 50), (100, 100)), 200
 
 
 def load(content: bytes) -> tuple[ET.Element, dict[str, str]]:
@@ -209,6 +210,30 @@ def _override(parts: dict[str, bytes], name: str, kind: str) -> bool:
     return True
 
 
+def _drop(root: ET.Element, gone) -> int:
+    """Remove all elements that ``gone`` holds for; how many there were."""
+    n = 0
+    for parent in list(root.iter()):
+        for child in [x for x in parent if gone(x)]:
+            parent.remove(child)
+            n += 1
+    return n
+
+
+def _default_style(document: ET.Element, style: str = "Normal") -> int:
+    """Give the paragraphs of the body that have no style the default one; how many there were."""
+    n = 0
+    for p in document.findall(f"{W}body/{W}p"):
+        properties = p.find(f"{W}pPr")
+        if properties is None:
+            properties = w("pPr")
+            p.insert(0, properties)
+        if properties.find(f"{W}pStyle") is None:
+            properties.insert(0, w("pStyle", val=style))
+            n += 1
+    return n
+
+
 def repair(parts: dict[str, bytes]) -> tuple[dict[str, bytes], list[str]]:
     """The package's parts with all repairs, in their order, and what was done. Repairing twice does nothing more."""
     parts, done = dict(parts), []
@@ -228,15 +253,17 @@ def repair(parts: dict[str, bytes]) -> tuple[dict[str, bytes], list[str]]:
     if DOCUMENT in parts:
         document, prefixes = load(parts[DOCUMENT])
         have = {c.get(f"{W}id") for c in load(parts[COMMENTS])[0]}
-        orphans = 0
-        for parent in list(document.iter()):
-            for child in list(parent):
-                if child.tag == f"{W}commentReference" and child.get(f"{W}id") not in have:
-                    parent.remove(child)
-                    orphans += 1
-        if orphans:
+        changed = {
+            "dropped {} comment references": _drop(document, lambda x: x.tag == f"{W}commentReference" and x.get(f"{W}id") not in have),
+            "dropped {} proofing marks": _drop(document, lambda x: x.tag in {f"{W}{t}" for t in REMOVED_TAGS}),
+            "dropped {} empty run properties": _drop(document, lambda x: x.tag == f"{W}rPr" and not len(x)),
+            "gave {} paragraphs the default style": _default_style(document),
+        }
+        if any(changed.values()):
             parts[DOCUMENT] = dump(document, prefixes)
-            done.append(f"dropped {orphans} comment references")
+            done += [text.format(n) for text, n in changed.items() if n]
+    if f"word/{THEME[0]}" in parts and _relate(parts, *THEME):
+        done.append(f"related {THEME[0]}")
     if SETTINGS in parts:
         root, prefixes = load(parts[SETTINGS])
         fixed = False
@@ -244,10 +271,19 @@ def repair(parts: dict[str, bytes]) -> tuple[dict[str, bytes], list[str]]:
             w("trackRevisions", root)
             done.append("set trackRevisions")
             fixed = True
-        if root.find(f"{W}rsids") is None:
+        for tag, attributes in (("compat", {}), ("updateFields", {"val": "true"})):
+            if root.find(f"{W}{tag}") is None:
+                w(tag, root, **attributes)
+                done.append(f"set {tag}")
+                fixed = True
+        rsids = root.find(f"{W}rsids")
+        if rsids is None or not len(rsids):
             # ids come from the document's content, so a rerun makes the same ones
             seed = hashlib.sha256(parts.get(DOCUMENT, b"")).hexdigest()
-            ids = [hashlib.sha256(f"{seed}:{k}".encode()).hexdigest()[:8].upper() for k in range(RSIDS)]
+            n = sum(1 for _ in load(parts[DOCUMENT])[0].iter(f"{W}p")) if DOCUMENT in parts else 0
+            ids = [hashlib.sha256(f"{seed}:{k}".encode()).hexdigest()[:8].upper() for k in range(next((m for below, m in RSID_BUCKETS if n < below), MOST_RSIDS))]
+            if rsids is not None:
+                root.remove(rsids)
             rsids = w("rsids")
             w("rsidRoot", rsids, val=ids[0])
             for i in ids:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_pdf, norm, strip
+from ..sources.elements import numbered_lines
 
 #: Lines to either side that are tried, distance below which notes are the same.
 NEAR, DISTANCE = 2, 5.0
 SUGGESTION, MOTIVATION = "Förslag", "Motivering"
+#: Fixed value: the type of highlights among annotations.
+HIGHLIGHT = 8
 
 
 def valid(changes: DataFrame, page_counts: DataFrame) -> DataFrame:
@@ -70,8 +73,13 @@ def dedupe_notes(annotations: DataFrame, distance: float = DISTANCE) -> DataFram
     """The notes of each page that stay: in order, one is dropped if a kept one has its text, or all four coordinates closer than ``distance``.
 
     The outcome depends on the order and is not transitive, so it is a fold
-    over a page's notes, in the JVM. Its state is the notes kept so far.
+    over a page's notes, in the JVM. Its state is the notes kept so far. With a
+    column ``kind``, only highlights are compared; annotations of other types all stay.
     """
+    if "kind" in annotations.columns:
+        highlights = F.coalesce(F.col("kind") == HIGHLIGHT, F.lit(False))
+        kept = dedupe_notes(annotations.filter(highlights).withColumnRenamed("kind", "__kind"), distance).withColumnRenamed("__kind", "kind")
+        return kept.select(*annotations.columns).union(annotations.filter(~highlights))
     columns = annotations.columns
     text = lambda x: strip(F.coalesce(x["content"], F.lit("")))
 
@@ -86,3 +94,25 @@ def dedupe_notes(annotations: DataFrame, distance: float = DISTANCE) -> DataFram
     none = F.slice("items", 1, 0)
     kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda k: same(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
     return pages.select("doc_id", "page", F.inline(kept)).select(*columns)
+
+
+def annotate(changes: DataFrame, blocks: DataFrame, motivations: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Changes of pages as notes, without duplicates, and rejects: every change has notes or a reject.
+
+    changes (doc_id, change_no, page, line, old, new, motivation), blocks (doc_id, page, ord, x0, y0, x1, y1, text).
+    Notes (doc_id, page, ord, x0, y0, x1, y1, content, change_no) lie on the lines that match, in the order of
+    changes, then lines; a change that suggests nothing has a note without content. Rejects (doc_id, change_no,
+    reason): ``invalid`` without an old text or a page that is there, ``no match``, ``duplicate`` if all its notes repeat others.
+    """
+    counts = blocks.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
+    lines = numbered_lines(blocks)
+    good = valid(changes, counts)
+    found = matches(good, lines.select("doc_id", "page", "line", "text"))
+    placed = found.select("doc_id", "change_no", "page", "line").join(good.select("doc_id", "change_no", note(F.col("new"), F.col("motivation"), motivations).alias("content")), ["doc_id", "change_no"]).join(lines.drop("text"), ["doc_id", "page", "line"])
+    order = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("change_no", "line"))
+    every = placed.select("doc_id", "page", order.alias("ord"), "x0", "y0", "x1", "y1", "content", "change_no")
+    kept = dedupe_notes(every)
+    key = ["doc_id", "change_no"]
+    state = changes.select(*key).join(good.select(*key, F.lit(True).alias("good")).distinct(), key, "left").join(found.select(*key, F.lit(True).alias("found")).distinct(), key, "left").join(kept.select(*key, F.lit(True).alias("kept")).distinct(), key, "left")
+    reason = F.when(F.col("good").isNull(), "invalid").when(F.col("found").isNull(), "no match").when(F.col("kept").isNull(), "duplicate")
+    return kept, state.withColumn("reason", reason).filter("reason IS NOT NULL").select(*key, "reason")

@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +36,28 @@ class TableSuggester:
 
 
 class FunctionSuggester:
-    """Calls ``ask(messages) -> text`` per batch, at most one in ``pause`` seconds and task."""
+    """Calls ``ask(messages) -> text`` per batch, over all tasks at most one in ``pause`` seconds.
+
+    Tasks take turns: each of ``tasks`` begins at its own place in a round of
+    that many pauses and calls once a round, so they need not know of each other.
+    """
 
     def __init__(self, ask: Callable[[list[dict]], str], tasks: int = 8, pause: float = 0.0):
         self.ask, self.tasks, self.pause = ask, tasks, pause
 
     def replies(self, batches: DataFrame) -> DataFrame:
-        ask, pause = self.ask, self.pause
+        ask, pause, tasks = self.ask, self.pause, self.tasks
 
         def run(frames):
             import pandas as pd
 
-            last = 0.0
+            turn = TaskContext.get().partitionId() % tasks if TaskContext.get() else 0
+            due = time.time() + turn * pause
             for frame in frames:
                 rows = []
                 for doc_id, chunk_id, messages in zip(frame["doc_id"], frame["chunk_id"], frame["messages"]):
-                    time.sleep(max(0.0, last + pause - time.monotonic()))
-                    last = time.monotonic()
+                    time.sleep(max(0.0, due - time.time()))
+                    due = max(due, time.time()) + tasks * pause
                     try:
                         rows.append((doc_id, chunk_id, True, ask([dict(m) for m in messages])))
                     except Exception as e:  # one batch's failure is a fact about that batch

@@ -486,6 +486,31 @@ def annotations_dedupe(spark, d):
     return pdf.dedupe_notes(fx.annotations(spark, d)).select("doc_id", _L("page"), _L("ord"))
 
 
+@query(
+    q(
+        f"""SELECT c.doc_id, c.change_no, CASE WHEN NOT EXISTS (SELECT 1 FROM pdf_valid v WHERE v.doc_id = c.doc_id AND v.change_no = c.change_no) THEN 'invalid' WHEN EXISTS (
+            SELECT 1 FROM pdf_lines l WHERE l.doc_id = c.doc_id AND l.page = c.page AND CASE WHEN coalesce(c.line, 0) = 0 THEN c.old <> '' AND contains(lower(l.text), lower(c.old))
+              ELSE abs(l.line - c.line) <= 2 AND (contains({o.norm(o.clean_pdf("l.text"))}, {o.norm("c.old")}) OR contains({o.norm(o.clean_pdf("c.old"))}, {o.norm(o.clean_pdf("l.text"))})) END) THEN 'matched' ELSE 'no match' END AS outcome
+          FROM pdf_changes c""",
+        "pdf_changes",
+        "pdf_valid",
+        "pdf_lines",
+    )
+)
+def page_outcomes(spark, d):
+    """Every change of a page once: as notes (or repeats of them), or as a reject with its reason."""
+    notes, rejects = pdf.annotate(fx.pdf_changes(spark, d), fx.blocks(spark, d))
+    noted = notes.select("doc_id", "change_no").distinct().withColumn("outcome", F.lit("matched"))
+    return noted.union(rejects.select("doc_id", "change_no", F.when(F.col("reason") == "duplicate", "matched").otherwise(F.col("reason"))))
+
+
+@query()
+def page_notes(spark, d):
+    """The notes of all pages, without duplicates."""
+    notes, _ = pdf.annotate(fx.pdf_changes(spark, d), fx.blocks(spark, d))
+    return notes.select("doc_id", _L("page"), "change_no", "y0", "content")
+
+
 # ---- runs and tracked changes ---------------------------------------------------------------------------------
 
 
@@ -633,7 +658,8 @@ _HAS = lambda p, a: f"EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = {a}.doc_id
         UNION ALL SELECT doc_id, 'styles', 'warning', 'missing style ' || style FROM missing_styles m WHERE {_HAS("word/styles.xml", "m")}
         UNION ALL SELECT doc_id, 'settings', 'error', 'missing settings.xml' FROM documents d WHERE {_NO_PART("word/settings.xml")}
         UNION ALL SELECT doc_id, 'settings', 'warning', 'missing trackRevisions' FROM documents d WHERE {_HAS("word/settings.xml", "d")} AND {_NO_FLAG}
-        UNION ALL SELECT doc_id, 'comments', 'warning', 'no comment for reference ' || comment_id FROM orphans m WHERE {_HAS("word/comments.xml", "m")}""",
+        UNION ALL SELECT doc_id, 'comments', 'warning', 'no comment for reference ' || comment_id FROM orphans m WHERE {_HAS("word/comments.xml", "m")}
+        UNION ALL SELECT doc_id, 'wellformed', 'error', 'word/broken.xml: no element found: line 1, column 6' FROM documents WHERE doc_id % 50 = 49 AND doc_id % 100 <> 99""",
         "parts",
         "missing_targets",
         "missing_styles",
@@ -642,7 +668,9 @@ _HAS = lambda p, a: f"EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = {a}.doc_id
     )
 )
 def validate_package(spark, d):
-    return package.validate(fx.doc_ids(spark, d), fx.parts(spark, d), fx.rels(spark, d), fx.styles(spark, d), fx.settings(spark, d), fx.comments(spark, d), fx.comment_refs(spark, d))
+    nodes = parts.scan_nodes(parts.scan_parts(fx.packages(spark, d)).filter("error IS NULL"))
+    malformed = nodes.filter("kind = 'malformed'").select(F.regexp_extract("path", r"doc(\d+)", 1).cast("long").alias("doc_id"), "part_name", "error")
+    return package.validate(fx.doc_ids(spark, d), fx.parts(spark, d), fx.rels(spark, d), fx.styles(spark, d), fx.settings(spark, d), fx.comments(spark, d), fx.comment_refs(spark, d), malformed)
 
 
 @query(q("SELECT doc_id, node, parent, tag, n_children FROM nodes n WHERE tag NOT IN ('proofErr', 'noProof') AND (tag <> 'rPr' OR n_children > (SELECT count(*) FROM nodes c WHERE c.doc_id = n.doc_id AND c.parent = n.node AND c.tag IN ('proofErr', 'noProof')))", "nodes"))
@@ -804,13 +832,42 @@ def review_documents(spark, d):
     return review.review(fx.elements(spark, d), review.RuleSuggester(fx.LEXICON), "policy").summary
 
 
-@query(q("SELECT '/in/doc' || doc_id || '.docx' AS path, 7 AS n_styles, true AS tracks, 5 AS n_rels, 5 AS n_overrides, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_refs, 10 AS n_rsids FROM documents WHERE doc_id % 100 <> 99"))
+@query(
+    q(
+        f"""SELECT doc_id, count(*) AS n_changes, count(*) FILTER (WHERE edited) AS n_edited, count(*) FILTER (WHERE NOT edited) AS n_rejected FROM (
+          SELECT doc_id, verdict IN ('exact', 'fuzzy') OR (route = 'footnote' AND verdict = 'deferred')
+            OR (route = 'textbox' AND verdict = 'deferred' AND EXISTS (SELECT 1 FROM elements b WHERE b.doc_id = v.doc_id AND b.type = 'textbox' AND contains({o.norm_box("b.text")}, {o.norm_box("v.old")}))) AS edited
+          FROM verdict_names v) GROUP BY doc_id""",
+        "verdict_names",
+        "elements",
+    )
+)
+def review_every_change(spark, d):
+    """A review of given replies: each change ends as segments or as a reject."""
+    item = F.struct("element_id", "footnote_id", "old", "new", "motivation")
+    replies = fx.changes(spark, d).groupBy("doc_id").agg(F.lit(0).cast("long").alias("chunk_id"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("change_no", item.alias("c")))), lambda x: x["c"])).alias("raw"))
+    done = review.review(fx.elements(spark, d), suggest.TableSuggester(replies), "policy")
+    edited = done.segments.select("doc_id", "change_no").distinct().groupBy("doc_id").agg(F.count("*").alias("n_edited"))
+    rejected = match.unapplied(done.verdicts).groupBy("doc_id").agg(F.count("*").alias("n_rejected"))
+    counts = done.verdicts.groupBy("doc_id").agg(F.count("*").alias("n_changes"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return counts.join(edited, "doc_id", "left").join(rejected, "doc_id", "left").select("doc_id", "n_changes", zero("n_edited"), zero("n_rejected"))
+
+
+@query(
+    q(
+        """SELECT '/in/doc' || d.doc_id || '.docx' AS path, 7 AS n_styles, true AS tracks, true AS compat, true AS updates, 5 AS n_rels, 5 AS n_overrides, CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_refs,
+          CASE WHEN n < 20 THEN 50 WHEN n < 100 THEN 100 ELSE 200 END AS n_rsids
+        FROM documents d JOIN (SELECT doc_id, sum(CASE WHEN contains(raw, ' | ') THEN len(string_split(raw, ' | ')) ELSE 1 END) + 2 AS n FROM lines GROUP BY doc_id) p ON p.doc_id = d.doc_id WHERE d.doc_id % 100 <> 99""",
+        "lines",
+    )
+)
 def repair_packages(spark, d):
     """What repaired packages hold."""
     fixed = package_xml.repair_packages(fx.packages(spark, d)).filter("error IS NULL")
     nodes = parts.scan_nodes(parts.scan_parts(fixed))
     n = lambda kind: F.count_if(F.col("kind") == kind)
-    return nodes.groupBy("path").agg(n("style").alias("n_styles"), F.max(F.coalesce(F.col("name") == package.TRACK_FLAG, F.lit(False))).alias("tracks"), n("relationship").alias("n_rels"), n("override").alias("n_overrides"), n("comment_reference").alias("n_refs"), n("rsid").alias("n_rsids"))
+    return nodes.groupBy("path").agg(n("style").alias("n_styles"), *[F.max((F.col("kind") == "setting") & F.coalesce(F.col("name") == s, F.lit(False))).alias(a) for s, a in ((package.TRACK_FLAG, "tracks"), ("compat", "compat"), ("updateFields", "updates"))], n("relationship").alias("n_rels"), n("override").alias("n_overrides"), n("comment_reference").alias("n_refs"), n("rsid").alias("n_rsids"))
 
 
 def _package_review(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from ..functions.udfs import applied_in_turn
 from ..operators import batching, diff, match, suggest
 from ..session import fresh_path
 
+log = logging.getLogger(__name__)
+
 PREAMBLE = "Här är en del av dokumentet som ska granskas:"
 
 
@@ -41,9 +45,20 @@ class RuleSuggester:
         return rows.groupBy("doc_id", "chunk_id").agg(F.lit(True).alias("ok"), F.to_json(listed).alias("raw"))
 
 
-def review(elements: DataFrame, suggester, prompt: str, max_tokens: int = batching.MAX_TOKENS, motivations: bool = True) -> Review:
+def _report(progress, message: str) -> None:
+    """Tell the caller; a callback that fails is logged and does not stop the review."""
+    if progress is not None:
+        try:
+            progress(message)
+        except Exception as e:
+            log.warning("progress callback failed: %s", e)
+
+
+def review(elements: DataFrame, suggester, prompt: str, max_tokens: int = batching.MAX_TOKENS, motivations: bool = True, progress: Callable[[str], None] | None = None) -> Review:
     """Review documents' elements (doc_id, pos, type, element_id, footnote_id, text, empty).
 
+    ``progress`` is told, on the driver, when batches are made and when they are answered.
+
     Replies are written to the shared folder once: asking is the dear and
     unrepeatable step, everything after it reads that table.
     """
@@ -51,7 +66,12 @@ def review(elements: DataFrame, suggester, prompt: str, max_tokens: int = batchi
     chunks = batching.chunk_greedy(elements, batching.element_length(), len(prompt), max_tokens)
     asked = batching.messages(elements, chunks, prompt, PREAMBLE)
     path = fresh_path(spark, "replies")
+    if progress is not None:
+        _report(progress, f"{chunks.select('doc_id', 'chunk_id').distinct().count()} batches")
     suggester.replies(asked).write.parquet(path)
+    if progress is not None:
+        told = spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).first()
+        _report(progress, f"{told['n']} batches asked, {told['n'] - told['ok']} failed")
     items, rejects = suggest.parse_replies(spark.read.parquet(path))
     changes = batching.concat_batches(items)
     verdicts = resolved(match.verdicts(changes, elements), elements)

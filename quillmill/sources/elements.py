@@ -79,9 +79,14 @@ def pdf_lines(blocks: DataFrame, descending: bool = True) -> DataFrame:
 
     ``descending``: as extraction numbers them; annotation counts from the top (ascending).
     """
+    return numbered_lines(blocks, descending).select("doc_id", "page", "line", "text")
+
+
+def numbered_lines(blocks: DataFrame, descending: bool = False) -> DataFrame:
+    """The same with the blocks' coordinates."""
     y = F.col("y0").desc() if descending else F.col("y0").asc()
     n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(y, "ord"))
-    return blocks.withColumn("line", n).filter(~is_blank(F.col("text"))).select("doc_id", "page", "line", strip(F.col("text")).alias("text"))
+    return blocks.withColumn("line", n).filter(~is_blank(F.col("text"))).select("doc_id", "page", "line", "x0", "y0", "x1", "y1", strip(F.col("text")).alias("text"))
 
 
 def flatten_pages(structure: DataFrame) -> DataFrame:

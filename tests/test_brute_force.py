@@ -163,3 +163,30 @@ def test_review_counts(spark, elements):
         if any(w in fx.LEXICON for w in text.split()):
             counts[d] = counts.get(d, 0) + 1
     same(q.review_documents(spark, SF), ["doc_id", "n_changes", "n_exact", "n_unapplied"], [(d, n, n, 0) for d, n in counts.items()])
+
+
+def test_page_notes(spark):
+    """Lines from the top, exact line, near line or page search, then the greedy removal of repeats."""
+    clean = lambda x: re.sub(r"([a-zA-Z])[0-9]{1,3}\b", r"\1", x).strip()
+    holds = lambda text, old: norm(old) in norm(clean(text)) or norm(clean(text)) in norm(clean(old))
+    pages, last = {}, {}
+    for b in fx.blocks(spark, SF).collect():
+        pages.setdefault((b["doc_id"], b["page"]), []).append(b)
+        last[b["doc_id"]] = max(last.get(b["doc_id"], 0), b["page"])
+    lines = {k: [(n, b) for n, b in enumerate(sorted(v, key=lambda b: (b["y0"], b["ord"])), 1) if b["text"].strip()] for k, v in pages.items()}
+    notes = {}
+    for c in sorted(fx.pdf_changes(spark, SF).collect(), key=lambda c: (c["doc_id"], c["change_no"])):
+        if c["old"] is None or c["page"] is None or not 1 <= c["page"] <= last[c["doc_id"]]:
+            continue
+        mine = lines[c["doc_id"], c["page"]]
+        if c["line"]:
+            hits = [(n, b) for n, b in mine if n == c["line"] and holds(b["text"].strip(), c["old"])] or [(n, b) for n, b in mine if abs(n - c["line"]) <= 2 and holds(b["text"].strip(), c["old"])][:1]
+        else:
+            hits = [(n, b) for n, b in mine if c["old"] and c["old"].lower() in b["text"].lower()]
+        content = f"Förslag: {c['new']} \n\nMotivering: {c['motivation'] or ''}" if c["new"] else None
+        for _, b in hits:
+            kept = notes.setdefault((c["doc_id"], c["page"]), [])
+            if not any((content or "").strip() == (t or "").strip() or all(abs(x - y) < 5 for x, y in zip(xs, (b["x0"], b["y0"], b["x1"], b["y1"]))) for _, xs, t in kept):
+                kept.append((c["change_no"], (b["x0"], b["y0"], b["x1"], b["y1"]), content))
+    want = [(*k, n, xs[1], t) for k, v in notes.items() for n, xs, t in v]
+    same(q.page_notes(spark, SF), ["doc_id", "page", "change_no", "y0", "content"], want)

@@ -255,6 +255,53 @@ def test_rules_for_every_paragraph(spark):
     assert queries.suggest_rules(spark, d).count() == every.count() > 0
 
 
+def test_only_highlights_are_compared(spark):
+    rows = [(1, 1, k, 0.0, 0.0, 1.0, 1.0, "same", kind) for k, kind in enumerate((8, 1, 8, 1, None, 8))]
+    df = spark.createDataFrame(rows, "doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double, content string, kind int")
+    out = pdf.dedupe_notes(df)
+    assert out.columns == df.columns and sorted(r["ord"] for r in out.collect()) == [0, 1, 3, 4]
+
+
+def test_repairs_of_a_package():
+    from xml.etree import ElementTree as ET
+
+    from quillmill.operators import package_xml as px
+    from quillmill.sources import parts
+
+    W, ns = parts.W, fx.NS
+    body = "<w:p><w:r><w:rPr><w:noProof/></w:rPr><w:t>a</w:t></w:r><w:proofErr/></w:p>" + '<w:p><w:pPr><w:pStyle w:val="Own"/></w:pPr><w:r><w:rPr><w:b/></w:rPr></w:r></w:p>' + "<w:tbl><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>" + "<w:p/>" * 20
+    package = {p[1]: p[2] for p in parts.unpack("x", fx._package(2, "t", "en", "s"))} | {"word/document.xml": f"<w:document {ns}><w:body>{body}</w:body></w:document>".encode(), "word/theme/theme1.xml": b"<t/>"}
+    fixed, done = px.repair(package)
+    document, settings = ET.fromstring(fixed["word/document.xml"]), ET.fromstring(fixed["word/settings.xml"])
+    assert not list(document.iter(f"{W}proofErr")) and not list(document.iter(f"{W}noProof")) and len(list(document.iter(f"{W}rPr"))) == 1
+    styles = [s.get(f"{W}val") for s in document.iter(f"{W}pStyle")]
+    assert styles.count("Normal") == 21 and styles.count("Own") == 1
+    assert len(list(settings.iter(f"{W}rsid"))) == 100 and settings.find(f"{W}updateFields").get(f"{W}val") == "true" and settings.find(f"{W}compat") is not None
+    assert b"rIdTheme" in fixed["word/_rels/document.xml.rels"] and "related theme/theme1.xml" in done
+    assert px.repair(fixed) == (fixed, [])
+
+
+def test_calls_over_all_tasks_keep_the_pause(spark):
+    import time
+
+    batches = spark.createDataFrame([(k, 0, [{"role": "user", "content": str(k)}]) for k in range(6)], "doc_id long, chunk_id long, messages array<struct<role:string,content:string>>")
+    out = suggest.FunctionSuggester(lambda messages: repr(time.time()), 3, 0.4).replies(batches).collect()
+    at = sorted(float(r["raw"]) for r in out)
+    assert len(at) == 6 and at[-1] - at[0] > 0.4
+
+
+def test_progress_is_told_and_may_fail(spark):
+    elements = spark.createDataFrame([(1, 1, "paragraph", "paragraph_1", None, "the end", False)], "doc_id long, pos long, type string, element_id string, footnote_id string, text string, empty boolean")
+    told = []
+
+    def progress(message):
+        told.append(message)
+        raise ValueError("no listener")
+
+    assert review.review(elements, review.RuleSuggester({"the": "an"}), "policy", progress=progress).verdicts.count() == 1
+    assert told == ["1 batches", "1 batches asked, 0 failed"]
+
+
 def test_scratch_leaves_no_rows(spark):
     from quillmill.session import fresh_path, scratch
 
