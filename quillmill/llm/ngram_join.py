@@ -72,7 +72,7 @@ COMMON = 3
 DRAWN, PART = 64, 2048
 #: Rounds that no input needs: in each, sets lose their first token and what stands before it, and groups are of few members.
 ROUNDS = 64
-#: Parts of a large group of combinations.
+#: Parts of a large group of combinations, and of a family for what all its members need.
 SALT = 16
 #: Sets of at most this size are indexed by all their tokens.
 TINY = 8
@@ -388,11 +388,18 @@ def candidates(slim: DataFrame, classes, spec: Spec) -> tuple[DataFrame, DataFra
     return found.filter("kind IN (0, 3)").select("a", "b"), stars
 
 
+def _with_unit(members: DataFrame, units: DataFrame) -> DataFrame:
+    """``members`` with the columns of their unit's row, of which there are SALT: no task has to see all members of a large unit."""
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))
+    salted = members.withColumn("__salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALT).cast("long")))
+    return salted.join(units.withColumn("__salt", F.explode(salts)), ["unit", "__salt"]).drop("__salt")
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """``members`` (unit, node, ...) with ``part``, which the unit's base is sent to, and ``drawn``, whether the base is taken from it."""
     sizes = members.groupBy("unit").agg(F.count("*").alias("m"))
     share = lambda salt, of: F.pmod(F.xxhash64("node", "unit", F.lit(salt)), F.ceil(F.col("m") / of))
-    return members.join(sizes, "unit").withColumn("part", share(1, PART).cast("int")).withColumn("drawn", share(2, DRAWN) == 0).drop("m")
+    return _with_unit(members, sizes).withColumn("part", share(1, PART).cast("int")).withColumn("drawn", share(2, DRAWN) == 0).drop("m")
 
 
 def _centred(level: DataFrame, spec: Spec) -> DataFrame:
@@ -420,10 +427,10 @@ def family_links(level: DataFrame, spec: Spec) -> DataFrame:
     for _ in range(ROUNDS):
         centred = staged(_centred(level, spec), "join-centred")
         heads = centred.groupBy("unit").agg(F.min(F.struct("f", "node")).alias("h"), F.max("f").alias("most")).select("unit", F.col("h.f").alias("least"), F.col("h.node").alias("head"), "most")
-        near = centred.select("unit", "node", "f").join(heads, "unit").filter("f + least <= 0 AND node <> head")
+        near = _with_unit(centred.select("unit", "node", "f"), heads).filter("f + least <= 0 AND node <> head")
         edges.append(near.select(F.col("head").alias("a"), F.col("node").alias("b")))
         # units with far members, which the head is not linked to for sure
-        open_ = centred.join(heads.filter("most + least > 0"), "unit").withColumn("far", F.col("f") + F.col("least") > 0)
+        open_ = _with_unit(centred, heads.filter("most + least > 0")).withColumn("far", F.col("f") + F.col("least") > 0)
         held = open_.select("unit", "node", "n", "f", "far", "sought", F.explode("tokens").alias("t"))
         shared = held.groupBy("unit", "t").agg(F.count("*").alias("c")).filter("c > 1")
         listed = F.array_sort(F.collect_list(F.struct("c", "t")))
@@ -436,7 +443,7 @@ def family_links(level: DataFrame, spec: Spec) -> DataFrame:
         able = F.filter("others", lambda o: needs(o) <= twice * F.least(o["size"], F.col("size")))
         least = F.array_min(F.transform(able, lambda o: F.ceil(needs(o) / twice)))
         prefix = F.slice("tokens", F.lit(1), (F.col("size") - F.greatest(F.lit(1), F.col("must")) + 1).cast("int"))
-        asked = rest.join(bounds, "unit").withColumn("must", least).filter("must IS NOT NULL")
+        asked = _with_unit(rest, bounds).withColumn("must", least).filter("must IS NOT NULL")
         entries = asked.select("unit", "node", "n", "f", "far", "sought", "size", F.posexplode(prefix).alias("pos", "t")).withColumn("rest", F.col("size") - 1 - F.col("pos"))
         mark = lambda salt: F.sum(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 31)))
         groups = entries.groupBy("unit", "t").agg(F.count("*").alias("c"), F.max("far").alias("any_far"), F.max("sought").alias("any_sought"), F.min(F.struct("node", "pos")).alias("p"), mark(1).alias("s"), mark(2).alias("z")).filter("c > 1 AND any_far AND any_sought")
