@@ -20,4 +20,4 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("similarity", similarity)
     spark.udf.register("word_diff", word_diff)
     spark.udf.register("replace_text", replaced)
-    spark.udtf.register("diff_words", udtf(DiffWords, returnType="ord int, kind string, val string"))
+    spark.udtf.register("diff_words", udtf(DiffWords, returnType="ord int, kind string, val string", useArrow=True))

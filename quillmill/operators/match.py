@@ -44,6 +44,13 @@ def exact(text: Column, old: Column) -> Column:
     return norm(text).contains(norm(old))
 
 
+def paragraph_with(text: Column, old: Column) -> Column:
+    """Which paragraph (line) of a cell's text holds the old text first, from 0; null if none does."""
+    holds = F.transform(F.split(text, "\n"), lambda p: exact(p, old))
+    at = F.array_position(holds, F.lit(True))
+    return F.when(at > 0, at - 1)
+
+
 def short_or_numeric(old: Column) -> Column:
     """Too little to match fuzzily: only digits, or under four characters."""
     n = norm(old)
@@ -65,7 +72,8 @@ def fuzzy(candidates: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def verdicts(changes: DataFrame, elements: DataFrame) -> DataFrame:
     """(doc_id, change_no, element_id, route, verdict, score, text, old, new).
 
-    Verdicts: missing_old, unknown_element, unsupported, exact, fuzzy, too_short
+    A cell's old text is in one of its paragraphs; only nearly equal ones are
+    compared with the whole cell. Verdicts: missing_old, unknown_element, unsupported, exact, fuzzy, too_short
     (no exact match and nothing to compare fuzzily, for cells), no_match. Footnote
     and text box changes are routed to their own joins (verdict ``deferred``).
     """
@@ -78,7 +86,7 @@ def verdicts(changes: DataFrame, elements: DataFrame) -> DataFrame:
         .when(F.col("text").isNull(), "unknown_element")
         .when(F.col("route") == "unsupported", "unsupported")
         .when(F.col("route").isin("footnote", "textbox"), "deferred")
-        .when(b.contains(a), "exact")
+        .when(F.when(F.col("route") == "table_cell", paragraph_with(F.col("text"), F.col("old")).isNotNull()).otherwise(b.contains(a)), "exact")
         .when((F.col("route") == "table_cell") & short_or_numeric(F.col("old")), "too_short")
     )
     # One join for all: rows that are decided, or too far apart in length, reach the Python worker as nulls.

@@ -14,7 +14,7 @@ from xml.etree import ElementTree as ET
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.parts import MAX_BYTES, W, pack, parse_xml, unpack
+from ..sources.parts import MAX_BYTES, W, pack, paragraph_text, parse_xml, unpack
 from .package import COMMENT_OVERRIDES, COMMENT_RELATIONSHIPS, REMOVED_TAGS, THEME
 from .tracked import ENDINGS, GREEN, RED
 
@@ -157,12 +157,21 @@ class Editor:
         self.next_comment += 1
         self.commented = True
 
-    def apply(self, element_id: str, segments: list[tuple[str, str]], motivation: str | None) -> bool:
-        """Rebuild the element's first paragraph from segments; references in it stay, at its end."""
-        paragraphs = self.where.get(element_id)
-        if not paragraphs:
+    def paragraph(self, element_id: str, par_no: int) -> ET.Element | None:
+        """The paragraph that is line ``par_no`` of a cell's scanned text, which leaves blank ones at its beginning out; of other elements the first."""
+        paragraphs = self.where.get(element_id) or []
+        if element_id.startswith("table_"):
+            texts = [paragraph_text(p) for p in paragraphs]
+            first = next((k for k, t in enumerate(texts) if t.strip()), 0)
+            # a paragraph with breaks is several lines: its others must not be lost
+            return paragraphs[first + par_no] if first + par_no < len(paragraphs) and not any("\n" in t.strip() for t in texts[first : first + par_no + 1]) else None
+        return paragraphs[0] if paragraphs else None
+
+    def apply(self, element_id: str, segments: list[tuple[str, str]], motivation: str | None, par_no: int = 0) -> bool:
+        """Rebuild the element's paragraph from segments; references in it stay, at its end."""
+        p = self.paragraph(element_id, par_no)
+        if p is None:
             return False
-        p = paragraphs[0]
         keep = [r for r in p if r.tag == f"{W}r" and any(r.find(f".//{W}{t}") is not None for t in ("footnoteReference", "footnoteRef", "commentReference", "drawing"))]
         for child in list(p):
             if child.tag != f"{W}pPr":
@@ -324,7 +333,7 @@ EDITED = "path string, content binary, applied array<bigint>, failed array<bigin
 
 
 def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", author: str = "quillmill", date: str = "2024-01-01T00:00:00Z", motivations: bool = True, limit: int = MAX_BYTES) -> DataFrame:
-    """Files (path, content) with the edits (path, change_no, element_id, segments, motivation) in them.
+    """Files (path, content) with the edits (path, change_no, element_id, segments, motivation; par_no for paragraphs of cells) in them.
 
     ``mode`` simple colours the markup; tracked writes tracked changes and
     repairs the package. An element's later edits replace earlier ones, so
@@ -334,7 +343,9 @@ def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", auth
     """
     if "change_nos" not in edits.columns:
         edits = edits.withColumn("change_nos", F.array("change_no")).withColumn("lost_nos", F.array().cast("array<bigint>"))
-    listed = F.array_sort(F.collect_list(F.struct("change_no", "element_id", "segments", "motivation", "change_nos", "lost_nos")))
+    if "par_no" not in edits.columns:
+        edits = edits.withColumn("par_no", F.lit(0))
+    listed = F.array_sort(F.collect_list(F.struct("change_no", "element_id", "segments", "motivation", "change_nos", "lost_nos", "par_no")))
     rows = files.select("path", "content").join(edits.groupBy("path").agg(listed.alias("edits")), "path", "left")
 
     def run(frames):
@@ -351,7 +362,7 @@ def edit_packages(files: DataFrame, edits: DataFrame, mode: str = "simple", auth
                     applied, failed = [], []
                     for e in [] if changes is None else changes:
                         segments = [(s["kind"], s["val"]) for s in e["segments"]]
-                        (applied if editor.apply(e["element_id"] or "", segments, e["motivation"] if motivations else None) else failed).extend(int(n) for n in e["change_nos"])
+                        (applied if editor.apply(e["element_id"] or "", segments, e["motivation"] if motivations else None, int(e["par_no"])) else failed).extend(int(n) for n in e["change_nos"])
                         failed.extend(int(n) for n in e["lost_nos"])
                     result, actions = repair(editor.result()) if mode == "tracked" else (editor.result(), [])
                     out.append((path, pack(list(result.items())), applied, failed, actions, None))

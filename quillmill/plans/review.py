@@ -102,11 +102,18 @@ def resolved(verdicts: DataFrame, elements: DataFrame) -> DataFrame:
     boxed = match.join_textboxes(deferred.filter("route = 'textbox'"), boxes).select(*key, F.col("box_id").alias("place"), F.col("box_text").alias("found"), F.col("old").alias("was"))
     rows = verdicts.join(found.union(boxed), key, "left")
     hit, open_ = F.col("place").isNotNull(), F.col("verdict") == "deferred"
-    return rows.select("doc_id", "change_no", F.coalesce("place", "element_id").alias("element_id"), "route", F.when(hit, "exact").when(open_, "no_match").otherwise(F.col("verdict")).alias("verdict"), "score", F.coalesce("found", "text").alias("text"), F.coalesce("was", "old").alias("old"), "new")
+    return rows.select("doc_id", "change_no", F.coalesce("place", "element_id").alias("element_id"), "route", F.when(hit, "exact").when(open_, "no_match").otherwise(F.col("verdict")).alias("verdict"), "score", F.coalesce("found", "text").alias("text"), F.coalesce("was", "old").alias("old"), "new").transform(_in_cells)
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """``par_no`` and ``text`` of the paragraph that a change goes to: in a cell the first that holds its old text, else the first; elsewhere all is one."""
+    cell = F.col("route") == "table_cell"
+    at = F.when(cell, F.coalesce(match.paragraph_with(F.col("text"), F.coalesce("old", F.lit(""))), F.lit(0))).otherwise(0).cast("int")
+    return rows.withColumn("par_no", at).withColumn("text", F.when(cell, F.get(F.split("text", "\n"), F.col("par_no"))).otherwise(F.col("text")))
 
 
 def package_edits(done: Review, path) -> DataFrame:
-    """Edits of packages (path, change_no, element_id, segments, motivation, change_nos, lost_nos): one per element.
+    """Edits of packages (path, change_no, element_id, par_no, segments, motivation, change_nos, lost_nos): one per element, or paragraph of a cell.
 
     All accepted changes of an element are applied in turn; one whose old
     text an earlier one took away is in ``lost_nos``. ``path`` is a column
@@ -115,11 +122,11 @@ def package_edits(done: Review, path) -> DataFrame:
     """
     accepted = done.verdicts.filter(F.col("verdict").isin("exact", "fuzzy")).join(done.comments.select("doc_id", "change_no", "motivation"), ["doc_id", "change_no"], "left")
     listed = F.array_sort(F.collect_list(F.struct("change_no", "motivation", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))))
-    groups = accepted.groupBy("doc_id", "element_id").agg(F.first("text").alias("text"), listed.alias("c"))
+    groups = accepted.groupBy("doc_id", "element_id", "par_no").agg(F.first("text").alias("text"), listed.alias("c"))
     folded = groups.withColumn("f", applied_in_turn("text", "c.old", "c.new", F.lit(match.THRESHOLD)))
     made = F.filter("c", lambda x, k: F.col("f.done")[k])
     lost = F.filter("c", lambda x, k: ~F.col("f.done")[k])
     rows = _notes_whole(diff.diff_words(folded.select("*", F.col("f.result").alias("result"), made.alias("made"), lost.alias("lost")), "text", "result"))
     segments = F.transform("segments", lambda x: F.struct(x["kind"].alias("kind"), x["val"].alias("val")))
     texts = F.filter("made.motivation", lambda x: x.isNotNull())
-    return rows.select(path.alias("path"), F.col("made")[0]["change_no"].alias("change_no"), "element_id", segments.alias("segments"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("motivation"), F.col("made.change_no").alias("change_nos"), F.col("lost.change_no").alias("lost_nos"))
+    return rows.select(path.alias("path"), F.col("made")[0]["change_no"].alias("change_no"), "element_id", "par_no", segments.alias("segments"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("motivation"), F.col("made.change_no").alias("change_nos"), F.col("lost.change_no").alias("lost_nos"))

@@ -75,7 +75,7 @@ def _texts(node: ElementTree.Element) -> list[str]:
     return [t.text or "" for t in node.iter(f"{W}t")]
 
 
-def _paragraph_text(p: ElementTree.Element) -> str:
+def paragraph_text(p: ElementTree.Element) -> str:
     """Text of a paragraph's own runs (also inside links), without text boxes."""
     out = []
 
@@ -104,12 +104,12 @@ def elements_of(parts: dict[str, bytes]) -> Iterator[tuple[str, str, str | None,
         return
     tops = body.findall(f"{W}p")
     for n, p in enumerate(tops, 1):
-        yield "paragraph", f"paragraph_{n}", None, _paragraph_text(p).strip()
+        yield "paragraph", f"paragraph_{n}", None, paragraph_text(p).strip()
     for t, table in enumerate(body.findall(f"{W}tbl"), 1):
         for r, row in enumerate(table.findall(f"{W}tr"), 1):
             c = 0
             for cell in row.findall(f"{W}tc"):
-                text = "\n".join(_paragraph_text(p) for p in cell.findall(f"{W}p")).strip()
+                text = "\n".join(paragraph_text(p) for p in cell.findall(f"{W}p")).strip()
                 span = cell.find(f"{W}tcPr/{W}gridSpan")
                 for _ in range(int(span.get(f"{W}val", "1")) if span is not None else 1):  # a merged cell counts for each column
                     c += 1
@@ -125,7 +125,7 @@ def elements_of(parts: dict[str, bytes]) -> Iterator[tuple[str, str, str | None,
             name = "word/" + (rels.get(ref.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")) or "")
             for p in parse_xml(parts[name]).findall(f"{W}p") if name in parts else []:
                 n += 1
-                yield kind, f"{kind}_{n}", None, _paragraph_text(p).strip()
+                yield kind, f"{kind}_{n}", None, paragraph_text(p).strip()
     n = 0
     for p in tops:
         for drawing in p.iter(f"{W}drawing"):

@@ -222,6 +222,26 @@ def test_all_changes_of_a_paragraph_reach_the_package(spark):
     assert ">1 <" in document and ">3" in document
 
 
+def test_cells_of_several_paragraphs(spark):
+    from quillmill.operators import package_xml as px
+    from quillmill.sources import parts
+
+    run = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    body = f"<w:tbl><w:tr><w:tc><w:p/>{run('first words')}{run('second part')}</w:tc><w:tc>{run('one')}{run('two')}</w:tc></w:tr></w:tbl>"
+    package = {p[1]: p[2] for p in parts.unpack("x", fx._package(1, "t", "en", "s"))} | {"word/document.xml": f"<w:document {fx.NS}><w:body>{body}</w:body></w:document>".encode()}
+    files = spark.createDataFrame([("/a.docx", bytearray(parts.pack(list(package.items()))))], "path string, content binary")
+    found = parts.scan_elements(files).selectExpr("1L AS doc_id", "seq AS pos", "type", "element_id", "footnote_id", "text", "empty")
+    changes = [{"element_id": e, "old": o, "new": n} for e, o, n in (("table_1_cell_1_1", "part", "half"), ("table_1_cell_1_1", "first", "1st"), ("table_1_cell_1_2", "one two", "across"), ("table_1_cell_1_2", "two", "2"))]
+    done = review.review(found, FixedSuggester(changes), "policy")
+    assert {(r["change_no"], r["verdict"], r["par_no"]) for r in done.verdicts.collect()} == {(1, "exact", 1), (2, "exact", 0), (3, "fuzzy", 0), (4, "exact", 1)}
+    got = px.edit_packages(files, review.package_edits(done, F.lit("/a.docx")), "simple").first()
+    assert sorted(got["applied"]) == [1, 2, 3, 4] and not got["failed"]
+    document = {p[1]: p[2] for p in parts.unpack("x", bytes(got["content"]))}["word/document.xml"].decode()
+    assert sum(1 for _ in parts.parse_xml(document.encode()).iter(f"{parts.W}p")) == 5
+    for text in ("1st ", "words ", "second ", "half ", "2 "):
+        assert f">{text}<" in document
+
+
 def test_every_kind_is_reviewed_and_edited(spark):
     from quillmill.operators import package_xml as px
     from quillmill.sources import parts
