@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 
@@ -119,18 +120,39 @@ def test_long_tokens_take_linear_time():
         assert time.process_time() - begin < 20
 
 
-def held_out(spark, docs, labels):
-    rows = x.score_documents(docs, labels).join(labels, "doc_id").filter("held_out").collect()
-    pos, neg = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
-    return rows, sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+PLANTED = ("trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron")
+
+
+def hide(text, rng):
+    """The planted words of a text in leetspeak, with repeated letters, with marks or with blanks between letters."""
+    leet = {"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7"}
+
+    def other(m):
+        word = m.group()
+        kind = rng.randrange(4)
+        if kind == 0:
+            return "".join(leet.get(c.lower(), c) if rng.random() < 0.6 else c for c in word)
+        if kind == 1:
+            at = rng.randrange(len(word))
+            return word[:at] + word[at] * rng.randint(2, 4) + word[at + 1 :]
+        return rng.choice(".-*_").join(word) if kind == 2 else " ".join(word)
+
+    return re.sub("|".join(PLANTED), other, text, flags=re.I)
 
 
 def test_held_out_accuracy(spark):
+    """Of held-out documents, and of copies of the toxic ones with their words hidden, which no label knows."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    rows, auc = held_out(spark, docs, labels)
-    assert auc > 0.95
-    assert sum(r["predicted"] for r in rows if r["toxic"]) >= 0.9 * sum(r["toxic"] for r in rows)
-    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * sum(1 - r["toxic"] for r in rows)
+    rng = random.Random(3)
+    toxic = docs.join(labels.filter("toxic = 1"), "doc_id").filter("crc32(cast(doc_id AS string)) % 5 = 0").select("doc_id", "text").collect()
+    hidden = [(10_000_000 + r["doc_id"], hide(r["text"], rng)) for r in toxic if re.search("|".join(PLANTED), r["text"], re.I)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(hidden, "doc_id long, text string"))
+    scores = {r["doc_id"]: r for r in x.score_documents(every, labels).collect()}
+    rows = [(scores[r["doc_id"]], r["toxic"]) for r in labels.filter("crc32(cast(doc_id AS string)) % 5 = 0").collect() if r["doc_id"] in scores]
+    pos, neg = [r["score"] for r, t in rows if t], [r["score"] for r, t in rows if not t]
+    assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg) > 0.95
+    assert sum(p >= 0.5 for p in pos) >= 0.9 * len(pos) and sum(n >= 0.5 for n in neg) <= 0.02 * len(neg)
+    assert len(hidden) > 50 and sum(scores[i]["predicted"] for i, _ in hidden) >= 0.95 * len(hidden)
 
 
 def test_held_out_labels_are_never_read(spark, sf):
