@@ -70,25 +70,31 @@ def close_pairs(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     Each two distinct words are compared once, and only those whose lengths and
     letters leave room for it: common letters bound difflib's similarity from above.
     """
-    ua, ia = np.unique(np.array(a, dtype=object), return_inverse=True)
-    ub, ib = np.unique(np.array(b, dtype=object), return_inverse=True)
-    la, lb = (np.array([len(w) for w in u]) for u in (ua, ub))
-    ca, cb = _letters(ua), _letters(ub)
-    table = np.zeros((len(ua), len(ub)))
+    at_a, at_b = {}, {}
+    for words, at in ((a, at_a), (b, at_b)):
+        for k, word in enumerate(words):
+            at.setdefault(word, []).append(k)
+    ua = list(at_a)
+    la = np.array([len(w) for w in ua])
+    ca: np.ndarray | None = None
     cruncher = difflib.SequenceMatcher(None)
-    for y, word in enumerate(ub):
-        room = 2 * np.minimum(la, lb[y]) >= CLOSE * (la + lb[y])
-        rows = np.flatnonzero(room)
-        rows = rows[2 * np.minimum(ca[rows], cb[y]).sum(1) >= CLOSE * (la[rows] + lb[y])]
+    found = []
+    for word in at_b:
+        rows = np.flatnonzero(2 * np.minimum(la, len(word)) >= CLOSE * (la + len(word)))
+        if not len(rows):
+            continue
+        ca = _letters(ua) if ca is None else ca
+        rows = rows[2 * np.minimum(ca[rows], _letters([word])).sum(1) >= CLOSE * (la[rows] + len(word))]
         if len(rows):
             cruncher.set_seq2(word)
             for x in rows:
                 if ua[x] != word:
                     cruncher.set_seq1(ua[x])
-                    table[x, y] = cruncher.ratio()
-    full = table[ia][:, ib]
-    j, i = np.nonzero(full.T >= CLOSE)
-    return i, j, full[i, j]
+                    if (score := cruncher.ratio()) >= CLOSE:
+                        found += [(j, i, score) for j in at_b[word] for i in at_a[ua[x]]]
+    found.sort()
+    j, i, score = (np.array(c) for c in zip(*found)) if found else (np.zeros(0, dtype=int),) * 3
+    return i, j, score
 
 
 def paired_words(a: list[str], b: list[str]) -> list[tuple[str, str]]:
