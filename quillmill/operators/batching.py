@@ -25,8 +25,15 @@ def chunk_greedy(elements: DataFrame, size: Column, prompt_chars: int, max_token
     ``empty_first``: an oversize first element leaves an empty batch before it
     (ids then start at 1), as in the model; otherwise no batch is empty.
     """
-    budget = max_tokens * CHARS_PER_TOKEN
     listed = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("pos"), size.cast("long").alias("n")))).alias("items"))
+    folded = listed.withColumn("bounds", _bounds("items", prompt_chars, max_tokens, empty_first))
+    batch = lambda k: F.transform(_batch(k), lambda x: F.struct(x["pos"].alias("pos"), k.cast("long").alias("chunk_id")))
+    return folded.select("doc_id", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), batch))))
+
+
+def _bounds(items: str, prompt_chars: int, max_tokens: int, empty_first: bool = False) -> Column:
+    """Places of the batches' first elements among a document's ordered items (with their size ``n``), and their number."""
+    budget = max_tokens * CHARS_PER_TOKEN
     start = F.struct(F.lit(prompt_chars).cast("long").alias("used"), F.lit(empty_first).alias("open"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc, x):
@@ -36,11 +43,12 @@ def chunk_greedy(elements: DataFrame, size: Column, prompt_chars: int, max_token
         begins = F.when(full, F.concat(acc["begins"], F.array(acc["at"]))).otherwise(acc["begins"])
         return F.struct(used.cast("long").alias("used"), F.lit(True).alias("open"), (acc["at"] + 1).alias("at"), begins.alias("begins"))
 
-    bounds = F.aggregate("items", start, step, lambda acc: F.concat(F.array(F.lit(0)), acc["begins"], F.array(acc["at"])))
-    folded = listed.withColumn("bounds", bounds)
-    # a batch is a slice of the elements, so each of them is touched once, whatever the number of batches
-    batch = lambda k: F.transform(F.slice("items", F.get("bounds", k) + 1, F.get("bounds", k + 1) - F.get("bounds", k)), lambda x: F.struct(x["pos"].alias("pos"), k.cast("long").alias("chunk_id")))
-    return folded.select("doc_id", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), batch))))
+    return F.aggregate(items, start, step, lambda acc: F.concat(F.array(F.lit(0)), acc["begins"], F.array(acc["at"])))
+
+
+def _batch(k: Column) -> Column:
+    """A batch is a slice of the items, so each of them is touched once, whatever the number of batches."""
+    return F.slice("items", F.get("bounds", k) + 1, F.get("bounds", k + 1) - F.get("bounds", k))
 
 
 def chunk_greedy_grouped(elements: DataFrame, size: Column, prompt_chars: int, max_tokens: int = MAX_TOKENS, order: str = "pos") -> DataFrame:
@@ -67,12 +75,27 @@ def batch_counts(chunks: DataFrame) -> DataFrame:
 
 def messages(elements: DataFrame, chunks: DataFrame, prompt: str, preamble: str) -> DataFrame:
     """(doc_id, chunk_id, messages): what a model is asked per batch."""
-    item = F.to_json(F.struct("type", "element_id", "footnote_id", "text", "empty"))
     joined = elements.join(chunks, ["doc_id", "pos"])
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("j")))), lambda x: x["j"]), ", ")
-    user = F.concat(F.lit(preamble + " ["), body, F.lit("]"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("pos", _shown().alias("j")))), lambda x: x["j"])
+    return joined.groupBy("doc_id", "chunk_id").agg(_asked(body, prompt, preamble).alias("messages"))
+
+
+def greedy_messages(elements: DataFrame, size: Column, prompt: str, preamble: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """The same for the batches of `chunk_greedy`, with the elements gathered once, by document, and no join."""
+    listed = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), size.cast("long").alias("n"), _shown().alias("j")))).alias("items"))
+    folded = listed.withColumn("bounds", _bounds("items", len(prompt), max_tokens))
+    numbered = folded.select("doc_id", "items", "bounds", F.explode(F.sequence(F.lit(0), F.size("bounds") - 2)).alias("k"))
+    return numbered.select("doc_id", F.col("k").cast("long").alias("chunk_id"), _asked(F.transform(_batch(F.col("k")), lambda x: x["j"]), prompt, preamble).alias("messages"))
+
+
+def _shown() -> Column:
+    return F.to_json(F.struct("type", "element_id", "footnote_id", "text", "empty"))
+
+
+def _asked(items: Column, prompt: str, preamble: str) -> Column:
+    user = F.concat(F.lit(preamble + " ["), F.array_join(items, ", "), F.lit("]"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return joined.groupBy("doc_id", "chunk_id").agg(F.array(message("system", F.lit(prompt)), message("user", user)).alias("messages"))
+    return F.array(message("system", F.lit(prompt)), message("user", user))
 
 
 def concat_batches(items: DataFrame) -> DataFrame:

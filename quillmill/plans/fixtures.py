@@ -8,6 +8,8 @@ change, every line its words as runs, every block a note.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,6 +274,8 @@ def edit_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+#: Characters that the packages leave out.
+ILLEGAL = re.compile("[^\t\n -\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
@@ -279,7 +283,7 @@ def _package(doc_id: int, text: str, lang: str, source: str) -> bytes:
     """A document as an office package: lines as paragraphs, or as table rows where they hold pipes."""
     from xml.sax.saxutils import escape
 
-    legal = "".join(c for c in text if c in "\t\n" or " " <= c <= "\ud7ff" or "\ue000" <= c <= "\ufffd" or c > "\uffff")
+    legal = ILLEGAL.sub("", text)
     run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
     rows = legal.split("\n")
     body = "".join(f"<w:p>{run(x)}</w:p>" for x in rows if " | " not in x)

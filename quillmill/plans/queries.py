@@ -873,7 +873,10 @@ def repair_packages(spark, d):
 def _package_review(spark, d):
     found = parts.scan_elements(fx.packages(spark, d)).filter("error IS NULL")
     elements = found.select(F.regexp_extract("path", r"doc(\d+)", 1).cast("long").alias("doc_id"), F.col("seq").alias("pos"), "type", "element_id", "footnote_id", "text", "empty")
-    return review.review(elements, review.RuleSuggester(fx.LEXICON), "policy")
+    # packages are opened and parsed once: the review reads their elements several times
+    path = fresh_path(spark, "elements")
+    elements.write.option("compression", "zstd").parquet(path)
+    return review.review(spark.read.schema(elements.schema).parquet(path), review.RuleSuggester(fx.LEXICON), "policy")
 
 
 @query(

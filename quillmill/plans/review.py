@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.udfs import applied_in_turn
 from ..operators import batching, diff, match, suggest
 from ..session import fresh_path
 
@@ -63,11 +62,10 @@ def review(elements: DataFrame, suggester, prompt: str, max_tokens: int = batchi
     unrepeatable step, everything after it reads that table.
     """
     spark = elements.sparkSession
-    chunks = batching.chunk_greedy(elements, batching.element_length(), len(prompt), max_tokens)
-    asked = batching.messages(elements, chunks, prompt, PREAMBLE)
+    asked = batching.greedy_messages(elements, batching.element_length(), prompt, PREAMBLE, max_tokens)
     path = fresh_path(spark, "replies")
     if progress is not None:
-        _report(progress, f"{chunks.select('doc_id', 'chunk_id').distinct().count()} batches")
+        _report(progress, f"{asked.select('doc_id', 'chunk_id').count()} batches")
     suggester.replies(asked).write.parquet(path)
     if progress is not None:
         told = spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).first()
@@ -94,6 +92,7 @@ def resolved(verdicts: DataFrame, elements: DataFrame) -> DataFrame:
     first box that holds its old text; both are ``exact``. What no join finds is no_match.
     """
     key = ["doc_id", "change_no"]
+    verdicts = _in_cells(verdicts)
     deferred = verdicts.filter("verdict = 'deferred'")
     notes = elements.filter("type = 'footnote'")
     named = deferred.filter("route = 'footnote'").join(notes.select("doc_id", "element_id", "footnote_id"), ["doc_id", "element_id"])
@@ -102,7 +101,7 @@ def resolved(verdicts: DataFrame, elements: DataFrame) -> DataFrame:
     boxed = match.join_textboxes(deferred.filter("route = 'textbox'"), boxes).select(*key, F.col("box_id").alias("place"), F.col("box_text").alias("found"), F.col("old").alias("was"))
     rows = verdicts.join(found.union(boxed), key, "left")
     hit, open_ = F.col("place").isNotNull(), F.col("verdict") == "deferred"
-    return rows.select("doc_id", "change_no", F.coalesce("place", "element_id").alias("element_id"), "route", F.when(hit, "exact").when(open_, "no_match").otherwise(F.col("verdict")).alias("verdict"), "score", F.coalesce("found", "text").alias("text"), F.coalesce("was", "old").alias("old"), "new").transform(_in_cells)
+    return rows.select("doc_id", "change_no", F.coalesce("place", "element_id").alias("element_id"), "route", F.when(hit, "exact").when(open_, "no_match").otherwise(F.col("verdict")).alias("verdict"), "score", F.coalesce("found", "text").alias("text"), F.coalesce("was", "old").alias("old"), "new", "par_no")
 
 
 def _in_cells(rows: DataFrame) -> DataFrame:
@@ -113,20 +112,14 @@ def _in_cells(rows: DataFrame) -> DataFrame:
 
 
 def package_edits(done: Review, path) -> DataFrame:
-    """Edits of packages (path, change_no, element_id, par_no, segments, motivation, change_nos, lost_nos): one per element, or paragraph of a cell.
+    """Edits of packages (path, change_no, element_id, par_no, whole, changes): one per element, or paragraph of a cell.
 
-    All accepted changes of an element are applied in turn; one whose old
-    text an earlier one took away is in ``lost_nos``. ``path`` is a column
-    expression over doc_id, ``change_no`` the first of ``change_nos``;
-    motivations stand on lines of their own.
+    ``changes`` (change_no, old, new, motivation) are all accepted changes of
+    the element, in order; the package that they go to holds its text, so
+    `edit_packages` applies them there. ``path`` is a column expression over
+    doc_id, ``change_no`` the first change's; ``whole`` notes are replaced as such.
     """
     accepted = done.verdicts.filter(F.col("verdict").isin("exact", "fuzzy")).join(done.comments.select("doc_id", "change_no", "motivation"), ["doc_id", "change_no"], "left")
-    listed = F.array_sort(F.collect_list(F.struct("change_no", "motivation", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))))
-    groups = accepted.groupBy("doc_id", "element_id", "par_no").agg(F.first("text").alias("text"), listed.alias("c"))
-    folded = groups.withColumn("f", applied_in_turn("text", "c.old", "c.new", F.lit(match.THRESHOLD)))
-    made = F.filter("c", lambda x, k: F.col("f.done")[k])
-    lost = F.filter("c", lambda x, k: ~F.col("f.done")[k])
-    rows = _notes_whole(diff.diff_words(folded.select("*", F.col("f.result").alias("result"), made.alias("made"), lost.alias("lost")), "text", "result"))
-    segments = F.transform("segments", lambda x: F.struct(x["kind"].alias("kind"), x["val"].alias("val")))
-    texts = F.filter("made.motivation", lambda x: x.isNotNull())
-    return rows.select(path.alias("path"), F.col("made")[0]["change_no"].alias("change_no"), "element_id", "par_no", segments.alias("segments"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("motivation"), F.col("made.change_no").alias("change_nos"), F.col("lost.change_no").alias("lost_nos"))
+    change = F.struct("change_no", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"), "motivation")
+    groups = accepted.groupBy("doc_id", "element_id", "par_no").agg(F.array_sort(F.collect_list(change)).alias("changes"))
+    return groups.select(path.alias("path"), F.col("changes")[0]["change_no"].alias("change_no"), "element_id", "par_no", F.col("element_id").startswith("footnote_").alias("whole"), "changes")
